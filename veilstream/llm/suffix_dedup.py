@@ -9,7 +9,9 @@ still holds two documents:
    Anchors seen in one document only are dropped.
 2. second digit: the *block*, all units covered by the windows of one anchor.  Equal blocks are resolved
    for all their windows together; an anchor with one single block needs no further pass.
-3. last digit: the full window (128-bit hash) for the blocks still open.
+3. third digit: the anchor with half of what a window can hold before it, or after it.  Every window holds
+   one of the two; windows whose half is in one document only are dropped.
+4. last digit: the full window (128-bit hash) for what is still open.
 
 Every pass is one request and one answer: a group of documents sends each distinct key once, with its
 smallest doc_id, to the key's bucket, and gets the smallest doc_id of all groups back.  A key therefore has
@@ -43,7 +45,7 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _S = {n: np.uint64(n) for n in (29, 31, 32)}
 
 #: kinds of message rows
-ANCHORS, BLOCKS, SINGLE, WINDOWS, PLACES, SPANS = range(6)
+ANCHORS, BLOCKS, SINGLE, OPEN, WINDOWS, SPANS = range(6)
 
 
 # ---- kernels -------------------------------------------------------------------------------------
@@ -185,28 +187,43 @@ class _Docs:
         return np.searchsorted(self.start, place, "right") - 1
 
 
-def _rows(g: int, to: list) -> pa.Table:
+def _rows(sender: int, to: list) -> pa.Table:
     return pa.table(
-        {"to": pa.array([x[0] for x in to], pa.int64()), "g": pa.array([g] * len(to), pa.int64()), "kind": pa.array([x[1] for x in to], pa.int32()), "data": pa.array([x[2] for x in to], pa.binary())}
+        {"to": pa.array([x[0] for x in to], pa.int64()), "sender": pa.array([sender] * len(to), pa.int64()), "kind": pa.array([x[1] for x in to], pa.int32()), "data": pa.array([x[2] for x in to], pa.binary())}
     )
 
 
-MESSAGE = "to long, g long, kind int, data binary"
+MESSAGE = "to long, sender long, kind int, data binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays of one length, each as its byte planes: the planes that are zero compress away in the shuffle."""
+    n = len(arrays[0])
+    return np.int64(n).tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(n, a.itemsize).T.tobytes() for a in arrays)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
     for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(np.frombuffer(data, k, n, at))
-        at += size
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        at += n * size
     return out
 
 
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+def _joined(parts, *kinds) -> list[np.ndarray]:
+    got = [_unpack(x, *kinds) for x in parts]
+    return [np.concatenate([np.zeros(0, k), *(x[i] for x in got)]) for i, k in enumerate(kinds)]
+
+
 def _by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, rows of it) for ascending bucket; the order inside a bucket stays."""
     order = np.argsort(bucket, kind="stable")
@@ -214,78 +231,97 @@ def _by_bucket(bucket: np.ndarray, buckets: int):
     return [(b, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
 
 
-def _short(value: np.ndarray, bits: int) -> np.ndarray:
-    """Anchor key: bucket number above 32 more bits of the hash (bits that did not choose the anchor)."""
-    return (value >> np.uint64(32 - bits)).astype(np.uint64)
-
-
 def _plan(width: int, gram: int, bits: int):
     """The functions of the passes; bits: binary logarithm of the number of buckets."""
     buckets = 1 << bits
     low = np.uint64(0xFFFFFFFF)
+    half = (width - gram) // 2
+
+    def short(value: np.ndarray) -> np.ndarray:
+        """Key of a first or second digit: the bucket's number, then 32 more bits of the hash."""
+        return value >> np.uint64(32 - bits)
+
+    def top(value: np.ndarray) -> np.ndarray:
+        return (value >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(value), np.int64)
 
     def runs(d: _Docs):
         value, place, first, last = anchor_runs(d.buf[: len(d.buf) - 8], d.end, d.start, width, gram)
-        # the order of anchors came from the low 31 bits; the key uses others
-        return _short(value, bits), place, first, last
+        # the low 31 bits chose the anchor; the key takes others
+        return short(value), place, first, last, d.of(place)
 
-    def ask_anchors(t: pa.Table) -> pa.Table:
-        d = _Docs(t)
-        keys = np.unique(runs(d)[0])
-        return _rows(t["g"][0].as_py(), [(b, ANCHORS, _pack((keys[i] & low).astype(np.uint32))) for b, i in _by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)])
-
-    def answer_anchors(t: pa.Table) -> pa.Table:
-        parts = [_unpack(x, np.uint32)[0] for x in t["data"].to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        b = np.uint64(t["to"][0].as_py()) << np.uint64(32)
-        out = []
-        for g, x in zip(t["g"].to_pylist(), parts, strict=True):
-            own = x[np.isin(x, shared, assume_unique=True)]
-            if len(own):
-                out.append((g, ANCHORS, _pack(own.astype(np.uint64) | b)))
-        return _rows(0, out)
+    def presence(keys: np.ndarray) -> list:
+        return [(b, ANCHORS, _pack(_steps((keys[i] & low).astype(np.uint32)))) for b, i in _by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+
+    def rows_of(t: pa.Table, who: str) -> list:
+        return list(zip(t["kind"].to_pylist(), t[who].to_pylist(), t["data"].to_pylist(), strict=True))
+
+    def of_kind(t: pa.Table, kind: int) -> list[bytes]:
+        """The answers of a kind, by ascending bucket."""
+        return [x for _, x in sorted((who, x) for k, who, x in rows_of(t, "sender") if k == kind)]
 
     def shared_here(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
         order, at = _group([key, doc])
         k = key[order][at]
         return np.unique(k[1:][k[1:] == k[:-1]])
 
+    def known_keys(t: pa.Table) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(_sums(_unpack(x, np.uint64)[0]) for x in of_kind(t, ANCHORS))])
+
+    def ask_anchors(t: pa.Table) -> pa.Table:
+        return _rows(t["g"][0].as_py(), presence(np.unique(runs(_Docs(t))[0])))
+
+    def answer_presence(t: pa.Table) -> pa.Table:
+        """To each group, which of its keys another group has too; what is no question goes back as it came."""
+        b = t["to"][0].as_py()
+        rows = rows_of(t, "sender")
+        out = [(g, k, x) for k, g, x in rows if k != ANCHORS]
+        asked = [(g, _sums(_unpack(x, np.uint32)[0])) for k, g, x in rows if k == ANCHORS]
+        if asked:
+            every = np.sort(np.concatenate([x for _, x in asked]))
+            shared = np.unique(every[1:][every[1:] == every[:-1]])
+            for g, x in asked:
+                own = x[np.isin(x, shared, assume_unique=True)]
+                if len(own):
+                    out.append((g, ANCHORS, _pack(_steps(own.astype(np.uint64) | np.uint64(b) << np.uint64(32)))))
+        return _rows(b, out)
+
+    def block_table(d: _Docs, place, first, last, doc):
+        """Block hashes of runs; the run that stands for each distinct block, in order of hash; each run's block."""
+        one, two = _block_hashes(d.buf, place, first, last, width)
+        order, at = _group([one, two])
+        which = np.empty(len(one), np.int64)
+        which[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
+        lead = np.full(len(at), LAST)
+        np.minimum.at(lead, which, d.doc[doc])
+        return one, two, order[at], which, lead
+
     def ask_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(0, [])
         d = _Docs(left)
-        key, place, first, last = runs(d)
-        doc = d.of(place)
-        known = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, np.uint64)[0] for x in right["data"].to_pylist())])
-        keep = np.isin(key, np.union1d(known, shared_here(key, doc)))
+        key, place, first, last, doc = runs(d)
+        keep = np.isin(key, np.union1d(known_keys(right), shared_here(key, doc)))
         key, place, first, last, doc = (x[keep] for x in (key, place, first, last, doc))
-        one, two = _block_hashes(d.buf, place, first, last, width)
-        order, at = _group([one, two, d.doc[doc]])
-        o = order[at]
-        same = np.r_[False, (one[o][1:] == one[o][:-1]) & (two[o][1:] == two[o][:-1])]
-        o = o[~same]  # the smallest doc_id of each block
-        out = [(b, BLOCKS, _pack(one[o][i], two[o][i], d.doc[doc[o]][i])) for b, i in _by_bucket((one[o] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(o), np.int64), buckets)]
-        order, at = _group([key, one])
-        if len(order):
-            ends = np.r_[at[1:], len(order)] - 1
-            cut = np.flatnonzero(np.r_[True, key[order][at][1:] != key[order][at][:-1]])
-            k, least = key[order][at][cut], one[order][at][cut]
-            most = one[order][ends[np.r_[cut[1:], len(at)] - 1]]
-            out += [(b, SINGLE, _pack(k[i], least[i], most[i])) for b, i in _by_bucket((k >> np.uint64(32)).astype(np.int64), buckets)]
+        one, two, o, _, lead = block_table(d, place, first, last, doc)
+        out = [(b, BLOCKS, _pack(one[o][i], two[o][i], lead[i])) for b, i in _by_bucket(top(one[o]), buckets)]
+        names, back = np.unique(key, return_inverse=True)
+        least, most = np.full(len(names), np.uint64(2**64 - 1)), np.zeros(len(names), np.uint64)
+        np.minimum.at(least, back, one)
+        np.maximum.at(most, back, one)
+        out += [(b, SINGLE, _pack(_steps(names[i]), least[i], least[i] ^ most[i])) for b, i in _by_bucket((names >> np.uint64(32)).astype(np.int64), buckets)]
         return _rows(left["g"][0].as_py(), out)
 
     def answer_blocks(t: pa.Table) -> pa.Table:
         out = []
-        rows = list(zip(t["kind"].to_pylist(), t["g"].to_pylist(), t["data"].to_pylist(), strict=True))
+        rows = rows_of(t, "sender")
         own = [(g, _unpack(x, np.uint64, np.uint64, np.int64)) for k, g, x in rows if k == BLOCKS]
         if own:
-            for (g, (a, b, _)), least in zip(own, _least(own), strict=True):
-                out.append((g, BLOCKS, _pack(a, b, least)))
+            out += [(g, BLOCKS, _pack(least)) for (g, _), least in zip(own, _least(own), strict=True)]
         own = [(g, _unpack(x, np.uint64, np.uint64, np.uint64)) for k, g, x in rows if k == SINGLE]
         if own:
-            key = np.concatenate([x[0] for _, x in own])
-            least, most = np.concatenate([x[1] for _, x in own]), np.concatenate([x[2] for _, x in own])
+            key = np.concatenate([_sums(x[0]) for _, x in own])
+            least = np.concatenate([x[1] for _, x in own])
+            most = np.concatenate([x[1] ^ x[2] for _, x in own])
             names, back = np.unique(key, return_inverse=True)
             lo, hi = np.full(len(names), np.uint64(2**64 - 1)), np.zeros(len(names), np.uint64)
             np.minimum.at(lo, back, least)
@@ -295,57 +331,75 @@ def _plan(width: int, gram: int, bits: int):
             for g, x in own:
                 out.append((g, SINGLE, _pack(x[0], many[at : at + len(x[0])])))
                 at += len(x[0])
-        return _rows(0, out)
+        return _rows(t["to"][0].as_py(), out)
 
-    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    def halves(d: _Docs, place, first, last, doc):
+        """Keys of the anchor with what stands before, or after it; every window of a run holds one of the two.  Also the run and side of each key."""
+        before, after = np.flatnonzero(first <= place - half), np.flatnonzero(last > place - half)
+        a = window_hashes(d.buf, place[before] - half, gram + half)[0]
+        b = window_hashes(d.buf, place[after], gram + half)[0] * _C[0]
+        return short(np.r_[a, b ^ (b >> _S[29])]), np.r_[before, after], np.r_[np.ones(len(before), bool), np.zeros(len(after), bool)]
+
+    def ask_halves(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _rows(0, [])
         d = _Docs(left)
         g = left["g"][0].as_py()
-        rows = list(zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True))
-        key, place, first, last = runs(d)
-        anchors, many = (np.concatenate(x) for x in zip(*(_unpack(x, np.uint64, np.bool_) for k, x in rows if k == SINGLE), strict=True))
+        key, place, first, last, doc = runs(d)
+        anchors, many = (np.concatenate(x) for x in zip(*((_sums(k), m) for k, m in (_unpack(x, np.uint64, np.bool_) for x in of_kind(right, SINGLE))), strict=True))
         order = np.argsort(anchors)
         anchors, many = anchors[order], many[order]
         at = np.minimum(np.searchsorted(anchors, key), len(anchors) - 1)
         keep = anchors[at] == key
-        place, first, last, many = place[keep], first[keep], last[keep], many[at[keep]]
-        doc = d.of(place)
-        one, two = _block_hashes(d.buf, place, first, last, width)
-        b1, b2, least = (np.concatenate(x) for x in zip(*(_unpack(x, np.uint64, np.uint64, np.int64) for k, x in rows if k == BLOCKS), strict=True))
-        # the answers hold every block of this group once: line both up
-        order, at = _group([one, two])
-        low_doc = np.empty(len(one), np.int64)
-        low_doc[order] = least[np.lexsort((b2, b1))][np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))]
-        gone = low_doc < d.doc[doc]
-        out = [(g % buckets, SPANS, _pack(doc[gone].astype(np.int32), (first - d.start[doc])[gone].astype(np.int64), (last - d.start[doc])[gone].astype(np.int64)))]
-        ask = ~gone & many
-        first, last, doc = first[ask], last[ask], doc[ask]
+        place, first, last, doc, many = place[keep], first[keep], last[keep], doc[keep], many[at[keep]]
+        _, _, _, which, _ = block_table(d, place, first, last, doc)
+        gone = _joined(of_kind(right, BLOCKS), np.int64)[0][which] < d.doc[doc]
+        out = [(g % buckets, SPANS, _pack(doc[gone], (first - d.start[doc])[gone], (last - d.start[doc])[gone]))]
+        still = ~gone & many
+        place, first, last, doc = place[still], first[still], last[still], doc[still]
+        out.append((g % buckets, OPEN, _pack(doc, *(x - d.start[doc] for x in (place, first, last)))))
+        return _rows(g, out + presence(np.unique(halves(d, place, first, last, doc)[0])))
+
+    def spread(d: _Docs, doc, first, last):
+        """Every window of the runs: its place, document and hashes; distinct windows in order, and each one's number."""
         n = last - first + 1
-        p = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        p = np.repeat(first + d.start[doc] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
         doc = np.repeat(doc, n)
         w1, w2 = window_hashes(d.buf, p, width)
-        bucket = (w1 >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w1), np.int64)
-        for b, i in _by_bucket(bucket, buckets):
-            order, at = _group([w1[i], w2[i], d.doc[doc[i]]])
-            x, y = w1[i][order], w2[i][order]
-            lead = at[np.r_[True, (x[at][1:] != x[at][:-1]) | (y[at][1:] != y[at][:-1])]]
-            back = np.empty(len(order), np.int32)
-            back[order] = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(order)]))
-            out.append((b, WINDOWS, _pack(x[lead], y[lead], d.doc[doc[i]][order][lead])))
-            out.append((b, PLACES, _pack(back, doc[i].astype(np.int32), p[i] - d.start[doc[i]])))
+        order, at = _group([w1, w2])
+        which = np.empty(len(p), np.int64)
+        which[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
+        return p, doc, w1[order[at]], w2[order[at]], which
+
+    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _rows(0, [])
+        d = _Docs(left)
+        g = left["g"][0].as_py()
+        out = [(g % buckets, SPANS, x) for x in of_kind(right, SPANS)]
+        doc, place, first, last = _joined(of_kind(right, OPEN), *[np.int64] * 4)
+        place, first, last = (x + d.start[doc] for x in (place, first, last))
+        key, run, before = halves(d, place, first, last, doc)
+        keep = np.isin(key, np.union1d(known_keys(right), shared_here(key, doc[run])))
+        run, before = run[keep], before[keep]
+        lo = np.where(before, first[run], np.maximum(first[run], place[run] - half + 1))
+        hi = np.where(before, np.minimum(last[run], place[run] - half), last[run])
+        doc = doc[run]
+        lo, hi = lo - d.start[doc], hi - d.start[doc]
+        out.append((g % buckets, OPEN, _pack(doc, lo, hi)))
+        _, docs, w1, w2, which = spread(d, doc, lo, hi)
+        lead = np.full(len(w1), LAST)
+        np.minimum.at(lead, which, d.doc[docs])
+        out += [(b, WINDOWS, _pack(w1[i], w2[i], lead[i])) for b, i in _by_bucket(top(w1), buckets)]
         return _rows(g, out)
 
     def answer_windows(t: pa.Table) -> pa.Table:
-        rows = list(zip(t["kind"].to_pylist(), t["g"].to_pylist(), t["data"].to_pylist(), strict=True))
-        out = [(g, SPANS, x) for k, g, x in rows if k == SPANS]
+        rows = rows_of(t, "sender")
+        out = [(g, k, x) for k, g, x in rows if k != WINDOWS]
         own = [(g, _unpack(x, np.uint64, np.uint64, np.int64)) for k, g, x in rows if k == WINDOWS]
-        places = {g: _unpack(x, np.int32, np.int32, np.int64) for k, g, x in rows if k == PLACES}
-        for (g, (_, _, mine)), least in zip(own, _least(own) if own else [], strict=True):
-            back, doc, p = places[g]
-            # a window's own smallest doc_id in this group may itself be the earlier document
-            out.append((g, WINDOWS, _pack(doc, p, least[back])))
-        return _rows(0, out)
+        if own:
+            out += [(g, WINDOWS, _pack(least)) for (g, _), least in zip(own, _least(own), strict=True)]
+        return _rows(t["to"][0].as_py(), out)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc", "th", "n_removed", "n_spans", "kept_sha256"]
@@ -353,17 +407,14 @@ def _plan(width: int, gram: int, bits: int):
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         d = _Docs(left)
+        doc, first, last = _joined(of_kind(right, SPANS), *[np.int64] * 3)
+        first, last = first + d.start[doc], last + d.start[doc]
+        p, docs, _, _, which = spread(d, *_joined(of_kind(right, OPEN), *[np.int64] * 3))
+        if len(p):
+            p = p[_joined(of_kind(right, WINDOWS), np.int64)[0][which] < d.doc[docs]]
         step = np.zeros(len(d.buf) + width, np.int32)
-        for kind, x in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
-            if kind == SPANS:
-                doc, first, last = _unpack(x, np.int32, np.int64, np.int64)
-            else:
-                doc, first, least = _unpack(x, np.int32, np.int64, np.int64)
-                gone = least < d.doc[doc]
-                doc, first = doc[gone], first[gone]
-                last = first
-            np.add.at(step, d.start[doc] + first, 1)
-            np.add.at(step, d.start[doc] + last + width, -1)
+        np.add.at(step, np.r_[first, p], 1)
+        np.add.at(step, np.r_[last, p] + width, -1)
         gone = np.cumsum(step) > 0
         out = []
         for i, text in enumerate(d.texts):
@@ -374,7 +425,7 @@ def _plan(width: int, gram: int, bits: int):
             out.append((int(d.doc[i]), hashlib.sha256(text).hexdigest(), n, spans, hashlib.sha256(kept).hexdigest()))
         return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names)
 
-    return ask_anchors, answer_anchors, ask_blocks, answer_blocks, ask_windows, answer_windows, cut
+    return (ask_anchors, answer_presence), (ask_blocks, answer_blocks), (ask_halves, answer_presence), (ask_windows, answer_windows), cut
 
 
 def _least(own: list) -> list[np.ndarray]:
@@ -423,14 +474,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
     parts = shuffle_partitions(spark)
     groups = max(2 * parts, -(-total // group_bytes))
     bits = int(np.log2(min(1 << 24, power_of_two(max(16, total / (16 << 20))))))
-    ask_anchors, answer_anchors, ask_blocks, answer_blocks, ask_windows, answer_windows, cut = _plan(width, gram, bits)
+    (ask, answer), *passes, cut = _plan(width, gram, bits)
 
     bare = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.encode("text", "UTF-8").alias("text"))
     texts = bare.mapInArrow(_distinct(groups), "g long, th binary, doc long, text binary").repartition(parts, "g")
-    one = texts.groupBy("g").applyInArrow(ask_anchors, MESSAGE).groupBy("to").applyInArrow(answer_anchors, MESSAGE)
-    two = _answered(texts, one).applyInArrow(ask_blocks, MESSAGE).groupBy("to").applyInArrow(answer_blocks, MESSAGE)
-    three = _answered(texts, two).applyInArrow(ask_windows, MESSAGE).groupBy("to").applyInArrow(answer_windows, MESSAGE)
-    done = _answered(texts, three).applyInArrow(cut, "doc long, th string, n_removed long, n_spans long, kept_sha256 string")
+    answers = texts.groupBy("g").applyInArrow(ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
+    for ask, answer in passes:
+        answers = _answered(texts, answers).applyInArrow(ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
+    done = _answered(texts, answers).applyInArrow(cut, "doc long, th string, n_removed long, n_spans long, kept_sha256 string")
 
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("th"))
     copy = F.col("n_removed").isNull()
@@ -447,5 +498,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
 
 def _answered(texts: DataFrame, answers: DataFrame):
     """Documents of a group beside the answers that came back to it."""
-    back = answers.select(F.col("to").alias("g"), "kind", "data")
+    back = answers.select(F.col("to").alias("g"), "sender", "kind", "data")
     return texts.groupBy("g").cogroup(back.groupBy("g"))
