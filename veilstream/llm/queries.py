@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veilstream.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.suffix_dedup import remove_repeats
 
