@@ -15,6 +15,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.token_store import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.suffix_dedup import remove_repeats
 
