@@ -15,6 +15,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.media import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.license_scan import scan
 
