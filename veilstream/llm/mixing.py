@@ -16,7 +16,7 @@ last; rows that repeat a doc_id are documents of their own; with no words all ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm.common import ASCII_WORD, materialise
@@ -30,10 +30,10 @@ SEED = 42
 _PRIME = 2147483647
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text)."""
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size (words of the text), and what more is asked for."""
     words = F.regexp_count("text", F.lit(ASCII_WORD))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"), *more)
 
 
 _SPARK = {
@@ -54,8 +54,9 @@ def _weight(weights: tuple[int, ...]) -> str:
     return " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
 
 
-def mix_sql(dialect: dict, sized: str, weights=WEIGHTS, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, seed=SEED) -> str:
-    """The whole mix over a relation (doc_id, source, size)."""
+def mix_sql(dialect: dict, sized: str, weights=WEIGHTS, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, seed=SEED, carry: str = "") -> str:
+    """The whole mix over a relation (doc_id, source, size), and one more column that is carried along."""
+    own, with_d = (f", {carry}", f", d.{carry}") if carry else ("", "")
     same, hex8, series = dialect["same"], dialect["hex8"], dialect["series"]
     taken = dialect["total"]("k", f"first_word // {block}", f"(first_word + size - 1) // {block}", f"CASE WHEN (k * {_PRIME} + turn) % blocks < quota % blocks THEN least(first_word + size, (k + 1) * {block}) - greatest(first_word, k * {block}) ELSE 0 END")
     sql = f"""
@@ -85,7 +86,7 @@ WITH sources AS (
 ), seats AS (
   SELECT source, max(floor_seats) + sum(CASE WHEN place <= left_over THEN 1 ELSE 0 END) AS seats FROM ranked GROUP BY source
 ), placed AS (
-  SELECT d.doc_id, d.source, d.size, md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR(20)), '')) AS turn_of, t.source_size, t.target, t.shards
+  SELECT d.doc_id{with_d}, d.source, d.size, md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR(20)), '')) AS turn_of, t.source_size, t.target, t.shards
   FROM {sized} d JOIN targets t ON {same("d.source", "t.source")}
 ), sharded AS (
   SELECT *, {hex8("turn_of")} % shards AS shard FROM placed
@@ -108,14 +109,14 @@ WITH sources AS (
     {hex8(f"md5('{seed}:' || coalesce(source, '') || ':' || CAST(shard AS VARCHAR(20)))")} AS turn
   FROM unit_ranked GROUP BY source, shard
 ), ordered AS (
-  SELECT doc_id, source, size, source_size, target, shard,
-    CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY turn_of, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word
+  SELECT doc_id{own}, source, size, source_size, target, shard,
+    CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY turn_of, doc_id, size{own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word
   FROM sharded
 ), joined AS (
   SELECT o.*, coalesce(q.quota, 0) AS quota, coalesce(q.blocks, 1) AS blocks, coalesce(q.turn, 0) AS turn
   FROM ordered o LEFT JOIN quotas q ON {same("o.source", "q.source")} AND o.shard = q.shard
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN CAST(0 AS BIGINT) ELSE quota // blocks * size + {taken} END AS taken FROM joined
+SELECT doc_id{own}, size, source_size, target, CASE WHEN size = 0 THEN CAST(0 AS BIGINT) ELSE quota // blocks * size + {taken} END AS taken FROM joined
 """
     return sql
 
@@ -131,6 +132,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     return docs.sparkSession.sql(_for_spark(mix_sql(_SPARK, "{sized}", weights, most, block, shard_words, seed)), sized=sized)
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs as the mix takes them, with all their columns: a document stays whole, stands there as often
+    as all of it is taken, and once more if its own seeded number is below the share that is left."""
+    key = F.xxhash64("text")
+    sized = materialise(sizes(docs, key.alias("text_key")), "sizes")
+    taken = docs.sparkSession.sql(_for_spark(mix_sql(_SPARK, "{sized}", weights, most, block, shard_words, seed, "text_key")), sized=sized)
+    # equal rows share one entry
+    share = taken.groupBy("doc_id", "text_key").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key")), F.lit(1 << 20)) / F.lit(1 << 20)
+    times = share.select(F.col("doc_id").alias("_mix_doc"), F.col("text_key").alias("_mix_key"), (F.floor("share") + F.when(chance < F.col("share") - F.floor("share"), 1).otherwise(0)).cast("int").alias("_mix_times")).where("_mix_times > 0")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_doc")) & key.eqNullSafe(F.col("_mix_key"))
+    return docs.join(times, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_no")).select(*docs.columns)
+
+
 def oracle() -> str:
     sized = "(SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents)"
     return "WITH sized AS " + sized + "," + mix_sql(_DUCKDB, "sized").strip()[len("WITH"):]

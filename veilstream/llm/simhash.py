@@ -40,9 +40,14 @@ _PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return two_fingerprints(text, shingle, seed, False)[0]
+
+
+def two_fingerprints(text: str | None, shingle: int = SHINGLE, seed: int = SEED, second: bool = True) -> tuple[int, int]:
+    """The fingerprint, and one of the same shingles under a second hash (0 unless asked for)."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0
     whole = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -50,22 +55,30 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     start = (end - size)[:n].tolist()
     end = end[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones, more = np.zeros(64, np.int64), np.zeros(64, np.int64)
     for at in range(0, n, _STEP):
         h = np.array([digest(whole[s:e], seed) for s, e in zip(start[at : at + _STEP], end[at : at + _STEP], strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += _bits(h)
+        if second:
+            more += _bits(_mixed(_mixed(h) + np.uint64(seed)))
+    return tuple(int(np.packbits(2 * x > n, bitorder="little").view("<u8")[0]) for x in (ones, more))
+
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed integer) for every row."""
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, second: bool = False) -> DataFrame:
+    """doc_id, text_key (hash of the text), fp and fp2 (64 bits each, as signed integers) for every row."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x, shingle, seed) for x in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            both = np.array([two_fingerprints(x, shingle, seed, second) for x in batch["text"].to_pylist()], np.uint64).reshape(-1, 2)
+            fps = [pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *fps], ["doc_id", "text_key", "fp", "fp2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long, fp2 long")
 
 
 class Code:
@@ -122,7 +135,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_RECORD = np.dtype([("anchor", "<u8"), ("fp", "<u8"), ("id", "<i8"), ("home", "?")])
+_SHORT = np.dtype([("anchor", "<u8"), ("fp", "<u8"), ("id", "<i8"), ("home", "?")])
+_LONG = np.dtype([*_SHORT.descr, ("fp2", "<u8")])
 
 
 class Forest:
@@ -146,7 +160,7 @@ class Forest:
             x = y
 
 
-def _links_here(rec: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among the records of some anchors: (node, smallest node connected to it here)."""
     rec = rec[np.argsort(rec["anchor"], kind="stable")]
     ids, node = np.unique(rec["id"], return_inverse=True)
@@ -155,10 +169,16 @@ def _links_here(rec: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
     size = np.diff(edge)
     homes = np.add.reduceat(rec["home"].astype(np.int64), edge[:-1])
     fp = rec["fp"].copy()
+    fp2 = rec["fp2"].copy() if total is not None else fp
 
     def tell(a, b):
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= threshold
-        forest.join(node[a[near]], node[b[near]])
+        differ = np.bitwise_count(fp[a] ^ fp[b])
+        near = differ <= threshold
+        a, b = a[near], b[near]
+        if total is not None:
+            near = differ[near] + np.bitwise_count(fp2[a] ^ fp2[b]) <= total
+            a, b = a[near], b[near]
+        forest.join(node[a], node[b])
 
     # small anchors together: every home row against every row of its anchor
     work = homes * size
@@ -178,21 +198,27 @@ def _links_here(rec: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray
         for at in range(0, len(own), step):
             part = own[at : at + step]
             i, j = np.nonzero(np.bitwise_count(fp[home][:, None] ^ fp[part][None, :]) <= threshold)
-            forest.join(node[home[i]], node[part[j]])
+            tell(home[i], part[j])
     root = forest.find(np.arange(len(ids)))
     moved = root != np.arange(len(ids))
     return ids[moved], ids[root[moved]]
 
 
-def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, tile: int = 8192) -> DataFrame:
-    """nodes: fp long, id long (one row per fingerprint).  Links a, b that connect all within the threshold."""
+def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, tile: int = 8192, total: int | None = None) -> DataFrame:
+    """nodes: fp long, fp2 long, id long (one row per fingerprint).  Links a, b that connect all within the threshold.
+
+    With total, a link also needs that fp and fp2 together differ in at most so many bits.
+    """
+    record = _SHORT if total is None else _LONG
+    if "fp2" not in nodes.columns:
+        nodes = nodes.withColumn("fp2", F.lit(0).cast("long"))
     spark = nodes.sparkSession
     n = nodes.count()
     code = Code(blocks or (3 if n <= FINE_FROM else 2), threshold)
     reach = max(len(x) for f in code.flips.values() for x in f.values())
-    total = n * reach * len(code.blocks)
-    tile = max(tile, total // 50_000)  # so at most 50,000 anchors are cut
-    buckets = max(16, -(-total // 600_000))
+    records_bound = n * reach * len(code.blocks)
+    tile = max(tile, records_bound // 50_000)  # so at most 50,000 anchors are cut
+    buckets = max(16, -(-records_bound // 600_000))
     spread = nodes.repartition(min(max(2 * shuffle_partitions(spark), n // 200_000), max(1, n)), "id")
 
     def counted(batches):
@@ -221,14 +247,16 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
 
     def sent(batches):
         for batch in batches:
-            fp, ids = batch["fp"].to_numpy().view(np.uint64), batch["id"].to_numpy()
+            fp, fp2, ids = (batch[c].to_numpy() for c in ("fp", "fp2", "id"))
             for s in range(0, len(fp), 8192):
-                yield from records(fp[s : s + 8192], ids[s : s + 8192])
+                yield from send(*(x[s : s + 8192] for x in (fp.view(np.uint64), fp2.view(np.uint64), ids)))
 
-    def records(fp, ids):
+    def send(fp, fp2, ids):
         row, name, home = code.anchors(fp)
-        rec = np.empty(len(row), _RECORD)
+        rec = np.empty(len(row), record)
         rec["anchor"], rec["fp"], rec["id"], rec["home"] = name, fp[row], ids[row], home
+        if total is not None:
+            rec["fp2"] = fp2[row]
         tile_no = np.zeros(len(rec), np.uint64)
         if len(hot_names):
             at = np.minimum(np.searchsorted(hot_names, name), len(hot_names) - 1)
@@ -257,23 +285,47 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
             yield pa.RecordBatch.from_arrays([pa.array([int(to[p[0]]) for p in parts], pa.int64()), pa.array([rec[p].tobytes() for p in parts], pa.binary())], ["b", "data"])
 
     def compared(t: pa.Table) -> pa.Table:
-        rec = np.concatenate([np.frombuffer(x, _RECORD) for x in t["data"].to_pylist()])
-        a, b = _links_here(rec, threshold)
+        rec = np.concatenate([np.frombuffer(x, record) for x in t["data"].to_pylist()])
+        a, b = _links_here(rec, threshold, total)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.mapInArrow(sent, "b long, data binary").groupBy("b").applyInArrow(compared, "a long, b long")
 
 
+def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED, blocks: int | None = None, total: int | None = None) -> DataFrame:
+    """Per row of docs: doc_id, text_key, fp, component (smallest doc_id reachable, or a name from NAMELESS on)."""
+    fps = materialise(fingerprints(docs, shingle, seed, total is not None), "fingerprints")
+    bare = F.lit(NAMELESS) + F.xxhash64("fp", "fp2").bitwiseAND(F.lit(NAMELESS - 1))
+    nodes = materialise(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")).select("fp", "fp2", F.coalesce("id", bare).alias("id")), "nodes")
+    up = roots(near_links(nodes, threshold, blocks, total=total))
+    named = nodes.join(up.withColumnRenamed("node", "id"), "id", "left").select("fp", "fp2", F.coalesce("root", "id").alias("component"))
+    return fps.join(materialise(named, "named"), ["fp", "fp2"]).select("doc_id", "text_key", "fp", "component")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    fps = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    bare = F.lit(NAMELESS) + F.col("fp").bitwiseAND(F.lit(NAMELESS - 1))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).select("fp", F.coalesce("id", bare).alias("id")), "nodes")
-    up = roots(near_links(nodes, threshold))
-    named = nodes.join(up.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    named = materialise(named, "named")
-    return fps.join(named, "fp").select(
+    return groups(docs, threshold, shingle, seed).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"),
+        F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"),
     )
+
+
+#: For dropping near copies: five-word shingles; similarity 0.8 differs in about 10 of 64 and 19 of 128 bits.
+DROP_SHINGLE, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS = 5, 11, 24, 4
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = DROP_THRESHOLD, total: int = DROP_TOTAL, shingle: int = DROP_SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each group of near copies (that of the smallest doc_id), with all its columns.
+
+    Texts link if their fingerprints differ in at most ``threshold`` bits, and in at most ``total`` bits
+    together with a second fingerprint of the same shingles, which rules out chance at this distance.
+    """
+    found = materialise(groups(docs, threshold, shingle, seed, DROP_BLOCKS, total), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    stay = found.groupBy("component").agg(least.alias("x")).select(F.col("x.doc_id").alias("_stay_doc"), F.col("x.text_key").alias("_stay_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_doc")) & F.xxhash64("text").eqNullSafe(F.col("_stay_key"))
+    kept = docs.join(stay, same, "left_semi")
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():  # equal rows: one of them
+        kept = kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept
