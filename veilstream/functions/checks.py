@@ -66,8 +66,9 @@ def verhoeff_rows() -> list[list[int]]:
     return rows
 
 
-def verhoeff(x: Column, n: int = 12) -> Column:
-    """Over the first n digits."""
+def verhoeff(x: Column) -> Column:
+    """Over the first twelve digits."""
+    n = 12
     rows = F.array(*(F.array(*map(F.lit, r)) for r in verhoeff_rows()))
     back = F.reverse(F.slice(digit_values(only_digits(x)), 1, n))
     mapped = F.transform(back, lambda d, i: F.get(F.get(rows, i % 8), d))

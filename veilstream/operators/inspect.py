@@ -86,4 +86,5 @@ def verified(df: DataFrame, verifier: Column, for_file: bool = False) -> DataFra
 
 def explode_findings(df: DataFrame, key: str) -> DataFrame:
     """A row for each finding: key, seq (scan order from 0), category, match_name, snippet, severity, redacted_replacement."""
-    return df.select(key, F.posexplode("findings").alias("seq", "f")).select(key, "seq", "f.*")
+    # outer: the inner form would first test the size of the array, and so detect everything twice
+    return df.select(key, F.posexplode_outer("findings").alias("seq", "f")).where("f is not null").select(key, "seq", "f.*")

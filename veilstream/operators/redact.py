@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Extensions of formats that stay valid when their text is replaced.
 TEXT_EXTENSIONS = ["txt", "md", "csv", "json", "log", "yaml", "yml", "xml", "html", "htm"]
@@ -32,7 +33,7 @@ def mask_value(value, findings: list) -> object:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redact_json(text: pd.Series, findings: pd.Series) -> pd.Series:
     def one(t, fs):
         if t is None:
