@@ -160,12 +160,12 @@ class Model:
 
 
 def _apart(texts: list[str], size: int = 16) -> list[str]:
-    """The texts without copies and near copies of one another: those that share half a bottom sketch of their long words."""
+    """The texts without copies and near copies of one another: those that share half a bottom sketch of their words."""
     kept, seen = [], {}
     for t in sorted(set(texts)):
-        sketch = sorted(xxhash.xxh32_intdigest(w) for w in set(_TOKEN.findall(t.lower())) if len(w) > 7)[:size]
+        sketch = sorted(xxhash.xxh32_intdigest(w) for w in set(_TOKEN.findall(t.lower())) if len(w) > 3)[:size]
         alike = Counter(n for h in sketch for n in seen.get(h, ()))
-        if not sketch or not alike or 2 * max(alike.values()) < len(sketch):
+        if len(sketch) < size // 2 or not alike or 2 * max(alike.values()) < len(sketch):
             for h in sketch:
                 seen.setdefault(h, []).append(len(kept))
             kept.append(t)
