@@ -68,7 +68,7 @@ def resolved_extension(filename: Column, content: Column, mime: Column) -> Colum
 
 def lossy_text(content: Column) -> Column:
     """UTF-8 with U+FFFD for what is none."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 
