@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +34,13 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 def context(text: Column, span: Column, around: int = AROUND) -> Column:
-    """The match with at least so many bytes before and after it, in whole characters, in lower case."""
-    before = F.substr(text, F.greatest(span["start"] - around, F.lit(0)) + 1, F.least(span["start"], F.lit(around)))
-    after = F.substr(text, span["end"] + 1, F.lit(around))
-    # in characters of several bytes fewer of them are enough
-    need = F.sequence(F.lit(0), F.lit(around))
-    n_before = F.coalesce(F.get(F.filter(need, lambda k: F.octet_length(F.right(before, k)) >= around), F.lit(0)), F.lit(around))
-    n_after = F.coalesce(F.get(F.filter(need, lambda k: F.octet_length(F.left(after, k)) >= around), F.lit(0)), F.lit(around))
-    return F.lower(F.concat(F.right(before, n_before), span["snippet"], F.left(after, n_after)))
+    """The match with so many bytes before and after it, in lower case; a character that is cut becomes U+FFFD."""
+    before = F.encode(F.substr(text, F.greatest(span["start"] - around, F.lit(0)) + 1, F.least(span["start"], F.lit(around))), "UTF-8")
+    after = F.encode(F.substr(text, span["end"] + 1, F.lit(around)), "UTF-8")
+    near = F.concat(F.substring(before, -around, around), F.encode(span["snippet"], "UTF-8"), F.substring(after, 1, around))
+    return F.lower(F.make_valid_utf8(near.cast("string")))
 
 
 def holds_any(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    """Whether one of the words (ASCII, in lower case) stands in the text."""
+    return F.rlike(text, F.lit("|".join(map(re.escape, words))))

@@ -46,13 +46,14 @@ def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False,
     decided = scored.withColumn("_decision", decide(F.col("findings"), p, row))
     kept = active(F.col("findings"), p)
     masked = (redact_any if json_aware else redact)(F.col(text), F.col("findings"))
-    out = (
-        decided.withColumn("action", F.col("_decision.action"))
-        .withColumn("matched_rules", F.col("_decision.matched_rules"))
-        .withColumn("findings", kept)
-        .withColumn("sanitized", masked if response else F.when(F.col("action") == "Redact", masked).otherwise(F.col(text)))
-        .drop("_decision")
-    )
+    out = decided.withColumns(
+        {
+            "action": F.col("_decision.action"),
+            "matched_rules": F.col("_decision.matched_rules"),
+            "findings": kept,
+            "sanitized": masked if response else F.when(F.col("_decision.action") == "Redact", masked).otherwise(F.col(text)),
+        }
+    ).drop("_decision")
     if p["paused_until"] is None:
         return out
     paused = (now if now is not None else F.unix_timestamp()) < F.lit(p["paused_until"])
@@ -62,13 +63,7 @@ def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False,
 
 def _unscanned(df: DataFrame, text: str) -> DataFrame:
     none = F.array().cast(D.FINDINGS)
-    return (
-        df.withColumn("findings", none)
-        .withColumn("risk", score(none))
-        .withColumn("action", F.lit("Allow"))
-        .withColumn("matched_rules", F.array().cast("array<string>"))
-        .withColumn("sanitized", F.col(text))
-    )
+    return df.withColumns({"findings": none, "risk": score(none), "action": F.lit("Allow"), "matched_rules": F.array().cast("array<string>"), "sanitized": F.col(text)})
 
 
 def verified(df: DataFrame, verifier: Column, for_file: bool = False) -> DataFrame:
