@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from veilstream.functions import checks
+from veilstream.functions import checks, small
 from veilstream.functions.spans import context, spans
 from veilstream.operators import audit, lookups, metrics
 from veilstream.operators import detectors as D
@@ -295,3 +295,22 @@ def test_rollups_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, live.live_requests(events).collect()))
     assert live.hourly(events).agg(F.sum("events")).first()[0] == 30 and live.sessions(events).count() == 10
     assert live.hourly(stream).isStreaming
+
+
+def test_small_functions(spark):
+    assert values(spark, ["1.10", "1.9", "1.x", None], lambda x: small.is_newer(x, F.lit("1.9"))) == [True, False, False, None]
+    frame = findings_frame(spark, [{**FINDING, "match_name": n, "category": c} for n, c in [("US_SSN", "Pii"), ("AWS_ACCESS_KEY", "Secret"), ("US_SSN", "Pii"), ("hush", "CustomKeyword")]])
+    row = frame.select(small.described(F.col("findings")).alias("d"), small.loggable(F.col("findings")).alias("l")).first()
+    assert row["d"] == "us ssn, AWS access key, hush" and row["l"][3]["match_name"] == "custom keyword" and "snippet" not in row["l"][0].asDict()
+    assert findings_frame(spark, []).select(small.described(F.col("findings"))).first()[0] == "sensitive content"
+    assert tuple(spark.range(1).select(small.outcome(F.lit("RequireApproval"))).first()[0]) == (True, False, "block")
+    assert values(spark, ["Application/JSON", "text/html", "image/png", None], small.scannable_type) == [True, True, False, False]
+    times = spark.range(1).select(small.pause_left(F.lit(10), F.lit(4)), small.pause_left(F.lit(4), F.lit(10)), small.days_left(F.timestamp_seconds(F.lit(200_000)), F.timestamp_seconds(F.lit(0)), 1)).first()
+    assert tuple(times) == (6, None, 3)
+    assert small.dechunked("4;x=1\r\nWiki\r\n3\r\nabc\r\n0\r\n") == "Wikiabc"
+    with pytest.raises(ValueError):
+        small.dechunked("ff\r\nshort")
+    assert small.settings('{"a":{"x":2},"c":3}', {"a": {"x": 1, "y": 1}, "b": 1}) == {"a": {"x": 2, "y": 1}, "b": 1, "c": 3}
+    changes = spark.createDataFrame([(1, "local", None), (2, "central", 7), (3, "local", None), (4, "local", None)], "seq int, kind string, version long")
+    assert tuple(small.provenance(changes).first()) == ("local", 9, True)
+    assert tuple(small.provenance(changes.where("seq < 3")).first()) == ("central", 7, False)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.functions import checks
+from veilstream.functions import small as W
 from veilstream.operators import audit as A
 from veilstream.operators import detectors as D
 from veilstream.operators import lookups as L
@@ -423,6 +424,23 @@ def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.join_parts(P.load(spark, sf_dir, "conversations").withColumnRenamed("turn", "part_no"), "conv_id")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_id % 4 = 1 ELSE event_id % 4 = 3 END AS newer FROM events")
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("event_id") % 4 + 1).cast("int"))
+    return P.load(spark, sf_dir, "events").select("event_id", W.is_newer(pick("1.9", "1.10", "1.x.0", "2"), pick("1.10", "1.9", "1.0.0", "1.9.9")).alias("newer"))
+
+
+@query(f"SELECT id, action_taken IN ('Block', 'RequireApproval') AS stop, action_taken = 'Redact' AS redact, CASE action_taken WHEN 'Allow' THEN NULL WHEN 'RequireApproval' THEN 'block' ELSE lower(action_taken) END AS notice FROM {AUDIT}")
+def verdict_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.outcome(F.col("action_taken"))
+    return _audit(spark, sf_dir).select("id", out["stop"].alias("stop"), out["redact"].alias("redact"), out["notice"].alias("notice"))
+
+
+@query("SELECT c_custkey, upper(substr(h, 1, 4)) || '-' || upper(substr(h, 5, 4)) || '-' || upper(substr(h, 9, 4)) || '-' || upper(substr(h, 13, 4)) AS fingerprint FROM (SELECT c_custkey, sha256(CAST(c_custkey AS VARCHAR) || '|' || c_name) AS h FROM customer)")
+def machine_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.load(spark, sf_dir, "customer").select("c_custkey", W.fingerprint(F.col("c_custkey").cast("string"), F.col("c_name")).alias("fingerprint"))
+
+
 # ---- streams --------------------------------------------------------------------------------------
 
 @query(f"SELECT tenant_id, CAST(epoch(date_trunc('hour', timestamp)) AS BIGINT) AS hour, count(*) AS events, CAST(sum(finding_count) AS BIGINT) AS findings FROM {AUDIT} GROUP BY 1, 2")
