@@ -93,8 +93,8 @@ def test_dropping_near_copies(spark):
 
     def linked(i, j):
         a, b = (two_fingerprints(rows[k][1], 5) for k in (i, j))
-        first = (a[0] ^ b[0]).bit_count()
-        return first <= 11 and first + (a[1] ^ b[1]).bit_count() <= 24
+        differ = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+        return min(differ) <= 11 and sum(differ) <= 24
 
     groups: dict = {}
     for i, root in enumerate(components(len(rows), linked)):

@@ -218,7 +218,7 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     reach = max(len(x) for f in code.flips.values() for x in f.values())
     records_bound = n * reach * len(code.blocks)
     tile = max(tile, records_bound // 50_000)  # so at most 50,000 anchors are cut
-    buckets = max(16, -(-records_bound // 600_000))
+    buckets = max(16, -(-records_bound // 300_000))
     spread = nodes.repartition(min(max(2 * shuffle_partitions(spark), n // 200_000), max(1, n)), "id")
 
     def counted(batches):
@@ -297,7 +297,10 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE,
     fps = materialise(fingerprints(docs, shingle, seed, total is not None), "fingerprints")
     bare = F.lit(NAMELESS) + F.xxhash64("fp", "fp2").bitwiseAND(F.lit(NAMELESS - 1))
     nodes = materialise(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")).select("fp", "fp2", F.coalesce("id", bare).alias("id")), "nodes")
-    up = roots(near_links(nodes, threshold, blocks, total=total))
+    links = near_links(nodes, threshold, blocks, total=total)
+    if total is not None:  # either fingerprint may be the near one
+        links = links.union(near_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"), threshold, blocks, total=total))
+    up = roots(links)
     named = nodes.join(up.withColumnRenamed("node", "id"), "id", "left").select("fp", "fp2", F.coalesce("root", "id").alias("component"))
     return fps.join(materialise(named, "named"), ["fp", "fp2"]).select("doc_id", "text_key", "fp", "component")
 
@@ -318,8 +321,8 @@ DROP_SHINGLE, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS = 5, 11, 24, 4
 def drop_near_duplicates(docs: DataFrame, threshold: int = DROP_THRESHOLD, total: int = DROP_TOTAL, shingle: int = DROP_SHINGLE, seed: int = SEED) -> DataFrame:
     """One row of each group of near copies (that of the smallest doc_id), with all its columns.
 
-    Texts link if their fingerprints differ in at most ``threshold`` bits, and in at most ``total`` bits
-    together with a second fingerprint of the same shingles, which rules out chance at this distance.
+    Texts have two fingerprints of the same shingles.  They link if one of the two differs in at most ``threshold``
+    bits, and both together in at most ``total``, which rules out chance at this distance.
     """
     found = materialise(groups(docs, threshold, shingle, seed, DROP_BLOCKS, total), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
