@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilstream.functions import checks, small
 from veilstream.functions.spans import context, spans
-from veilstream.operators import audit, lookups, metrics
+from veilstream.operators import audit, lookups, metrics, models
 from veilstream.operators import detectors as D
 from veilstream.operators.inspect import inspect, verified
 from veilstream.operators.keywords import KeywordRule, keyword_findings
@@ -16,7 +16,7 @@ from veilstream.operators.policy import category_action, decide, payment_pack, p
 from veilstream.operators.redact import redact, redact_any
 from veilstream.operators.risk import context_points, score
 from veilstream.operators.rules import compile_condition, enforced
-from veilstream.sources import bodies, files
+from veilstream.sources import bodies, files, multipart
 from veilstream.streaming import holdback, limits, live
 
 
@@ -314,3 +314,35 @@ def test_small_functions(spark):
     changes = spark.createDataFrame([(1, "local", None), (2, "central", 7), (3, "local", None), (4, "local", None)], "seq int, kind string, version long")
     assert tuple(small.provenance(changes).first()) == ("local", 9, True)
     assert tuple(small.provenance(changes.where("seq < 3")).first()) == ("central", 7, False)
+
+
+def test_model_slots(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob"), (2, None), (3, "broken")], "id int, text string")
+
+    def names(texts):
+        return [[{"type": "PERSON", "start": t.find(n), "end": t.find(n) + len(n), "score": s} for n, s in (("Ann", 0.4), ("Bob", 0.394)) if n in t] for t in texts]
+
+    def fails(texts):
+        raise RuntimeError
+
+    got = {r["id"]: r for r in inspect(docs, policy(), scanners=[models.slot(names), models.slot(fails)]).collect()}
+    assert (got[1]["sanitized"], got[2]["action"], got[3]["action"]) == ("[REDACTED_PERSON] met Bob", "Allow", "Allow")
+    frame = spark.createDataFrame([("a", "x"), ("b", "x")], "who string, body string")
+    assert [r[0] for r in frame.select(models.translated(F.col("who"), F.col("body"))).collect()] == ["x", "x"]
+    models.TRANSLATIONS["b"] = (str.upper, str.lower)
+    try:
+        assert [r[0] for r in frame.select(models.translated(F.col("who"), F.col("body"))).collect()] == ["x", "X"]
+    finally:
+        models.TRANSLATIONS.clear()
+    assert models.status(policy(paused_until=10), {"version": 3}, 2, 4) == {"applications": 0, "keywords": 0, "rules": 0, "profiles": 2, "pause_left": 6, "version": 3}
+
+
+def test_multipart(spark):
+    body = b'--B\r\nContent-Disposition: form-data; name="f"; filename="a.txt"\r\nContent-Type: text/plain\r\n\r\nhi\r\nyou\r\n--B\r\nContent-Disposition: form-data; name="g"\r\n\r\n\r\n--B--\r\n'
+    assert list(multipart.parts_of(body, "B")) == [("f", "a.txt", "text/plain", b"hi\r\nyou"), ("g", None, None, b"")]
+    assert list(multipart.parts_of(b"--B\r\nbroken", "B")) == list(multipart.parts_of(b"", "B")) == []
+    rows = multipart.parse_parts(spark.createDataFrame([("r", body, "B")], "request_id string, body binary, boundary string")).collect()
+    assert [(r["part_no"], r["filename"]) for r in rows] == [(0, "a.txt"), (1, None)]
+    packed = gzip.compress(b'{"prompt":"a b"}')
+    assert gzip.decompress(multipart.rewritten(packed, lambda t: t.upper())) == b'{"prompt":"A B"}'
+    assert multipart.rewritten(gzip.compress(b'{"x":1}'), str.upper) is None and multipart.rewritten(b"{}", str.upper) is None

@@ -50,7 +50,7 @@ def _redact_json(text: pd.Series, findings: pd.Series) -> pd.Series:
 def redact_any(text: Column, findings: Column) -> Column:
     """JSON documents leaf by leaf (compact, keys sorted), everything else as plain text.
 
-    Only texts that can be JSON and have something to mask go through Python.
+    Only texts that can be JSON and have something to mask are sent to Python, others as nulls.
     """
     maybe = F.rlike(text, F.lit(r'^\s*[\[{"0-9tfn-]')) & (F.size(findings) > 0)
-    return F.coalesce(F.when(maybe, _redact_json(text, findings)), redact(text, findings))
+    return F.coalesce(_redact_json(F.when(maybe, text), F.when(maybe, findings)), redact(text, findings))

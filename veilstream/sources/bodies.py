@@ -81,9 +81,9 @@ def _extracted(body: pd.Series) -> pd.DataFrame:
 
 
 def extract_content(df: DataFrame, body: str = "body") -> DataFrame:
-    """df with text (to be scanned), n_locations and is_json.  Bodies that cannot be JSON do not go through Python."""
+    """df with text (to be scanned), n_locations and is_json.  Bodies that cannot be JSON reach Python as nulls."""
     maybe = F.rlike(F.col(body), F.lit(r'^\s*[\[{"0-9tfn-]'))
-    out = df.withColumn("_x", F.when(maybe, _extracted(F.col(body))))
+    out = df.withColumn("_x", _extracted(F.when(maybe, F.col(body))))
     return (
         out.withColumn("text", F.coalesce(F.col("_x.text"), url_decoded(F.col(body))))
         .withColumn("n_locations", F.coalesce(F.col("_x.n_locations"), F.lit(0)))
