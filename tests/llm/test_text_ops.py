@@ -25,6 +25,10 @@ from veilstream.llm.trigram_index import query
             "T\n\nA long paragraph of text that goes on and on.\n\nS.",
         ),
         ("<article><header><h1>Title</h1><span>by me</span></header><ul><li>one<li>two</ul><form>f</form></article>", "Title\n\none\n\ntwo"),
+        (
+            '<div class="with-sidebar"><article><p>kept</p></article><div class="sidebar">side</div></div><div class="comments"><article id="comment-1"><p>reader</p></article></div>',
+            "kept",
+        ),
         ("<article><p>kept</p><div class='ad'>Buy</div><p>too", "kept\n\ntoo"),
     ],
 )

@@ -60,7 +60,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # name, number of the element
-        self.heading_ok = False
+        self.heading_ok = self.by_name = False
         self.silent = self.chrome = 0  # depth of the outermost such element, or 0
         self.links = self.articles = self.count = self.tags = self.free = 0
         self.text: list[str] = []
@@ -118,9 +118,12 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
         if not self.silent and tag in SILENT:
             self.silent = depth
+        if self.chrome and self.by_name and tag in ("article", "main") and not _is_part(attrs):
+            self.chrome = 0  # a wrapper whose name speaks of another part of the page
         if not self.chrome and (tag in CHROME or tag not in ("html", "body", "article", "main") and _is_part(attrs)):
             self.flush()
             self.chrome = depth
+            self.by_name = tag not in CHROME
             self.heading_ok = self.articles > 0 and (tag == "header" or any("header" in (v or "") for k, v in attrs if k in ("class", "id")))
         self.articles += tag in ("article", "main")
 
