@@ -27,6 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from veilstream.llm.common import give_back
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
@@ -220,6 +222,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array([not m.hits(x) for x in batch["text"].to_pylist()], pa.bool_()))
+            give_back()
 
         return docs.mapInArrow(run, docs.schema)
 

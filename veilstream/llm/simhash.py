@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import materialise, power_of_two, shuffle_partitions
+from veilstream.llm.common import give_back, materialise, power_of_two, shuffle_partitions
 from veilstream.llm.components import roots
 
 SHINGLE = 4
@@ -37,6 +37,8 @@ NAMELESS = 1 << 62
 FINE_FROM = 1 << 25
 _STEP = 1 << 16
 _PAIRS = 1 << 20
+#: fingerprints that are sent to their anchors at a time
+_ROWS = 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -224,7 +226,9 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     def counted(batches):
         count: list = []
         for batch in batches:
-            count.append(np.unique(code.anchors(batch["fp"].to_numpy().view(np.uint64))[1], return_counts=True))
+            fp = batch["fp"].to_numpy().view(np.uint64)
+            for s in range(0, len(fp), _ROWS):
+                count.append(np.unique(code.anchors(fp[s : s + _ROWS])[1], return_counts=True))
         if count:
             names, back = np.unique(np.concatenate([c[0] for c in count]), return_inverse=True)
             sums = np.bincount(back, np.concatenate([c[1] for c in count])).astype(np.int64)
@@ -248,8 +252,9 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     def sent(batches):
         for batch in batches:
             fp, fp2, ids = (batch[c].to_numpy() for c in ("fp", "fp2", "id"))
-            for s in range(0, len(fp), 8192):
-                yield from send(*(x[s : s + 8192] for x in (fp.view(np.uint64), fp2.view(np.uint64), ids)))
+            for s in range(0, len(fp), _ROWS):
+                yield from send(*(x[s : s + _ROWS] for x in (fp.view(np.uint64), fp2.view(np.uint64), ids)))
+        give_back()
 
     def send(fp, fp2, ids):
         row, name, home = code.anchors(fp)
@@ -287,6 +292,8 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     def compared(t: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, record) for x in t["data"].to_pylist()])
         a, b = _links_here(rec, threshold, total)
+        del rec
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.mapInArrow(sent, "b long, data binary").groupBy("b").applyInArrow(compared, "a long, b long")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import scratch, shuffle_partitions
+from veilstream.llm.common import give_back, scratch, shuffle_partitions
 from veilstream.llm.elias_fano import EliasFano
 
 MAGIC = b"VSTOK1\0\0"
@@ -33,7 +33,7 @@ _HEAD = struct.Struct("<8sBQQQ")
 NO_ID = 2**63 - 1
 SEGMENT_IDS = 1 << 20
 #: entries of each of the two generations of remembered runs
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, data binary"
 
 _PLAIN = re.compile(r"[A-Za-z0-9!-&(-/:-@\[-`{-~À-ÖØ-öø-ÿ]+")
@@ -175,6 +175,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, seg
                         seq, names, ids, n = seq + 1, [], [], 0
         if names:
             yield segment()
+        names, ids = [], []
+        give_back()
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", F.xxhash64("text"))

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.common import give_back
+
 #: labelled rows of each label that are collected to fit the model
 PER_LABEL = 3000
 REJECT = 0.7
@@ -94,7 +96,7 @@ GRAMMAR = _window(TARGET, AT_TARGET, 4) >> _window(NEGATION, NEGATED, 3) >> _win
 class _Lexicon(dict):
     """Word -> (symbol, stem weight); words not yet seen are looked up by prefix and remembered, up to a bound."""
 
-    def __init__(self, stems: dict[str, float], limit: int = 400_000):
+    def __init__(self, stems: dict[str, float], limit: int = 200_000):
         super().__init__()
         self.stems, self.limit = stems, limit
         self.lengths = sorted({len(s) for s in stems})
@@ -263,6 +265,8 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
         for batch in batches:
             x = np.array([of(t) for t in batch["text"].to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(x), pa.array((x >= reject).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        del of
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -275,5 +279,7 @@ def drop_toxic(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
         of = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([of(t) < reject for t in batch["text"].to_pylist()], pa.bool_()))
+        del of
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
