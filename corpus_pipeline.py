@@ -16,6 +16,9 @@ from veilstream.llm.simhash import drop_near_duplicates
 from veilstream.llm.token_store import store_and_read
 from veilstream.llm.toxicity import drop_toxic, train
 
+#: Jaccard similarity from which two documents are near copies.
+NEAR = 0.8
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar rejects go; it is fitted on labelled rows that are not held out."""
@@ -23,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one of the smallest doc_id."""
+    return drop_near_duplicates(docs, similarity=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import docs_of
 from veilstream.llm.components import roots
-from veilstream.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates, near_links, two_fingerprints
+from veilstream.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates, near_links, similar_groups, two_fingerprints
 from veilstream.llm.suffix_dedup import remove_repeats
 
 
@@ -105,6 +106,50 @@ def test_dropping_near_copies(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(min(g, key=lambda d: (d is None, d))) for g in groups.values())
 
 
+def test_near_copies_are_confirmed_by_their_shingles(spark):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(4000)]
+    rows = [(0, None), (1, ""), (2, " \n")]
+    rows += [(10 + i, " ".join(rng.choices(words, k=rng.choice([1, 4, 5, 6, 7, 8])))) for i in range(400)]
+    rows += [(1000, rows[5][1]), (1001, rows[6][1].upper()), (None, "lonely text of its own kind"), (None, rows[8][1])]
+    for _ in range(15):
+        base = rng.choices(words, k=rng.choice([60, 200]))
+        for c in range(4):
+            x = list(base)
+            for _ in range(c):
+                x[rng.randrange(len(x))] = rng.choice(words)
+            rows.append((2000 + len(rows), " ".join(x)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    prints = [two_fingerprints(t, 5) for _, t in rows]
+
+    def near(i, j):
+        differ = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
+        return min(differ) <= 11 and sum(differ) <= 24
+
+    loose = components(len(rows), lambda i, j: bool(sets[i]) and bool(sets[j]) and min(map(len, (sets[i], sets[j]))) >= 4 and near(i, j))
+    same = lambda i, j: sets[i] == sets[j] or loose[i] == loose[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    groups: dict = {}
+    for i, root in enumerate(components(len(rows), same)):
+        groups.setdefault(root, []).append(rows[i][0])
+    docs = docs_of(spark, rows)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(min(g, key=lambda d: (d is None, d))) for g in groups.values())
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_similar_groups_are_exact():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(4, 40), dtype=np.uint64))
+        for _ in range(rng.integers(1, 6)):
+            x = np.unique(np.r_[x[rng.random(len(x)) > 0.08], rng.integers(0, 200, 1, dtype=np.uint64)])
+            sets.append(x)
+    s = [set(x.tolist()) for x in sets]
+    assert similar_groups(sets, 0.8).tolist() == components(len(s), lambda i, j: 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]))
+
+
 def brute_repeats(rows, width=50):
     first: dict = {}
     for d, t in rows:

@@ -47,9 +47,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def two_fingerprints(text: str | None, shingle: int = SHINGLE, seed: int = SEED, second: bool = True) -> tuple[int, int]:
     """The fingerprint, and one of the same shingles under a second hash (0 unless asked for)."""
+    return _folded(_hashes(text, shingle, seed), seed, second)
+
+
+def _hashes(text: str | None, shingle: int, seed: int):
+    """The hashes of a text's shingles in order, in arrays of bounded size."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0
+        return
     whole = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -57,15 +62,30 @@ def two_fingerprints(text: str | None, shingle: int = SHINGLE, seed: int = SEED,
     start = (end - size)[:n].tolist()
     end = end[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones, more = np.zeros(64, np.int64), np.zeros(64, np.int64)
     for at in range(0, n, _STEP):
-        h = np.array([digest(whole[s:e], seed) for s, e in zip(start[at : at + _STEP], end[at : at + _STEP], strict=True)], np.uint64)
+        yield np.array([digest(whole[s:e], seed) for s, e in zip(start[at : at + _STEP], end[at : at + _STEP], strict=True)], np.uint64)
+
+
+def _folded(hashes, seed: int, second: bool) -> tuple[int, int]:
+    ones, more, n = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
         ones += _bits(h)
         if second:
             more += _bits(_mixed(_mixed(h) + np.uint64(seed)))
     return tuple(int(np.packbits(2 * x > n, bitorder="little").view("<u8")[0]) for x in (ones, more))
 
 
+def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def _set_key(own: np.ndarray) -> int:
+    """A name for a set of shingles; 0 is kept for the empty one."""
+    return (xxhash.xxh64_intdigest(own.tobytes(), SEED) | 1) - (1 << 63) if len(own) else 0
+
+
 def _bits(h: np.ndarray) -> np.ndarray:
     """In how many of the hashes each bit is set."""
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -325,13 +345,130 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 DROP_SHINGLE, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS = 5, 11, 24, 4
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = DROP_THRESHOLD, total: int = DROP_TOTAL, shingle: int = DROP_SHINGLE, seed: int = SEED) -> DataFrame:
+#: Bits of the map that says which texts may be needed; it only saves reading others.
+_MAP_BITS = 26
+
+
+def _enough(common, a, b, similarity: float):
+    """Whether sets of sizes a and b with so many common members are similar enough."""
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the first one that it is connected to over pairs of at least this Jaccard similarity.
+
+    Two such sets share one of the few rarest members of either (the prefix), so only those are looked up.
+    """
+    size = np.array([len(x) for x in sets])
+    members, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(members), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(members))
+    edge = np.r_[0, np.cumsum(size)]
+    own = [np.sort(x) for x in np.split(rank[token], edge[1:-1])]
+    prefix = [x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] for x in own]
+    where = np.repeat(np.arange(len(sets)), [len(x) for x in prefix])
+    at = np.concatenate(prefix)
+    order = np.argsort(at, kind="stable")
+    where, first = where[order], np.searchsorted(at[order], np.arange(len(members) + 1))
+    root, marked = np.full(len(sets), -1), np.zeros(len(members), bool)
+    left = len(sets)
+    for seed in range(len(sets)):
+        if root[seed] >= 0:
+            continue
+        root[seed], queue, left = seed, [seed], left - 1
+        while queue and left:
+            a = queue.pop()
+            near = np.unique(np.concatenate([where[first[t] : first[t + 1]] for t in prefix[a]]))
+            near = near[root[near] < 0]
+            near = near[np.minimum(size[near], size[a]) >= similarity * np.maximum(size[near], size[a]) - 1e-9]
+            marked[own[a]] = True
+            for part in np.split(near, np.searchsorted(np.cumsum(size[near]), np.arange(_PAIRS, size[near].sum(), _PAIRS))):
+                if len(part):
+                    common = np.add.reduceat(marked[np.concatenate([own[b] for b in part])].astype(np.int64), np.r_[0, np.cumsum(size[part])[:-1]])
+                    found = part[_enough(common, size[part], size[a], similarity)]
+                    root[found] = seed
+                    queue += found.tolist()
+                    left -= len(found)
+            marked[own[a]] = False
+    return root
+
+
+def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: int, blocks: int, similarity: float) -> DataFrame:
+    """Per row of docs: doc_id, text_key, component.
+
+    Equal shingle sets are one.  Fingerprints say which sets are compared; those of one group of them that are
+    connected over pairs of at least the similarity have one component.  Sets so small that only equal ones can be
+    similar enough (the empty one of wordless texts, too) have no part in that.
+    """
+    least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 62
+    row = F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+    def sketch(batches):
+        for batch in batches:
+            rows = []
+            for x in batch["text"].to_pylist():
+                hashes = list(_hashes(x, shingle, seed))
+                own = shingle_set(hashes)
+                rows.append((*_folded(hashes, seed, True), _set_key(own), len(own)))
+            fps = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2)
+            more = np.array([r[2:] for r in rows], np.int64).reshape(-1, 2)
+            columns = [np.ascontiguousarray(fps[:, k]).view(np.int64) for k in (0, 1)] + [more[:, 0], more[:, 1]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["row_key"], *map(pa.array, columns)], ["doc_id", "text_key", "row_key", "fp", "fp2", "set_key", "n"])
+        give_back()
+
+    kinds = "doc_id long, text_key long, row_key long, fp long, fp2 long, set_key long, n long"
+    fps = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), row.alias("row_key")).mapInArrow(sketch, kinds), "fingerprints")
+    items = materialise(fps.where(F.col("n") >= least).groupBy("set_key", "fp", "fp2").agg(F.min("row_key").alias("row_key")), "items")
+    nodes = materialise(items.groupBy("fp", "fp2").agg(F.min("set_key").alias("id"), F.count("*").alias("sets")), "nodes")
+    links = near_links(nodes.select("fp", "fp2", "id"), threshold, blocks, total=total)
+    links = links.union(near_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"), threshold, blocks, total=total))
+    up = roots(links)
+    linked = up.select("node", "root").union(up.select(F.col("root").alias("node"), "root").distinct())
+    named = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").where("root is not null or sets > 1")
+    wanted = materialise(items.join(named.select("fp", "fp2", F.coalesce("root", "id").alias("near")), ["fp", "fp2"]).select("set_key", "row_key", "near"), "wanted")
+
+    slot = F.shiftrightunsigned("row_key", 64 - _MAP_BITS)
+    one = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(row_key, {64 - _MAP_BITS}) & 63 AS INT))")
+    words = wanted.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    present = np.zeros(1 << (_MAP_BITS - 6), np.int64)
+    present[words["at"].to_numpy()] = words["bits"].to_numpy()
+    present = docs.sparkSession.sparkContext.broadcast(present)
+
+    def gather(batches):
+        there = present.value.view(np.uint64)
+        for batch in batches:
+            key = batch["row_key"].to_numpy().view(np.uint64) >> np.uint64(64 - _MAP_BITS)
+            ask = there[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)
+            for s in range(0, len(ask), 256):
+                sets = [shingle_set(list(_hashes(batch["text"][int(i)].as_py(), shingle, seed))) for i in s + np.flatnonzero(ask[s : s + 256])]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["set_key", "own"])
+        give_back()
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys, at = np.unique(t["set_key"].to_numpy(), return_index=True)
+        root = similar_groups([np.frombuffer(t["own"][int(i)].as_py(), np.uint64) for i in at], similarity)
+        moved = root != np.arange(len(root))
+        out = pa.table({"set_key": pa.array(keys[moved]), "root": pa.array(keys[root[moved]])})
+        give_back()
+        return out
+
+    sets = docs.select("text", row.alias("row_key")).mapInArrow(gather, "set_key long, own binary")
+    moved = materialise(sets.join(wanted.select("set_key", "near"), "set_key").groupBy("near").applyInArrow(lambda t: compare(t.select(["set_key", "own"])), "set_key long, root long"), "confirmed")
+    return fps.join(moved, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = DROP_THRESHOLD, total: int = DROP_TOTAL, shingle: int = DROP_SHINGLE, seed: int = SEED, similarity: float | None = None) -> DataFrame:
     """One row of each group of near copies (that of the smallest doc_id), with all its columns.
 
     Texts have two fingerprints of the same shingles.  They link if one of the two differs in at most ``threshold``
-    bits, and both together in at most ``total``, which rules out chance at this distance.
+    bits, and both together in at most ``total``.  Chance can do that to short texts: with ``similarity``, such links
+    are candidates only, and texts are near copies over pairs of at least that Jaccard similarity of their shingles.
     """
-    found = materialise(groups(docs, threshold, shingle, seed, DROP_BLOCKS, total), "groups")
+    if similarity is None:
+        found = groups(docs, threshold, shingle, seed, DROP_BLOCKS, total)
+    else:
+        found = confirmed(docs, threshold, total, shingle, seed, DROP_BLOCKS, similarity)
+    found = materialise(found, "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     stay = found.groupBy("component").agg(least.alias("x")).select(F.col("x.doc_id").alias("_stay_doc"), F.col("x.text_key").alias("_stay_key"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_doc")) & F.xxhash64("text").eqNullSafe(F.col("_stay_key"))
