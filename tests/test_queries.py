@@ -34,6 +34,14 @@ def test_query_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
 
 
+def test_every_event_gives_a_finding(spark, duck):
+    from veilstream.plans import planted
+
+    n, users = duck.execute("SELECT count(*), count(DISTINCT user_id) FROM events").fetchone()
+    assert planted.findings(spark, DATA).count() == n == duck.execute(f"SELECT count(*) FROM ({planted.findings_sql()})").fetchone()[0]
+    assert registry.queries()["risk_score"](spark, DATA).count() == users
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -68,11 +68,11 @@ FROM events"""
 
 
 def findings_sql() -> str:
-    """A findings table, out of the events table."""
+    """A findings table, out of the events table: one finding for every event."""
     return """SELECT CAST(user_id AS BIGINT) AS doc_id, event_id AS seq,
   CASE event_id % 8 WHEN 0 THEN 'Secret' WHEN 1 THEN 'PromptInjection' WHEN 2 THEN 'Financial' WHEN 3 THEN 'Pii' WHEN 4 THEN 'Toxicity' WHEN 5 THEN 'CustomKeyword' WHEN 6 THEN 'Internal' ELSE 'Other' END AS category,
   CASE event_id % 5 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'medium' ELSE 'high' END AS severity
-FROM events WHERE event_id % 3 = 0"""
+FROM events"""
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
