@@ -36,6 +36,22 @@ def test_main_text(html, text):
     assert extract(html) == text
 
 
+LONG = "A long paragraph of text that goes on and on, and then a little further."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div class='page has-sidebar'><div id='content'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'>side</div></div></body>", f"{LONG}\n\n{LONG}"),
+        (f"<body><div class='page-header-wrap'><div id='content'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'>side</div></div></body>", f"{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><h2 id='legal-history'>History</h2><p>{LONG}</p></article>", f"{LONG}\n\nHistory\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><section class='related-work'><p>{LONG}</p></section><div class='share-links'><a>x</a><a>y</a></div></article>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_names_do_not_drop_content(html, text):
+    assert extract(html) == text
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert sorted(tuple(r) for r in main_text(pages).collect()) == [(1, "u", "é", 1), (2, None, "", 0)]

@@ -3,7 +3,8 @@
 The standard library's parser streams start, end and text events; they are folded into *lines*, one for each
 block of the page, with the number of tags they hold, the characters in and outside links, and the chain of
 elements around them.  Lines inside elements that say they are no content (navigation, adverts, forms, notices,
-comments ...) are chrome and leave the page.  The text-to-tag ratios of the other lines are smoothed with a
+comments ...) are chrome and leave the page; a
+name alone does not do that to an element that holds the page's text.  The text-to-tag ratios of the other lines are smoothed with a
 Gaussian along the page and split into two clusters by a threshold; the lines of the upper cluster vote, with their
 characters, for the elements around them.  The innermost element that holds nearly all of the votes (an article
 or main element, if there is one) is the content region, and all its lines are kept, however short.
@@ -43,15 +44,24 @@ LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
-def _is_part(attrs: list) -> bool:
+#: a name that starts so tells how a page is laid out, not what the element is
+LAYOUT = frozenset("has with no".split())
+
+
+def _part(attrs: list) -> str:
+    """Whether the names make it another part of the page: "whole" (the name says nothing else), "mixed" or ""."""
+    found = ""
     for name, value in attrs:
-        if name in ("class", "id") and value and not PARTS.isdisjoint(x.lower() for x in _NAME.findall(value)):
-            return True
-        if name == "role" and value and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return "whole"
+        if name in ("class", "id") and value:
+            for token in value.split():
+                words = [x.lower() for x in _NAME.findall(token)]
+                if words and words[0] not in LAYOUT and not PARTS.isdisjoint(words):
+                    if PARTS.issuperset(words):
+                        return "whole"
+                    found = "mixed"
+    return found
 
 
 class _Lines(HTMLParser):
@@ -60,18 +70,22 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # name, number of the element
-        self.heading_ok = self.by_name = False
+        self.heading_ok = False
+        self.named: list[tuple[int, int]] = []  # depth and number of the open elements with a name of a page part
+        self.parts: dict[int, tuple[bool, bool]] = {}  # of these: whether the name is mixed, whether in an article
         self.silent = self.chrome = 0  # depth of the outermost such element, or 0
         self.links = self.articles = self.count = self.tags = self.free = 0
         self.text: list[str] = []
-        self.lines: list[tuple[list[str], int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[str], int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.names: dict[int, str] = {}
 
     def flush(self):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.lines.append((words, self.tags, self.free, tuple(n for _, n in self.stack)))
+                title = self.heading_ok and any(n in HEADINGS for n, _ in self.stack)
+                held = () if title else tuple(n for _, n in self.named)
+                self.lines.append((words, self.tags, self.free, tuple(n for _, n in self.stack), held))
             self.text = []
         self.tags = self.free = 0
 
@@ -80,9 +94,11 @@ class _Lines(HTMLParser):
         for name, _ in self.stack[depth:]:
             self.links -= name == "a"
             self.articles -= name in ("article", "main")
-        if any(name in BLOCKS for name, _ in self.stack[depth:]):
+        if any(name in BLOCKS for name, _ in self.stack[depth:]) or self.named and self.named[-1][0] > depth:
             self.flush()
         del self.stack[depth:]
+        while self.named and self.named[-1][0] > depth:
+            self.named.pop()
         if self.silent > depth:
             self.silent = 0
         if self.chrome > depth:
@@ -118,13 +134,18 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
         if not self.silent and tag in SILENT:
             self.silent = depth
-        if self.chrome and self.by_name and tag in ("article", "main") and not _is_part(attrs):
-            self.chrome = 0  # a wrapper whose name speaks of another part of the page
-        if not self.chrome and (tag in CHROME or tag not in ("html", "body", "article", "main") and _is_part(attrs)):
+        part = "" if tag in HEADINGS else _part(attrs)
+        if self.named and not self.chrome and tag in ("article", "main") and not part:
+            self.named = []  # a wrapper whose name speaks of another part of the page
+        if not self.chrome and (tag in CHROME or part and tag not in ("html", "body", "article", "main")):
             self.flush()
-            self.chrome = depth
-            self.by_name = tag not in CHROME
-            self.heading_ok = self.articles > 0 and (tag == "header" or any("header" in (v or "") for k, v in attrs if k in ("class", "id")))
+            if not self.named:
+                self.heading_ok = self.articles > 0 and (tag == "header" or any("header" in (v or "") for k, v in attrs if k in ("class", "id")))
+            if tag in CHROME:
+                self.chrome = depth
+            else:
+                self.named.append((depth, self.count))
+                self.parts[self.count] = part == "mixed", self.articles > 0
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
@@ -167,12 +188,32 @@ def _threshold(x: np.ndarray) -> float:
         low, high = a, b
 
 
+def _content(p: _Lines) -> list[tuple]:
+    """The lines without those of elements that their names, and their share of the page, make another part of it.
+
+    An element of a mixed name stays if it holds half of the page's characters, or in an article if its ratio is in the
+    upper cluster; one that is named after nothing but page parts stays if it holds nearly all characters.
+    """
+    free = [line for line in p.lines if not line[4]]
+    total = sum(line[2] + 1 for line in p.lines)
+    border = _threshold(np.array([x / max(1, tags) for _, tags, x, _, _ in free], float)) if free else 0.0
+    sums = {n: [0, 0, 0] for n in p.parts}
+    for _, tags, x, _, held in p.lines:
+        for n in held:
+            sums[n] = [a + b for a, b in zip(sums[n], (tags, x, 1), strict=True)]
+    stays = {}
+    for n, (mixed, inside) in p.parts.items():
+        tags, x, count = sums[n]
+        stays[n] = mixed and inside and x >= border * max(1, tags) or x + count >= (0.5 if mixed else MOST) * total
+    return [(*line[:4],) for line in p.lines if all(stays[n] for n in line[4])]
+
+
 def extract(html: str | None) -> str:
     p = _Lines()
     p.feed(html or "")
     p.close()
     p.flush()
-    lines = p.lines
+    lines = _content(p)
     if not lines:
         return ""
     ratio = np.array([free / max(1, tags) for _, tags, free, _ in lines], float)
