@@ -147,6 +147,13 @@ def test_secret_digest(spark):
     assert secret_scan.digest(docs_of(spark, [])).count() == 0
 
 
+def test_url_logins_of_any_length():
+    texts = [f"see https://{'u' * n}:{'p' * m}@example.org now" for n, m in ((1, 3), (80, 80), (5, 93), (200, 4), (300, 5000))]
+    kinds = [r.kind for r in secret_scan.RULES]
+    for t, own in zip(texts, secret_scan.Scanner().scan(texts), strict=True):
+        assert [t[a:b] for a, n, b in own if kinds[n] == "url_login"] == [t[4:-4]]
+
+
 def test_clause_grammar():
     lexicon = toxicity._Lexicon({})
     marks = lambda t: toxicity.matches(t, lexicon)

@@ -50,7 +50,7 @@ MORE = [
     Rule("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     Rule("private_key", re.compile(r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----")),
     Rule("bearer", re.compile(r"bearer\x20+[A-Za-z0-9._~+/-]{20,}=*", re.I | re.A)),
-    Rule("url_login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{3,80}@[A-Za-z0-9.-]+")),
+    Rule("url_login", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@[A-Za-z0-9.-]+")),
 ]
 RULES = BASE + MORE
 
