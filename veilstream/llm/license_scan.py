@@ -27,7 +27,9 @@ K = 3
 COVER = 0.75
 #: diagonals at most so far apart are neighbours
 DRIFT = 3
+#: a word, once A-Z are lower-cased, and what parts words
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The phrases of the base list, and notices that licenses tell their users to give.
@@ -101,8 +103,9 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT xxhash64({names}) AS h, * FROM VALUES {', '.join(rows)} AS t(notice, label, base, place, grams, {names})")
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+def _words(text: Column) -> Column:
+    """Words of a text in order; cutting at what parts them is one pass, where extracting copies a match state a word."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), APART), "")
 
 
 def _row_key() -> list[Column]:
@@ -111,7 +114,7 @@ def _row_key() -> list[Column]:
 
 def hits(docs: DataFrame) -> DataFrame:
     """Every k-gram of every text that a notice has too: doc_id, text_key, notice, label, base, grams, place, word."""
-    words = docs.select(*_row_key(), F.regexp_extract_all(_lower(F.col("text")), F.lit(WORD), 0).alias("w"))
+    words = docs.select(*_row_key(), _words(F.col("text")).alias("w"))
     rolling = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (K - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("w", i + j) for j in range(1, K))))
     grams = words.select("doc_id", "text_key", "w", F.posexplode(rolling).alias("word", "h"))
     # compared after the join, as two inequalities: an equation would become part of the join's key
@@ -163,8 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
         )
         .withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     )
-    any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
-    rows = docs.select(*_row_key(), F.regexp_count("text", F.lit(any_word)).cast("long").alias("n_words"))
+    rows = docs.select(*_row_key(), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return joined.select(
         "doc_id",
