@@ -4,12 +4,13 @@ A store is a folder of segments.  A segment holds consecutive documents in ascen
 doc_ids and the document boundaries in Elias-Fano code, and the id array (2 bytes an id if every id of the
 vocabulary fits, else 4).  Segments are numbered (part, seq); parts follow the ranges of doc_id.
 
-White space parts the pre-tokens of the tokenizer used here, so each white-space run of a text is encoded by
-itself and remembered; a run of plain letters, digits and signs is put together from its pieces, which repeat
-far more often.  Anything else goes through the tokenizer as it is.
+White space parts the pre-tokens of the tokenizer used here, so the texts of a slice are cut there at once and only
+distinct runs are encoded.  A run of plain letters, digits and signs is put together from the pieces of its lower
+case, which repeat far more often and are remembered; any other goes through the tokenizer as it is.
 
 Defined results: null text counts as empty; an empty text has the end id alone; a null doc_id sorts last and is
-read back as null; documents that repeat a doc_id follow each other by text; an empty table gives an empty store.
+read back as null; documents that repeat a doc_id follow each other by text, equal rows each count; a text longer than
+a slice is encoded by itself and may make a segment longer; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,21 @@ from pyspark.sql import functions as F
 from veilstream.llm.common import give_back, scratch, shuffle_partitions
 from veilstream.llm.elias_fano import EliasFano
 
-MAGIC = b"VSTOK1\0\0"
-_HEAD = struct.Struct("<8sBQQQ")
+MAGIC = b"VSTOK2\0\0"
+_HEAD = struct.Struct("<8sBQQQQ")
 NO_ID = 2**63 - 1
 SEGMENT_IDS = 1 << 20
-#: entries of each of the two generations of remembered runs
-REMEMBERED = 250_000
+#: bytes of text that are encoded at a time (a longer text goes by itself)
+SLICE_BYTES = 8 << 20
+#: entries of each of the two generations of remembered pieces
+REMEMBERED = 400_000
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, data binary"
 
-_PLAIN = re.compile(r"[A-Za-z0-9!-&(-/:-@\[-`{-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: runs that may be cut into pieces, and the pieces of their lower case: letters, a digit, signs
+_PLAIN = r"^[A-Za-z0-9!-&(-/:-@\[-`{-~À-ÖØ-öø-ÿ]+$"
+_PIECE = r"([a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+#: pieces that are encoded as one text
+_TOGETHER = 200
 
 
 class _Memory:
@@ -58,8 +65,31 @@ class _Memory:
         self.young[key] = value
 
 
+class _Table:
+    """Lists of ids laid end to end."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray):
+        self.ids, self.size = ids, size
+
+    @classmethod
+    def of(cls, parts: list[bytes], kind: np.dtype) -> _Table:
+        return cls(np.frombuffer(b"".join(parts), kind), np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize)
+
+    def take(self, which: np.ndarray) -> _Table:
+        size = self.size[which]
+        first = (np.cumsum(self.size) - self.size)[which] - (np.cumsum(size) - size)
+        return _Table(self.ids[np.repeat(first, size) + np.arange(size.sum())], size)
+
+    def joined(self, offsets: np.ndarray) -> _Table:
+        """Neighbouring lists made one, from each offset to the next."""
+        return _Table(self.ids, np.diff(np.r_[0, np.cumsum(self.size)][offsets]))
+
+    def __add__(self, other: _Table) -> _Table:
+        return _Table(np.r_[self.ids, other.ids], np.r_[self.size, other.size])
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes of a fixed width, equal to the tokenizer's own."""
+    """Ids of texts, equal to the tokenizer's own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,7 +97,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.runs, self.pieces = _Memory(REMEMBERED), _Memory(REMEMBERED)
+        self.known = _Memory(REMEMBERED)
+        ends = [n for x, n in self.tokenizer.get_vocab().items() if x.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[ends] = True
         self.by_runs = self._splits_on_white_space()
 
     def _splits_on_white_space(self) -> bool:
@@ -75,45 +108,55 @@ class Encoder:
         t = self.tokenizer
         probe = "Ab, c1's é́x\t́y  z!?\nÅngström<|x 42 don't"
         alone = [i for x in probe.encode().split() for i in t.encode(x.decode(), add_special_tokens=False).ids]
-        pieces = [i for x in _PIECE.findall("ab12,c!?é") for i in t.encode(x, add_special_tokens=False).ids]
+        pieces = [i for x in re.findall(_PIECE, "ab12,c!?é") for i in t.encode(x, add_special_tokens=False).ids]
         return alone == t.encode(probe, add_special_tokens=False).ids and pieces == t.encode("Ab12,C!?É", add_special_tokens=False).ids
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> _Table:
         if not self.by_runs:
-            return self._bytes(texts)
-        split = [x.encode().split() for x in texts]
-        found: dict[bytes, bytes] = {}
-        for run in set().union(*split):
-            found[run] = self.runs.get(run)
-        self._learn([k for k, v in found.items() if v is None], found)
-        get = found.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-    def _learn(self, runs: list[bytes], found: dict[bytes, bytes]) -> None:
-        whole, parted, new = [], [], {}
-        for run in runs:
-            text = run.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                pieces = _PIECE.findall(text.lower())
-                parted.append((run, pieces))
-                for p in pieces:
-                    if p not in new:
-                        new[p] = self.pieces.get(p)
+            return _Table.of(self._bytes(texts.to_pylist()), self.kind)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        runs = coded.dictionary
+        plain = pc.and_not(pc.match_substring_regex(runs, _PLAIN), pc.match_substring(runs, "<|"))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(runs.filter(plain)), _PIECE, r"\1 "))
+        pieces = cut.values.dictionary_encode()
+        parted = self._pieces(pieces.dictionary.to_pylist()).take(pieces.indices.to_numpy()).joined(cut.offsets.to_numpy())
+        table = parted + self._whole(runs.filter(pc.invert(plain)).to_pylist())
+        place = plain.to_numpy(zero_copy_only=False)
+        number = np.where(place, np.cumsum(place) - 1, place.sum() + np.cumsum(~place) - 1)
+        return table.take(number[coded.indices.to_numpy()]).joined(split.offsets.to_numpy())
+
+    def _remembered(self, texts: list[str], encode) -> _Table:
+        found = {x: self.known.get(x) for x in texts}
+        found[""] = b""  # what stands before leading and after trailing white space
+        missing = [k for k, v in found.items() if v is None]
+        for x, ids in zip(missing, encode(missing), strict=True):
+            found[x] = ids
+            self.known.put(x, ids)
+        return _Table.of([found[x] for x in texts], self.kind)
+
+    def _whole(self, runs: list[str]) -> _Table:
+        return self._remembered(runs, self._bytes)
+
+    def _pieces(self, pieces: list[str]) -> _Table:
+        return self._remembered(pieces, self._one_word_each)
+
+    def _one_word_each(self, pieces: list[str]) -> list[bytes]:
+        """Pieces are one word each to the tokenizer, so many go as one text, cut at the ids that end a word."""
+        parts = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize
+            if len(ends) == len(part) and ends[-1] == ids.nbytes:
+                data, ends = ids.tobytes(), ends.tolist()
+                out += [data[a:b] for a, b in zip([0, *ends], ends)]
             else:
-                whole.append(run)
-        missing = [p for p, v in new.items() if v is None]
-        for p, ids in zip(missing, self._bytes(missing), strict=True):
-            new[p] = ids
-            self.pieces.put(p, ids)
-        for run, ids in zip(whole, self._bytes([x.decode() for x in whole]), strict=True):
-            found[run] = ids
-        for run, pieces in parted:
-            found[run] = b"".join([new[p] for p in pieces])
-        for run in runs:
-            self.runs.put(run, found[run])
+                out += self._bytes(part)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,17 +170,21 @@ def encoder(path: str) -> Encoder:
 
 
 def write_segment(doc_ids: list[int], ids: list[bytes], width: int) -> bytes:
-    lengths = np.array([len(x) // width for x in ids], np.int64)
-    names = EliasFano.encode(np.array(doc_ids, np.int64)).to_bytes()
+    return pack_segment(np.array(doc_ids, np.int64), np.array([len(x) // width for x in ids], np.int64), np.frombuffer(b"".join(ids), f"<u{width}"))
+
+
+def pack_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """nameless: how many documents at the end have no doc_id."""
+    names = EliasFano.encode(doc_ids).to_bytes()
     ends = EliasFano.encode(np.r_[0, np.cumsum(lengths)]).to_bytes()
-    return b"".join([_HEAD.pack(MAGIC, width, len(names), len(ends), int(lengths.sum())), names, ends, *ids])
+    return b"".join([_HEAD.pack(MAGIC, ids.itemsize, len(names), len(ends), len(ids), nameless), names, ends, ids.tobytes()])
 
 
 class Segment:
     """A segment as read back: document i is ids[ends.select(i):ends.select(i + 1)]."""
 
     def __init__(self, data: bytes):
-        magic, width, a, b, n = _HEAD.unpack_from(data)
+        magic, width, a, b, n, self.nameless = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a segment")
         at = _HEAD.size
@@ -146,7 +193,18 @@ class Segment:
         self.ids = np.frombuffer(data, f"<u{width}", n, at + a + b)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i) : self.ends.select(i + 1)]
+        first, end = self.ends.select([i, i + 1])
+        return self.ids[first:end]
+
+
+def _slices(text: pa.Array, size: int = SLICE_BYTES):
+    """Ranges of texts of bounded size."""
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
@@ -155,31 +213,38 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, seg
 
     def run(batches):
         encode = encoder(tokenizer)
-        width = encode.kind.itemsize
-        stop = np.array([end_id], encode.kind).tobytes()
-        part, seq, names, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, held = TaskContext.get().partitionId(), 0, []
 
         def segment():
-            row = (part, seq, len(names), n, write_segment(names, ids, width))
+            nonlocal seq, held
+            names, none, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = (part, seq, len(names), len(ids), pack_segment(names, lengths, ids, int(none.sum())))
+            seq, held = seq + 1, []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_ids", "data"])
 
+        n = 0
         for batch in batches:
-            doc, text = batch["doc"].to_pylist(), batch["text"].to_pylist()
-            for at in range(0, len(doc), 256):
-                for name, got in zip(doc[at : at + 256], encode(text[at : at + 256]), strict=True):
-                    names.append(name)
-                    ids.append(got + stop)
-                    n += len(got) // width + 1
+            doc, none = batch["doc"].to_numpy(), batch["none"].to_numpy(zero_copy_only=False)
+            for a, b in _slices(batch["text"]):
+                coded = encode(batch["text"].slice(a, b - a))
+                ends = np.cumsum(coded.size)
+                ids, lengths, ends = np.insert(coded.ids, ends, end_id), coded.size + 1, ends + np.arange(1, b - a + 1)
+                at = 0
+                while at < b - a:  # a segment ends with the document that fills it
+                    first = ends[at - 1] if at else 0
+                    to = min(b - a, int(np.searchsorted(ends, first + segment_ids - n)) + 1)
+                    held.append((doc[a + at : a + to], none[a + at : a + to], lengths[at:to], ids[first : ends[to - 1]]))
+                    n += int(ends[to - 1] - first)
+                    at = to
                     if n >= segment_ids:
                         yield segment()
-                        seq, names, ids, n = seq + 1, [], [], 0
-        if names:
+                        n = 0
+        if held:
             yield segment()
-        names, ids = [], []
         give_back()
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), "none", "doc").sortWithinPartitions("none", "doc", F.xxhash64("text"))
     ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
@@ -191,14 +256,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, data in zip(batch["part"].to_pylist(), batch["seq"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 s = Segment(data)
-                ends = s.ends.values()
+                ends = s.ends.select(np.arange(s.ends.n))
                 wide = s.ids.astype("<u4")
                 view = memoryview(wide).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 n = len(crc)
                 names = s.doc_ids.values()
+                nameless = np.arange(n) >= n - s.nameless
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64(), mask=names == NO_ID), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
+                    [pa.array(names, pa.int64(), mask=nameless), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "seq", "here", "n_tokens", "ids_crc32"],
                 )
 
