@@ -1,28 +1,31 @@
 """Removal of repeated 50-byte windows by a depth-limited most-significant-digit sort of suffixes.
 
-Two suffixes that agree in their first ``width`` units are the same repeated window, so no suffix is ever
-ordered deeper than that.  The digits are taken in passes, and each pass keeps only suffixes whose group
-still holds two documents:
-
-1. first digit: the *anchor*, the ``gram``-unit string with the smallest hash inside a window.  Equal
-   windows have equal anchors at equal offsets, so one key stands for a whole run of neighbouring windows.
-   Anchors seen in one document only are dropped.
-2. second digit: the *block*, all units covered by the windows of one anchor.  Equal blocks are resolved
-   for all their windows together; an anchor with one single block needs no further pass.
-3. third digit: the anchor with half of what a window can hold before it, or after it.  Every window holds
-   one of the two; windows whose half is in one document only are dropped.
-4. last digit: the full window (128-bit hash) for what is still open.
-
-Every pass is one request and one answer: a group of documents sends each distinct key once, with its
-smallest doc_id, to the key's bucket, and gets the smallest doc_id of all groups back.  A key therefore has
-at most one record per group, however many documents share it; no record ever lists the documents of a key.
+Two suffixes that agree in their first ``width`` bytes are the same repeated window, so no suffix is ever ordered
+deeper than that.
+
+1. Dealing.  A window's *anchor* is the ``gram``-byte string with the smallest hash inside it.  It depends on the
+   window alone, so equal windows have equal anchors, and neighbouring windows mostly share theirs: such a run of
+   windows is one stretch of text of up to 2 * width - gram bytes.  Each group of documents tells which anchors it
+   has; windows whose anchor no other document has cannot repeat and go no further.
+2. Sorting.  Each distinct stretch that is left goes, as its bytes, to the bucket of its anchor.  A bucket orders the
+   suffixes that start in its stretches by most-significant-digit passes: two bytes first, then four more bytes a pass
+   within the groups that still hold two suffixes, down to depth ``width``.  The groups left at that depth hold equal
+   bytes, so they are exactly the repeated windows; nothing rests on a hash being unique.  The group's smallest
+   doc_id goes back to each stretch.
+3. Cutting.  A document loses the bytes of its windows whose smallest doc_id is less than its own.
+
+Each group of documents sends a stretch once, with its smallest doc_id, however many documents share it, and a
+bucket lists no documents.  An anchor that stands in more than ``hot`` runs of windows is refined by further digits
+before it is dealt: its windows go out one by one, to the buckets of their own bytes.  Message rows grow with the
+keys a group holds, never with groups times buckets.
 
 Texts are first reduced to one row per distinct text and task; an exact copy of an earlier document is
 settled by that alone.
 
-Defined results: null text counts as empty; a text shorter than the window keeps everything; rows that repeat
-a doc_id do not count as earlier than each other; a null doc_id comes after all others; extra columns are
-ignored; an empty table gives an empty result.
+Defined results: null text counts as empty; a text shorter than the window keeps everything; a text of any length is
+handled whole, in the memory of one task; rows that repeat a doc_id do not count as earlier than each other; a null
+doc_id comes after all others, as does 2^63 - 1, which counts as none; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,8 +47,15 @@ _CHUNK = 1 << 17
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S = {n: np.uint64(n) for n in (29, 31, 32)}
 
+#: runs of windows above which an anchor's windows are dealt one by one
+HOT = 200_000
+#: text that a partition of documents holds
+PARTITION_BYTES = 64 << 20
+#: suffixes that are ordered at a time
+_SORTED = 1 << 20
+
 #: kinds of message rows
-ANCHORS, BLOCKS, SINGLE, OPEN, WINDOWS, SPANS = range(6)
+ANCHORS, STRETCHES, RUNS, SINGLES = range(4)
 
 
 # ---- kernels -------------------------------------------------------------------------------------
@@ -120,48 +130,54 @@ def anchor_runs(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, width: in
     return value, place, first, last
 
 
-def window_hashes(buf: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows that start at the given places."""
-    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
-    words = -(-width // 8)
-    cols = np.arange(width)
-    for s in range(0, len(at), 1 << 15):
-        part = at[s : s + (1 << 15)]
-        m = np.zeros((len(part), words * 8), np.uint8)
-        m[:, :width] = buf[part[:, None] + cols]
-        w = m.view("<u8")
-        a = np.full(len(part), _C[3])
-        b = np.full(len(part), _C[1])
-        for k in range(words):
-            a = (a ^ w[:, k]) * _C[0]
-            a ^= a >> _S[32]
-            b = (b + w[:, k]) * _C[2]
-            b ^= b >> _S[29]
-        one[s : s + len(part)] = (a * _C[1]) ^ (a >> _S[31])
-        two[s : s + len(part)] = (b * _C[3]) ^ (b >> _S[32])
-    return one, two
-
-
-def _block_hashes(buf, place, first, last, width):
-    """A block is the union of its first and its last window, which overlap."""
-    a1, a2 = window_hashes(buf, first, width)
-    b1, b2 = window_hashes(buf, last, width)
-    shape = ((last - first) * 4096 + (place - first)).astype(np.uint64)
-    one = (a1 * _C[0] + b1) * _C[2] + shape * _C[3]
-    two = (a2 * _C[2] + b2) * _C[0] + shape * _C[1]
-    return one ^ (one >> _S[32]), two ^ (two >> _S[29])
-
-
-def _group(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by the keys, and where each group starts in that order."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order, np.flatnonzero(new)
+def _window_hashes(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows at the given places; they only say which bucket a window goes to."""
+    loads = _loads(buf)
+    h = np.zeros(len(at), np.uint64)
+    for off in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        h = (h ^ loads[at + off]) * _C[0]
+        h ^= h >> _S[29]
+    return h * _C[1]
+
+
+def cut_out(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The given pieces of a buffer."""
+    ends = np.r_[0, np.cumsum(size)].astype(np.int64)
+    data = buf[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def equal_suffixes(buf: np.ndarray, at: np.ndarray, width: int):
+    """Groups of two and more suffixes (places at) that agree in their first ``width`` bytes: (order, starts) pairs.
+
+    order holds numbers of suffixes group by group, starts where each group begins.
+    """
+    digit = buf[at].astype(np.uint16) << np.uint16(8) | buf[at + 1]
+    order = np.argsort(digit, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(digit[order]) != 0, True])
+    lo = 0
+    while lo < len(edge) - 1:  # whole groups of the first digit, as many as may be ordered at a time
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + _SORTED, "right")) - 1)
+        part, starts = order[edge[lo] : edge[hi]], edge[lo:hi] - edge[lo]
+        lo = hi
+        depth = 2
+        while True:
+            size = np.diff(np.r_[starts, len(part)])
+            many = size > 1
+            part = part[np.repeat(many, size)]
+            if not len(part):
+                break
+            group = np.repeat(np.arange(many.sum(), dtype=np.uint64), size[many])
+            if depth >= width:
+                yield part, np.flatnonzero(np.r_[True, np.diff(group) != 0])
+                break
+            key = group
+            for k in range(4):  # beyond the width all suffixes agree
+                key = key << np.uint64(8) | (buf[at[part] + depth + k].astype(np.uint64) if depth + k < width else np.uint64(0))
+            ranked = np.argsort(key, kind="stable")
+            part, key = part[ranked], key[ranked]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            depth += 4
 
 
 # ---- a group of documents ------------------------------------------------------------------------
@@ -219,186 +235,144 @@ def _sums(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
 
 
-def _joined(parts, *kinds) -> list[np.ndarray]:
-    got = [_unpack(x, *kinds) for x in parts]
-    return [np.concatenate([np.zeros(0, k), *(x[i] for x in got)]) for i, k in enumerate(kinds)]
-
-
-def _by_bucket(bucket: np.ndarray, buckets: int):
+def _by_bucket(bucket: np.ndarray):
     """(bucket, rows of it) for ascending bucket; the order inside a bucket stays."""
     order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(b, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
+    names, edge = np.unique(bucket[order], return_index=True)
+    return list(zip(names.tolist(), np.split(order, edge[1:]), strict=True)) if len(order) else []
+
+
+def _pack_pieces(pieces: pa.Array, *arrays: np.ndarray) -> bytes:
+    """Pieces of text, and arrays of their number."""
+    size = np.diff(np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8))
+    data = b"".join(pieces.to_pylist())
+    head = _pack(size.astype(np.uint32), *arrays)
+    return np.int64([len(head), len(data)]).tobytes() + head + pa.compress(data, "zstd", asbytes=True)
+
 
+def _unpack_pieces(data: bytes, *kinds) -> tuple[pa.Array, list[np.ndarray]]:
+    n, full = np.frombuffer(data, np.int64, 2).tolist()
+    size, *arrays = _unpack(data[16 : 16 + n], np.uint32, *kinds)
+    whole = pa.decompress(data[16 + n :], full, "zstd") if full else pa.py_buffer(b"")
+    ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), whole]), arrays
 
-def _plan(width: int, gram: int, bits: int):
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each pair of a first number and how many."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _plan(width: int, gram: int, bits: int, hot: int):
     """The functions of the passes; bits: binary logarithm of the number of buckets."""
-    buckets = 1 << bits
     low = np.uint64(0xFFFFFFFF)
-    half = (width - gram) // 2
 
     def short(value: np.ndarray) -> np.ndarray:
-        """Key of a first or second digit: the bucket's number, then 32 more bits of the hash."""
+        """Key of an anchor: the bucket's number, then 32 more bits of the hash; the low 31 bits chose the anchor."""
         return value >> np.uint64(32 - bits)
 
-    def top(value: np.ndarray) -> np.ndarray:
-        return (value >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(value), np.int64)
+    def top(key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(32)).astype(np.int64)
 
     def runs(d: _Docs):
         value, place, first, last = anchor_runs(d.buf[: len(d.buf) - 8], d.end, d.start, width, gram)
-        # the low 31 bits chose the anchor; the key takes others
-        return short(value), place, first, last, d.of(place)
-
-    def presence(keys: np.ndarray) -> list:
-        return [(b, ANCHORS, _pack(_steps((keys[i] & low).astype(np.uint32)))) for b, i in _by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
-
-    def rows_of(t: pa.Table, who: str) -> list:
-        return list(zip(t["kind"].to_pylist(), t[who].to_pylist(), t["data"].to_pylist(), strict=True))
-
-    def of_kind(t: pa.Table, kind: int) -> list[bytes]:
-        """The answers of a kind, by ascending bucket."""
-        return [x for _, x in sorted((who, x) for k, who, x in rows_of(t, "sender") if k == kind)]
-
-    def shared_here(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        order, at = _group([key, doc])
-        k = key[order][at]
-        return np.unique(k[1:][k[1:] == k[:-1]])
+        return short(value), first, last, d.of(place)
 
-    def known_keys(t: pa.Table) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(_sums(_unpack(x, np.uint64)[0]) for x in of_kind(t, ANCHORS))])
+    def rows_of(t: pa.Table, kind: int) -> list:
+        """The messages of a kind, by ascending sender."""
+        return sorted((who, x) for k, who, x in zip(t["kind"].to_pylist(), t["sender"].to_pylist(), t["data"].to_pylist(), strict=True) if k == kind)
 
     def ask_anchors(t: pa.Table) -> pa.Table:
-        return _rows(t["g"][0].as_py(), presence(np.unique(runs(_Docs(t))[0])))
+        names, n = np.unique(runs(_Docs(t))[0], return_counts=True)
+        n = np.minimum(n, 2**31).astype(np.uint32)
+        return _rows(t["g"][0].as_py(), [(b, ANCHORS, _pack(_steps((names[i] & low).astype(np.uint32)), n[i])) for b, i in _by_bucket(top(names))])
 
-    def answer_presence(t: pa.Table) -> pa.Table:
-        """To each group, which of its keys another group has too; what is no question goes back as it came."""
+    def answer_anchors(t: pa.Table) -> pa.Table:
+        """To each group, which of its anchors another group has too, and which are hot."""
         b = t["to"][0].as_py()
-        rows = rows_of(t, "sender")
-        out = [(g, k, x) for k, g, x in rows if k != ANCHORS]
-        asked = [(g, _sums(_unpack(x, np.uint32)[0])) for k, g, x in rows if k == ANCHORS]
-        if asked:
-            every = np.sort(np.concatenate([x for _, x in asked]))
-            shared = np.unique(every[1:][every[1:] == every[:-1]])
-            for g, x in asked:
-                own = x[np.isin(x, shared, assume_unique=True)]
-                if len(own):
-                    out.append((g, ANCHORS, _pack(_steps(own.astype(np.uint64) | np.uint64(b) << np.uint64(32)))))
+        asked = [(g, *_unpack(x, np.uint32, np.uint32)) for g, x in rows_of(t, ANCHORS)]
+        asked = [(g, _sums(steps), n) for g, steps, n in asked]
+        names, back, askers = np.unique(np.concatenate([x for _, x, _ in asked]), return_inverse=True, return_counts=True)
+        crowded = np.bincount(back, np.concatenate([n for _, _, n in asked])) > hot
+        out, at = [], 0
+        for g, x, _ in asked:
+            own = back[at : at + len(x)]
+            at += len(x)
+            shared = askers[own] > 1
+            if shared.any():
+                out.append((g, ANCHORS, _pack(_steps(x[shared].astype(np.uint64) | np.uint64(b) << np.uint64(32)), crowded[own][shared])))
         return _rows(b, out)
 
-    def block_table(d: _Docs, place, first, last, doc):
-        """Block hashes of runs; the run that stands for each distinct block, in order of hash; each run's block."""
-        one, two = _block_hashes(d.buf, place, first, last, width)
-        order, at = _group([one, two])
-        which = np.empty(len(one), np.int64)
-        which[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
-        lead = np.full(len(at), LAST)
+    def stretches(d: _Docs, first: np.ndarray, last: np.ndarray, doc: np.ndarray):
+        """The distinct stretches in order of their first place, the number of each run's, their smallest doc_ids."""
+        coded = cut_out(d.buf, first, last - first + width).dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        lead = np.full(len(coded.dictionary), LAST)
         np.minimum.at(lead, which, d.doc[doc])
-        return one, two, order[at], which, lead
+        return coded.dictionary, which, lead
 
-    def ask_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+    def ask_stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(0, [])
         d = _Docs(left)
-        key, place, first, last, doc = runs(d)
-        keep = np.isin(key, np.union1d(known_keys(right), shared_here(key, doc)))
-        key, place, first, last, doc = (x[keep] for x in (key, place, first, last, doc))
-        one, two, o, _, lead = block_table(d, place, first, last, doc)
-        out = [(b, BLOCKS, _pack(one[o][i], two[o][i], lead[i])) for b, i in _by_bucket(top(one[o]), buckets)]
-        names, back = np.unique(key, return_inverse=True)
-        least, most = np.full(len(names), np.uint64(2**64 - 1)), np.zeros(len(names), np.uint64)
-        np.minimum.at(least, back, one)
-        np.maximum.at(most, back, one)
-        out += [(b, SINGLE, _pack(_steps(names[i]), least[i], least[i] ^ most[i])) for b, i in _by_bucket((names >> np.uint64(32)).astype(np.int64), buckets)]
-        return _rows(left["g"][0].as_py(), out)
-
-    def answer_blocks(t: pa.Table) -> pa.Table:
-        out = []
-        rows = rows_of(t, "sender")
-        own = [(g, _unpack(x, np.uint64, np.uint64, np.int64)) for k, g, x in rows if k == BLOCKS]
-        if own:
-            out += [(g, BLOCKS, _pack(least)) for (g, _), least in zip(own, _least(own), strict=True)]
-        own = [(g, _unpack(x, np.uint64, np.uint64, np.uint64)) for k, g, x in rows if k == SINGLE]
-        if own:
-            key = np.concatenate([_sums(x[0]) for _, x in own])
-            least = np.concatenate([x[1] for _, x in own])
-            most = np.concatenate([x[1] ^ x[2] for _, x in own])
-            names, back = np.unique(key, return_inverse=True)
-            lo, hi = np.full(len(names), np.uint64(2**64 - 1)), np.zeros(len(names), np.uint64)
-            np.minimum.at(lo, back, least)
-            np.maximum.at(hi, back, most)
-            many = (lo != hi)[back]
-            at = 0
-            for g, x in own:
-                out.append((g, SINGLE, _pack(x[0], many[at : at + len(x[0])])))
-                at += len(x[0])
-        return _rows(t["to"][0].as_py(), out)
-
-    def halves(d: _Docs, place, first, last, doc):
-        """Keys of the anchor with what stands before, or after it; every window of a run holds one of the two.  Also the run and side of each key."""
-        before, after = np.flatnonzero(first <= place - half), np.flatnonzero(last > place - half)
-        a = window_hashes(d.buf, place[before] - half, gram + half)[0]
-        b = window_hashes(d.buf, place[after], gram + half)[0] * _C[0]
-        return short(np.r_[a, b ^ (b >> _S[29])]), np.r_[before, after], np.r_[np.ones(len(before), bool), np.zeros(len(after), bool)]
-
-    def ask_halves(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _rows(0, [])
-        d = _Docs(left)
+        key, first, last, doc = runs(d)
+        told = [_unpack(x, np.uint64, np.bool_) for _, x in rows_of(right, ANCHORS)]
+        known = np.concatenate([np.zeros(0, np.uint64), *(_sums(x) for x, _ in told)])
+        is_hot = np.concatenate([np.zeros(0, bool), *(x for _, x in told)])
+        order = np.lexsort((doc, key))
+        k, o = key[order], doc[order]
+        here = np.unique(k[1:][(k[1:] == k[:-1]) & (o[1:] != o[:-1])])  # in two texts of this group
+        keep = np.isin(key, np.union1d(known, here))
+        key, first, last, doc = (x[keep] for x in (key, first, last, doc))
+        one_by_one = np.isin(key, known[is_hot])
+        bucket = top(key)
+        if one_by_one.any():
+            n = (last - first + 1)[one_by_one]
+            single = _spread(first[one_by_one], n)
+            more = (_window_hashes(d.buf, single, width) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(single), np.int64)
+            rest = ~one_by_one
+            first, last, doc, bucket = (np.r_[x[rest], y] for x, y in ((first, single), (last, single), (doc, np.repeat(doc[one_by_one], n)), (bucket, more)))
+        pieces, which, lead = stretches(d, first, last, doc)
+        to = np.zeros(len(lead), np.int64)
+        to[which] = bucket
         g = left["g"][0].as_py()
-        key, place, first, last, doc = runs(d)
-        anchors, many = (np.concatenate(x) for x in zip(*((_sums(k), m) for k, m in (_unpack(x, np.uint64, np.bool_) for x in of_kind(right, SINGLE))), strict=True))
-        order = np.argsort(anchors)
-        anchors, many = anchors[order], many[order]
-        at = np.minimum(np.searchsorted(anchors, key), len(anchors) - 1)
-        keep = anchors[at] == key
-        place, first, last, doc, many = place[keep], first[keep], last[keep], doc[keep], many[at[keep]]
-        _, _, _, which, _ = block_table(d, place, first, last, doc)
-        gone = _joined(of_kind(right, BLOCKS), np.int64)[0][which] < d.doc[doc]
-        out = [(g % buckets, SPANS, _pack(doc[gone], (first - d.start[doc])[gone], (last - d.start[doc])[gone]))]
-        still = ~gone & many
-        place, first, last, doc = place[still], first[still], last[still], doc[still]
-        out.append((g % buckets, OPEN, _pack(doc, *(x - d.start[doc] for x in (place, first, last)))))
-        return _rows(g, out + presence(np.unique(halves(d, place, first, last, doc)[0])))
-
-    def spread(d: _Docs, doc, first, last):
-        """Every window of the runs: its place, document and hashes; distinct windows in order, and each one's number."""
-        n = last - first + 1
-        p = np.repeat(first + d.start[doc] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
-        doc = np.repeat(doc, n)
-        w1, w2 = window_hashes(d.buf, p, width)
-        order, at = _group([w1, w2])
-        which = np.empty(len(p), np.int64)
-        which[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(order)]))
-        return p, doc, w1[order[at]], w2[order[at]], which
-
-    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _rows(0, [])
-        d = _Docs(left)
-        g = left["g"][0].as_py()
-        out = [(g % buckets, SPANS, x) for x in of_kind(right, SPANS)]
-        doc, place, first, last = _joined(of_kind(right, OPEN), *[np.int64] * 4)
-        place, first, last = (x + d.start[doc] for x in (place, first, last))
-        key, run, before = halves(d, place, first, last, doc)
-        keep = np.isin(key, np.union1d(known_keys(right), shared_here(key, doc[run])))
-        run, before = run[keep], before[keep]
-        lo = np.where(before, first[run], np.maximum(first[run], place[run] - half + 1))
-        hi = np.where(before, np.minimum(last[run], place[run] - half), last[run])
-        doc = doc[run]
-        lo, hi = lo - d.start[doc], hi - d.start[doc]
-        out.append((g % buckets, OPEN, _pack(doc, lo, hi)))
-        _, docs, w1, w2, which = spread(d, doc, lo, hi)
-        lead = np.full(len(w1), LAST)
-        np.minimum.at(lead, which, d.doc[docs])
-        out += [(b, WINDOWS, _pack(w1[i], w2[i], lead[i])) for b, i in _by_bucket(top(w1), buckets)]
+        out = [(b, STRETCHES, _pack_pieces(pieces.take(pa.array(i)), lead[i])) for b, i in _by_bucket(to)]
+        # the group's own note, which its bucket hands back
+        out.append((g % (1 << bits), RUNS, _pack(first, (last - first).astype(np.uint16), doc.astype(np.uint32), to[which].astype(np.uint32))))
         return _rows(g, out)
 
-    def answer_windows(t: pa.Table) -> pa.Table:
-        rows = rows_of(t, "sender")
-        out = [(g, k, x) for k, g, x in rows if k != WINDOWS]
-        own = [(g, _unpack(x, np.uint64, np.uint64, np.int64)) for k, g, x in rows if k == WINDOWS]
-        if own:
-            out += [(g, WINDOWS, _pack(least)) for (g, _), least in zip(own, _least(own), strict=True)]
+    def answer_stretches(t: pa.Table) -> pa.Table:
+        """The smallest doc_id of each stretch, and of single windows of it where that is less."""
+        out = [(g, RUNS, x) for g, x in rows_of(t, RUNS)]
+        asked = [(g, *_unpack_pieces(x, np.int64)) for g, x in rows_of(t, STRETCHES)]
+        if asked:
+            coded = pa.chunked_array([x for _, x, _ in asked]).combine_chunks().dictionary_encode()
+            which = coded.indices.to_numpy().astype(np.int64)
+            ends = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1)
+            buf = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
+            least = np.full(len(ends) - 1, LAST)
+            np.minimum.at(least, which, np.concatenate([x[0] for _, _, x in asked]))
+            n = np.diff(ends) - width + 1
+            at = _spread(ends[:-1], n)
+            of = np.repeat(np.arange(len(n)), n)
+            lower = []  # windows that an earlier document has in another stretch
+            for part, starts in equal_suffixes(buf, at, width):
+                first = np.repeat(np.minimum.reduceat(least[of[part]], starts), np.diff(np.r_[starts, len(part)]))
+                less = first < least[of[part]]
+                lower.append((part[less], first[less]))
+            win, first = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*lower, strict=True)) if lower else (np.zeros(0, np.int64),) * 2
+            order = np.argsort(win)
+            win, first = win[order], first[order]
+            edge = np.searchsorted(of[win], np.arange(len(n) + 1))
+            done = 0
+            for g, x, own in asked:
+                mine = which[done : done + len(x)]
+                done += len(x)
+                out.append((g, STRETCHES, _pack(least[mine])))
+                count = np.diff(edge)[mine]
+                if count.any():
+                    i = _spread(edge[mine], count)
+                    out.append((g, SINGLES, _pack(np.repeat(np.arange(len(mine)), count).astype(np.uint32), (at[win[i]] - ends[of[win[i]]]).astype(np.uint16), first[i])))
         return _rows(t["to"][0].as_py(), out)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -407,14 +381,36 @@ def _plan(width: int, gram: int, bits: int):
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         d = _Docs(left)
-        doc, first, last = _joined(of_kind(right, SPANS), *[np.int64] * 3)
-        first, last = first + d.start[doc], last + d.start[doc]
-        p, docs, _, _, which = spread(d, *_joined(of_kind(right, OPEN), *[np.int64] * 3))
-        if len(p):
-            p = p[_joined(of_kind(right, WINDOWS), np.int64)[0][which] < d.doc[docs]]
+        (_, note), = rows_of(right, RUNS)
+        first, more, doc, bucket = _unpack(note, np.int64, np.uint16, np.uint32, np.uint32)
+        last = first + more
+        _, which, lead = stretches(d, first, last, doc)
+        to = np.zeros(len(lead), np.int64)
+        to[which] = bucket
+        singles, told = dict(rows_of(right, SINGLES)), dict(rows_of(right, STRETCHES))
+        where, offset, less = [], [], []
+        for b, i in _by_bucket(to):
+            lead[i] = _unpack(told[b], np.int64)[0]
+            if b in singles:
+                k, off, low_doc = _unpack(singles[b], np.uint32, np.uint16, np.int64)
+                where.append(i[k])
+                offset.append(off)
+                less.append(low_doc)
+        gone = lead[which] < d.doc[doc]
         step = np.zeros(len(d.buf) + width, np.int32)
-        np.add.at(step, np.r_[first, p], 1)
-        np.add.at(step, np.r_[last, p] + width, -1)
+        np.add.at(step, first[gone], 1)
+        np.add.at(step, last[gone] + width, -1)
+        if where:
+            where, offset, less = np.concatenate(where), np.concatenate(offset).astype(np.int64), np.concatenate(less)
+            order = np.argsort(where, kind="stable")
+            where, offset, less = where[order], offset[order], less[order]
+            edge = np.searchsorted(where, np.arange(len(lead) + 1))
+            left_over = np.flatnonzero(~gone)
+            n = np.diff(edge)[which[left_over]]
+            i, run = _spread(edge[which[left_over]], n), np.repeat(left_over, n)
+            p = (first[run] + offset[i])[less[i] < d.doc[doc[run]]]
+            np.add.at(step, p, 1)
+            np.add.at(step, p + width, -1)
         gone = np.cumsum(step) > 0
         out = []
         for i, text in enumerate(d.texts):
@@ -425,18 +421,7 @@ def _plan(width: int, gram: int, bits: int):
             out.append((int(d.doc[i]), hashlib.sha256(text).hexdigest(), n, spans, hashlib.sha256(kept).hexdigest()))
         return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names)
 
-    return (ask_anchors, answer_presence), (ask_blocks, answer_blocks), (ask_halves, answer_presence), (ask_windows, answer_windows), cut
-
-
-def _least(own: list) -> list[np.ndarray]:
-    """For the two-part keys of each asker, the smallest doc_id any asker has for them."""
-    a, b, doc = (np.concatenate([x[k] for _, x in own]) for k in range(3))
-    order, at = _group([a, b])
-    low = np.minimum.reduceat(doc[order], at) if len(at) else doc
-    least = np.empty(len(a), np.int64)
-    least[order] = np.repeat(low, np.diff(np.r_[at, len(order)]))
-    edge = np.cumsum([0, *(len(x[0]) for _, x in own)])
-    return [least[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+    return ask_anchors, answer_anchors, ask_stretches, answer_stretches, cut
 
 
 def _distinct(groups: int):
@@ -464,24 +449,26 @@ def _texts(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["g", "th", "doc", "text"])
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_bytes: int = 6 << 20) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, hot: int = HOT) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    group_bytes, bucket_bytes: text that one group of documents holds, and that one bucket stands for.
+    """
     if not 8 <= gram < width:
         raise ValueError("gram must be at least 8 and less than width")
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = text_bytes(docs)
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), -(-total // PARTITION_BYTES))
     groups = max(2 * parts, -(-total // group_bytes))
-    bits = int(np.log2(min(1 << 24, power_of_two(max(16, total / (16 << 20))))))
-    (ask, answer), *passes, cut = _plan(width, gram, bits)
+    bits = int(np.log2(min(1 << 24, power_of_two(max(16, total / bucket_bytes)))))
+    ask_anchors, answer_anchors, ask_stretches, answer_stretches, cut = _plan(width, gram, bits, hot)
 
     bare = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.encode("text", "UTF-8").alias("text"))
     texts = bare.mapInArrow(_distinct(groups), "g long, th binary, doc long, text binary").repartition(parts, "g")
-    answers = texts.groupBy("g").applyInArrow(ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
-    for ask, answer in passes:
-        answers = _answered(texts, answers).applyInArrow(ask, MESSAGE).groupBy("to").applyInArrow(answer, MESSAGE)
-    done = _answered(texts, answers).applyInArrow(cut, "doc long, th string, n_removed long, n_spans long, kept_sha256 string")
+    anchors = texts.groupBy("g").applyInArrow(ask_anchors, MESSAGE).repartition(parts, "to").groupBy("to").applyInArrow(answer_anchors, MESSAGE)
+    sorted_ = _answered(texts, anchors, parts).applyInArrow(ask_stretches, MESSAGE).repartition(parts, "to").groupBy("to").applyInArrow(answer_stretches, MESSAGE)
+    done = _answered(texts, sorted_, parts).applyInArrow(cut, "doc long, th string, n_removed long, n_spans long, kept_sha256 string")
 
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("th"))
     copy = F.col("n_removed").isNull()
@@ -496,7 +483,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_
     )
 
 
-def _answered(texts: DataFrame, answers: DataFrame):
+def _answered(texts: DataFrame, answers: DataFrame, parts: int):
     """Documents of a group beside the answers that came back to it."""
-    back = answers.select(F.col("to").alias("g"), "sender", "kind", "data")
+    back = answers.select(F.col("to").alias("g"), "sender", "kind", "data").repartition(parts, "g")
     return texts.groupBy("g").cogroup(back.groupBy("g"))
