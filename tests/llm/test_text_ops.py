@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import docs_of
-from veilstream.llm import license_scan, secret_scan, toxicity
+from veilstream.llm import html_text, license_scan, secret_scan, toxicity
 from veilstream.llm.decontaminate import Matcher, drop_contaminated, find, similarity, words
 from veilstream.llm.html_text import extract, main_text
 from veilstream.llm.trigram_index import query
@@ -52,6 +54,72 @@ def test_names_do_not_drop_content(html, text):
     assert extract(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><form><nav><a>x</a></nav><article><p>{LONG}</p><p>S.</p></article></form></body>", f"{LONG}\n\nS."),
+        (f"<body><form><div id='main'><p>{LONG}</p><p>{LONG}</p></div></form><footer>f</footer></body>", f"{LONG}\n\n{LONG}"),
+        (f"<div class='related-work'><p>{LONG}</p><p>S.</p></div>", f"{LONG}\n\nS."),
+        (f"<article><p>{LONG}</p><p class='notice-board'>S.</p><p class='ad'>{LONG}</p></article>", f"{LONG}\n\nS."),
+        (f"<article><header><h1>T</h1><p>A standfirst.</p><span>by me</span></header><p>{LONG}</p></article>", f"T\n\nA standfirst.\n\n{LONG}"),
+        (f"<nav><a>x</a></nav><main><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article></main>", f"A\n\n{LONG}\n\nB\n\n{LONG}"),
+        (f"<article><p>Ab.</p></article><div class='ad'>{LONG}</div><div class='comments'><article><p>{LONG}</p><p>{LONG}</p></article></div>", "Ab."),
+        (f"<div class='site-sidebar'><article><p>{LONG}</p></article></div><aside>x</aside>", LONG),
+        (f"<article></article><div class='ad'>{LONG}</div><footer>{LONG}</footer>", ""),
+        ("<nav><ul><li><a>x</a><li><a>y</a></ul></nav><footer>&copy; z</footer>", ""),
+    ],
+)
+def test_tags_and_names_only_weigh(html, text):
+    assert extract(html) == text
+
+
+def test_pages_of_known_articles():
+    """Articles among random other parts of a page, with and without an element that says article."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    parts = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href='/{i}'>{say(1)}</a></li>" for i in range(rng.randint(2, 9))) + "</ul></nav>",
+        lambda: f"<div class='{rng.choice(['ad', 'ad-box', 'sponsored', 'cookie-notice', 'newsletter', 'sidebar', 'site-footer'])}'>{say(rng.randint(3, 30))}</div>",
+        lambda: f"<footer>&copy; {say(6)}</footer>",
+        lambda: f"<aside><p>{say(20)}</p></aside>",
+        lambda: f"<form><label>{say(2)}</label><input><button>{say(1)}</button></form>",
+        lambda: f"<section id='comments'><article><p>{say(25)}</p></article><p>{say(10)}</p></section>",
+        lambda: f"<script>var a='<p>{say(3)}</p>'</script><style>p {{}}</style><!-- {say(4)} -->",
+    ]
+    for n in range(300):
+        blocks = [say(rng.choice([1, 4])), *(say(rng.choice([1, 8, 40, 90])) for _ in range(rng.randint(1, 9))), say(60)]
+        tag = rng.choice(["article", "main", "div"])
+        body = "".join((f"<h1>{b}</h1>" if not i else f"<p>{b}</p>") + (rng.choice(parts[1:2])() if rng.random() < 0.2 else "") for i, b in enumerate(blocks))
+        chrome = [x() for x in rng.choices(parts, k=rng.randint(0, 6))]
+        at = rng.randint(0, len(chrome))
+        inner = "".join(chrome[:at]) + f"<{tag}>{body}</{tag}>" + "".join(chrome[at:])
+        html = f"<html><head><title>{say(3)}</title></head><body>{rng.choice(['{}', '<div class=page>{}</div>']).format(inner)}</body></html>"
+        if tag == "div" and sum(map(len, blocks)) < 3 * sum(len(re.sub("<[^>]*>", "", c)) for c in chrome):
+            continue  # nothing says which of the texts is the article
+        assert extract(html) == "\n\n".join(blocks), n
+
+
+def test_the_ratios_decide(monkeypatch):
+    pages = [f"<div class='ad'>{LONG}</div><article><p>{LONG}</p><p>{i}</p></article><footer>{LONG}</footer>" for i in range(40)]
+    right = [extract(x) for x in pages]
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "_smoothed", lambda x, sigma: rng.random(len(x)))
+    assert sum(extract(x) != y for x, y in zip(pages, right, strict=True)) > 10
+    monkeypatch.setattr(html_text, "clusters", lambda ratio, part: np.zeros(len(ratio), bool))
+    assert {extract(x) for x in pages} == {""}
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class='ad'>x", "<p>x", "<b><i>x", "</div>", "<li>x", "<ul><li>x", "<td>x<tr>", "<article>x", "<a>x", "<h1>x", "&amp;x ", "<header><h2>x", "<", "<!--", "<!", "</", "<?x", "<a href='", '<a b="c'])
+def test_long_pages_take_time_in_proportion(piece):
+    def took(n):
+        began = time.perf_counter()
+        extract(piece * n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 8 * took(4_000) + 0.5
+
+
 def test_main_text_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert sorted(tuple(r) for r in main_text(pages).collect()) == [(1, "u", "é", 1), (2, None, "", 0)]

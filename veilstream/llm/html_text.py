@@ -1,16 +1,20 @@
 """Main text of web pages from streamed parser events and text-to-tag ratios.
 
-The standard library's parser streams start, end and text events; they are folded into *lines*, one for each
-block of the page, with the number of tags they hold, the characters in and outside links, and the chain of
-elements around them.  Lines inside elements that say they are no content (navigation, adverts, forms, notices,
-comments ...) are chrome and leave the page; a
-name alone does not do that to an element that holds the page's text.  The text-to-tag ratios of the other lines are smoothed with a
-Gaussian along the page and split into two clusters by a threshold; the lines of the upper cluster vote, with their
-characters, for the elements around them.  The innermost element that holds nearly all of the votes (an article
-or main element, if there is one) is the content region, and all its lines are kept, however short.
+The standard library's parser streams start, end and text events; they are folded into *lines*, one for each block of
+the page, with the number of tags they hold and the characters in and outside links.  Tags and names only weigh: the
+lines of a *part* (navigation, footer, form, what is named advert, notice, comments ...) weigh nothing, unless the
+part holds so much of the page that it is a mere wrapper.  The text-to-tag ratios are smoothed with a Gaussian along
+the lines of each part, and a threshold splits all of them into two clusters.
+
+The clusters decide.  Lines of the upper one vote, with their characters, for the elements around them; the innermost
+element that holds nearly all of the votes (the article around it, if there is one) is the content region.  All its
+lines are kept, however short, but for those of parts whose own lines are mostly in the lower cluster.
+
+All steps are linear in the page: elements and parts point to their parents, and sums go up these pointers once.
 
 Defined results: null, empty and tag-only pages give the empty string; text without any markup is one block;
-unclosed elements end where their parent does; equal pages give equal texts; an empty table gives an empty result.
+unclosed elements end where their parent does, an unclosed comment or tag at the end of the page; a page of any length is read whole; equal and repeated pages give
+equal texts, a row each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame
 SIGMA = 1.5
 #: share of the votes that the content element must hold
 MOST = 0.85
+#: share of the page's characters from which a part is a wrapper; one named after nothing but page parts needs MOST
+HALF = 0.5
 
 # Element and attribute names with a meaning in HTML, and usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,121 +38,168 @@ BLOCKS = frozenset(
     "address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template svg math canvas iframe object audio video head title select option button textarea input datalist map".split())
-CHROME = frozenset("nav footer aside form menu dialog header".split())
+CHROME = frozenset("nav footer aside menu dialog".split())
+WRAPPING = frozenset("form header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond reply replies disqus widget widgets toolbar pagination pager copyright legal disclaimer alert skip".split()
 )
+#: of these, the ones that say so in whatever name they stand
+ALWAYS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments respond reply replies disqus pagination pager".split()
+)
+READERS = frozenset("comment comments respond reply replies disqus".split())
 #: an element of this kind ends an open one of the same row
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-
-
 #: a name that starts so tells how a page is laid out, not what the element is
 LAYOUT = frozenset("has with no".split())
+#: elements that are no region by themselves: their siblings belong to them
+_LONE = frozenset(["p", "li", "pre", "blockquote", *HEADINGS])
+
+#: kinds of parts: the tag says so; the tag may say so, or wrap the page; the name says so; the name may say something
+#: else; the name says readers' comments
+TAG, WRAP, NAMED, MIXED, COMMENTS = range(5)
 
 
-def _part(attrs: list) -> str:
-    """Whether the names make it another part of the page: "whole" (the name says nothing else), "mixed" or ""."""
-    found = ""
+def _part(attrs: list) -> int | None:
+    """Whether the names make an element another part of the page."""
+    found = None
     for name, value in attrs:
         if name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return "whole"
+            return NAMED
         if name in ("class", "id") and value:
             for token in value.split():
                 words = [x.lower() for x in _NAME.findall(token)]
                 if words and words[0] not in LAYOUT and not PARTS.isdisjoint(words):
-                    if PARTS.issuperset(words):
-                        return "whole"
-                    found = "mixed"
+                    if not READERS.isdisjoint(words):
+                        return COMMENTS
+                    if PARTS.issuperset(words) or not ALWAYS.isdisjoint(words):
+                        return NAMED
+                    found = MIXED
     return found
 
 
 class _Lines(HTMLParser):
-    """Folds events into lines: (words, tags, characters outside links, elements around)."""
+    """Folds events into lines, elements and parts; number 0 is the page itself."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int]] = []  # name, number of the element
-        self.heading_ok = False
-        self.named: list[tuple[int, int]] = []  # depth and number of the open elements with a name of a page part
-        self.parts: dict[int, tuple[bool, bool]] = {}  # of these: whether the name is mixed, whether in an article
-        self.silent = self.chrome = 0  # depth of the outermost such element, or 0
-        self.links = self.articles = self.count = self.tags = self.free = 0
+        self.ending = False
+        self.stack: list[int] = []  # open elements
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each name, deepest last
+        self.names, self.up = [""], [0]  # of each element: name, parent
+        # of each part: parent, kind, whether it is in an article, holds one, and is a header
+        self.part_up, self.part_kind, self.part_in, self.part_holds, self.part_header = [0], [TAG], [False], [False], [False]
+        self.part_of = [0]  # innermost part of each open element, beside the stack
+        self.silent = 0  # depth of the outermost such element, or 0
+        self.tags = self.free = self.all = 0
         self.text: list[str] = []
-        self.lines: list[tuple[list[str], int, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.names: dict[int, str] = {}
+        self.words: list[list[str]] = []
+        self.rows: list[tuple[int, int, int, int, int]] = []  # tags, characters outside links, all, element, part
+
+    # What is never closed goes to the end of the page; looking for its end at every later "<" would take quadratic time.
+
+    def close(self):
+        self.ending = True
+        super().close()
+
+    def _to_end(self, i: int, k: int) -> int:
+        return len(self.rawdata) if k < 0 and self.ending and self.rawdata.find(">", i) < 0 else k
+
+    def parse_starttag(self, i):
+        return self._to_end(i, super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._to_end(i, super().parse_endtag(i))
+
+    def parse_pi(self, i):
+        return self._to_end(i, super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        return self._to_end(i, super().parse_html_declaration(i))
+
+    def parse_comment(self, i, report=True):
+        k = super().parse_comment(i, report)
+        return len(self.rawdata) if k < 0 and self.ending else k
+
+    def inside(self, *names: str) -> bool:
+        return any(self.depths.get(n) for n in names)
 
     def flush(self):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                title = self.heading_ok and any(n in HEADINGS for n, _ in self.stack)
-                held = () if title else tuple(n for _, n in self.named)
-                self.lines.append((words, self.tags, self.free, tuple(n for _, n in self.stack), held))
+                self.words.append(words)
+                self.rows.append((self.tags, self.free, self.all, self.stack[-1] if self.stack else 0, self._own_part()))
             self.text = []
-        self.tags = self.free = 0
+        self.tags = self.free = self.all = 0
+
+    def _own_part(self) -> int:
+        """The part of a line that ends here; headings and paragraphs of an article's header are the article's."""
+        part = self.part_of[-1]
+        if self.part_header[part] and self.part_in[part] and self.inside("p", *HEADINGS):
+            return self.part_up[part]
+        return part
 
     def _pop(self, depth: int):
         """Close all elements from this depth (0 is the outermost) on."""
-        for name, _ in self.stack[depth:]:
-            self.links -= name == "a"
-            self.articles -= name in ("article", "main")
-        if any(name in BLOCKS for name, _ in self.stack[depth:]) or self.named and self.named[-1][0] > depth:
+        if any(self.names[n] in BLOCKS for n in self.stack[depth:]) or self.part_of[depth] != self.part_of[-1]:
             self.flush()
-        del self.stack[depth:]
-        while self.named and self.named[-1][0] > depth:
-            self.named.pop()
+        for n in self.stack[depth:]:
+            own = self.depths[self.names[n]]
+            while own and own[-1] >= depth:
+                own.pop()
+        del self.stack[depth:], self.part_of[depth + 1 :]
         if self.silent > depth:
             self.silent = 0
-        if self.chrome > depth:
-            self.flush()
-            self.chrome = 0
 
-    def _open(self, names: tuple, limits: tuple) -> int | None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                return i
-            if self.stack[i][0] in limits:
-                return None
-        return None
+    def _open(self, names, limits=()) -> int | None:
+        """The depth of the innermost open element of the names, if none of the limits is further in."""
+        deepest = lambda of: max((d[-1] for n in of if (d := self.depths.get(n))), default=-1)
+        at = deepest(names)
+        return at if at >= 0 and at > deepest(limits) else None
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
             if (i := self._open(("p", *(HEADINGS if tag in HEADINGS else ())), ("article", "main", "section", "div", "td", "th", "li", "blockquote", "body"))) is not None:
                 self._pop(i)
-            if tag == "body" and (i := self._open(("head",), ())) is not None:
+            if tag == "body" and (i := self._open(("head",))) is not None:
                 self._pop(i)
         if tag in CLOSES and (i := self._open(CLOSES[tag], LIMITS[tag])) is not None:
             self._pop(i)
-        self.tags += 1
         if tag in ("br", "td", "th", "hr", "img"):
             self.text.append(" ")
         if tag in VOID:
+            self.tags += 1
             return
-        self.count += 1
-        self.stack.append((tag, self.count))
-        depth = len(self.stack)
-        self.names[self.count] = tag
-        self.links += tag == "a"
-        if not self.silent and tag in SILENT:
-            self.silent = depth
-        part = "" if tag in HEADINGS else _part(attrs)
-        if self.named and not self.chrome and tag in ("article", "main") and not part:
-            self.named = []  # a wrapper whose name speaks of another part of the page
-        if not self.chrome and (tag in CHROME or part and tag not in ("html", "body", "article", "main")):
+        in_article = self.inside("article", "main")
+        kind = TAG if tag in CHROME else WRAP if tag in WRAPPING else None if tag in ("html", "body", *HEADINGS) else _part(attrs)
+        if kind == MIXED and tag == "p" and in_article:
+            kind = None
+        if kind is not None:
             self.flush()
-            if not self.named:
-                self.heading_ok = self.articles > 0 and (tag == "header" or any("header" in (v or "") for k, v in attrs if k in ("class", "id")))
-            if tag in CHROME:
-                self.chrome = depth
-            else:
-                self.named.append((depth, self.count))
-                self.parts[self.count] = part == "mixed", self.articles > 0
-        self.articles += tag in ("article", "main")
+            self.part_up.append(self.part_of[-1])
+            self.part_kind.append(kind)
+            self.part_in.append(in_article)
+            self.part_holds.append(False)
+            self.part_header.append(tag == "header" or any("header" in (v or "") for k, v in attrs if k in ("class", "id")))
+        if kind is None and tag in ("article", "main"):
+            n = self.part_of[-1]
+            while not self.part_holds[n] and self.part_kind[n] != COMMENTS:
+                self.part_holds[n] = True
+                n = self.part_up[n]
+        self.tags += 1
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(len(self.names))
+        self.up.append(self.stack[-2] if len(self.stack) > 1 else 0)
+        self.names.append(tag)
+        self.part_of.append(self.part_of[-1] if kind is None else len(self.part_up) - 1)
+        if not self.silent and tag in SILENT:
+            self.silent = len(self.stack)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -163,13 +216,20 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if self.silent:
             return
-        if self.chrome and not (self.heading_ok and any(n in HEADINGS for n, _ in self.stack)):
-            return
         self.text.append(data)
-        if not self.links:
+        self.all += len(data)
+        if not self.inside("a"):
             self.free += len(data)
 
 
+def _sums_up(values: np.ndarray, up: list[int]) -> np.ndarray:
+    """For each node of a tree, the sum over all below it; parents have smaller numbers."""
+    out = values.tolist()
+    for n in range(len(up) - 1, 0, -1):
+        out[up[n]] += out[n]
+    return np.array(out)
+
+
 def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
     w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -178,34 +238,41 @@ def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 
 def _threshold(x: np.ndarray) -> float:
     """Two clusters on a line: their border when their means no longer move."""
-    low, high = float(x.min()), float(x.max())
+    x = np.sort(x)
+    sums = np.r_[0.0, np.cumsum(x)]
+    low, high = float(x[0]), float(x[-1])
     while True:
         border = (low + high) / 2
-        up = x >= border
-        a, b = float(x[~up].mean()) if not up.all() else low, float(x[up].mean())
+        k = int(np.searchsorted(x, border))
+        a, b = float(sums[k]) / k if k else low, float(sums[-1] - sums[k]) / (len(x) - k) if k < len(x) else high
         if (a, b) == (low, high):
             return border
         low, high = a, b
 
 
-def _content(p: _Lines) -> list[tuple]:
-    """The lines without those of elements that their names, and their share of the page, make another part of it.
+def _weights(p: _Lines, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """1 for the lines of the page itself, of wrappers, and of what an article holds under a name that may mean anything; else 0."""
+    held = _sums_up(np.bincount(part, size, minlength=len(p.part_up)), p.part_up)
+    weight = np.ones(len(p.part_up))
+    for n in range(1, len(weight)):  # outer parts first
+        kind, holds = p.part_kind[n], p.part_holds[n]
+        if kind == MIXED and p.part_in[n]:
+            own = True
+        elif kind != COMMENTS and (holds or not p.part_holds[0] and kind != TAG):  # where there is an article, a wrapper holds it
+            own = held[n] >= (MOST if kind == NAMED and not holds else HALF) * held[0]
+        else:
+            own = False
+        weight[n] = weight[p.part_up[n]] * own
+    return weight[part]
+
 
-    An element of a mixed name stays if it holds half of the page's characters, or in an article if its ratio is in the
-    upper cluster; one that is named after nothing but page parts stays if it holds nearly all characters.
-    """
-    free = [line for line in p.lines if not line[4]]
-    total = sum(line[2] + 1 for line in p.lines)
-    border = _threshold(np.array([x / max(1, tags) for _, tags, x, _, _ in free], float)) if free else 0.0
-    sums = {n: [0, 0, 0] for n in p.parts}
-    for _, tags, x, _, held in p.lines:
-        for n in held:
-            sums[n] = [a + b for a, b in zip(sums[n], (tags, x, 1), strict=True)]
-    stays = {}
-    for n, (mixed, inside) in p.parts.items():
-        tags, x, count = sums[n]
-        stays[n] = mixed and inside and x >= border * max(1, tags) or x + count >= (0.5 if mixed else MOST) * total
-    return [(*line[:4],) for line in p.lines if all(stays[n] for n in line[4])]
+def clusters(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Whether each line is in the upper cluster of the smoothed ratios; smoothing does not cross from part to part."""
+    smooth = np.empty(len(ratio))
+    order = np.argsort(part, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        smooth[own] = _smoothed(ratio[own], SIGMA)
+    return (smooth >= _threshold(smooth)) & (smooth > 0)
 
 
 def extract(html: str | None) -> str:
@@ -213,27 +280,32 @@ def extract(html: str | None) -> str:
     p.feed(html or "")
     p.close()
     p.flush()
-    lines = _content(p)
-    if not lines:
+    if not p.rows:
+        return ""
+    tags, free, every, element, part = np.array(p.rows, np.int64).T
+    weight = _weights(p, every, part)
+    shown = free if (weight * free).any() else every  # a text of nothing but links
+    chosen = clusters(weight * shown / np.maximum(1, tags), part)
+    if not chosen.any():
         return ""
-    ratio = np.array([free / max(1, tags) for _, tags, free, _ in lines], float)
-    smooth = _smoothed(ratio, SIGMA)
-    chosen = smooth >= _threshold(smooth)
-    votes: dict[int, int] = {0: 0}
-    for (words, _, free, path), ok in zip(lines, chosen, strict=True):
-        if ok:
-            for n in (0, *path):
-                votes[n] = votes.get(n, 0) + free + 1
-    own = {n for _, _, _, path in lines for n in path if p.names[n] in ("article", "main")}
-    if own:
-        best = max(own, key=lambda n: (votes.get(n, 0), sum(len(w) for w, _, _, path in lines if n in path), n))
-    else:
-        holds = [n for n, v in votes.items() if v >= MOST * votes[0] and (n == 0 or p.names[n] in BLOCKS)]
-        best = max(holds)  # elements are numbered in page order, so the largest is the innermost
-        if best and p.names[best] in ("p", "li", "pre", *HEADINGS):  # a lone block: its siblings belong to it
-            path = next(path for _, _, _, path in lines if best in path)
-            best = path[path.index(best) - 1] if path.index(best) else 0
-    return "\n\n".join(" ".join(words) for words, _, _, path in lines if not best or best in path)
+    # a part stays if the upper cluster has half of its own characters, one without any if the part around it does
+    size = np.bincount(part, every, minlength=len(p.part_up))
+    upper = np.bincount(part, every * chosen, minlength=len(size))
+    stays = np.ones(len(size), bool)
+    for n in range(1, len(stays)):
+        stays[n] = stays[p.part_up[n]] and (size[n] == 0 or 2 * upper[n] >= size[n])
+    votes = _sums_up(np.bincount(element, (shown + 1) * chosen * stays[part], minlength=len(p.up)), p.up)
+    best = max((n for n in range(1, len(p.up)) if votes[n] >= MOST * votes[0] and p.names[n] in BLOCKS), default=0)  # the innermost has the largest number
+    if best and p.names[best] in _LONE:
+        best = p.up[best]
+    n = best
+    while n and p.names[n] not in ("article", "main"):
+        n = p.up[n]
+    best = n or best
+    below = [best == 0]
+    for n in range(1, len(p.up)):
+        below.append(n == best or below[p.up[n]])
+    return "\n\n".join(" ".join(words) for words, e, x in zip(p.words, element.tolist(), part.tolist(), strict=True) if below[e] and stays[x])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
