@@ -47,3 +47,18 @@ def test_entry(spark):
 
     out = e.entry(spark)
     assert out.columns == ["doc_id", "action", "n_findings", "risk", "band", "sanitized"] and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_detector_hits_and_misses():
+    """Over the texts of cases: each pattern finds something, and some text of its family it misses."""
+    from veilstream.plans import cases, oracle
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE texts AS SELECT * FROM (SELECT unnest(range(?)) AS doc_id, unnest(?) AS text)", [len(cases.TEXTS), cases.TEXTS])
+    families = [(registry.D.PII, cases.PERSONAL), (registry.D.SECRETS, cases.SECRET), (registry.D.INJECTION, cases.INJECTION), (registry.D.GUARDRAILS, cases.TONE)]
+    for detectors, texts in families:
+        hit = c.sql(f"SELECT det, count(DISTINCT doc_id) AS n FROM ({oracle.findings('texts', detectors)}) GROUP BY det").fetchall()
+        assert sorted(d for d, _ in hit) == list(range(len(detectors)))
+        assert all(n < len(texts) for _, n in hit)
+    c.execute("CREATE TABLE customer AS SELECT unnest(range(?)) AS c_custkey", [len(cases.TEXTS)])
+    assert [t for _, t in sorted(c.sql(cases.sql()).fetchall())] == cases.TEXTS

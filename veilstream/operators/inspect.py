@@ -1,7 +1,8 @@
 """Inspection of texts under a policy: findings, risk, rules, action and masked text, all within the row.
 
 Requests look for secrets, injection, personal data, tone, pluggable scanners, entropy and keywords, in this order,
-and mask only if the action is Redact.  Responses do not look for injection and always mask.
+and mask only if the action is Redact.  Responses do not look for injection and always mask.  Categories that are
+switched off are neither shown nor masked.
 """
 
 from __future__ import annotations
@@ -16,12 +17,17 @@ from veilstream.operators.redact import redact, redact_any
 from veilstream.operators.risk import context_points, score
 
 
-def findings_of(text: Column, p: dict, response: bool = False, scanners: list | None = None) -> Column:
-    """text: as ``detectors.prepared`` gives it.  scanners: functions from the text column to a findings column (pluggable models)."""
-    parts = [D.detect(text, D.SECRETS)]
+def findings_of(text: Column, p: dict, response: bool = False, scanners: list | None = None, known: Column | None = None, early: list | None = None) -> Column:
+    """text, known: as ``detectors.prepared`` and ``detectors.seen`` give them.
+
+    Pluggable models are functions from the text column to a findings column: early ones (a second look for
+    injection, requests only) come before personal data, scanners after tone.
+    """
+    parts = [D.detect(text, D.SECRETS, known)]
     if not response:
-        parts.append(D.detect(text, D.INJECTION))
-    parts += [D.detect(text, D.PII), D.detect(text, D.GUARDRAILS)]
+        parts.append(D.detect(text, D.INJECTION, known))
+        parts += [scan(text) for scan in early or []]
+    parts += [D.detect(text, D.PII, known), D.detect(text, D.GUARDRAILS, known)]
     parts += [scan(text) for scan in scanners or []]
     if p["entropy"]:
         parts.append(D.entropy_findings(text))
@@ -29,7 +35,7 @@ def findings_of(text: Column, p: dict, response: bool = False, scanners: list |
     return F.concat(*parts)
 
 
-def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False, context: dict[str, Column] | None = None, now: Column | None = None, scanners: list | None = None, json_aware: bool = False) -> DataFrame:
+def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False, context: dict[str, Column] | None = None, now: Column | None = None, scanners: list | None = None, json_aware: bool = False, early: list | None = None) -> DataFrame:
     """df with findings, risk, action, matched_rules, sanitized.
 
     context: columns public_app, device_violations, user_violations, sensitivity.  now: unix seconds, for policies
@@ -38,14 +44,14 @@ def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False,
     context = context or {}
     if response and not p["response_scan"]:
         return _unscanned(df, text)
-    clean = df.withColumn("_text", D.prepared(F.col(text)))
-    found = clean.withColumn("findings", findings_of(F.col("_text"), p, response, scanners)).drop("_text")
+    clean = df.withColumn("_text", D.prepared(F.col(text))).withColumn("_seen", D.seen(F.col("_text")))
+    found = clean.withColumn("findings", findings_of(F.col("_text"), p, response, scanners, F.col("_seen"), early)).drop("_text", "_seen")
     around = context_points(context.get("public_app"), context.get("device_violations"), context.get("user_violations"), context.get("sensitivity"))
     scored = found.withColumn("risk", score(F.col("findings"), around))
     row = {"risk": F.col("risk"), **{k: v for k, v in context.items() if k != "sensitivity"}}
     decided = scored.withColumn("_decision", decide(F.col("findings"), p, row))
     kept = active(F.col("findings"), p)
-    masked = (redact_any if json_aware else redact)(F.col(text), F.col("findings"))
+    masked = (redact_any if json_aware else redact)(F.col(text), kept)
     out = decided.withColumns(
         {
             "action": F.col("_decision.action"),

@@ -28,8 +28,7 @@ def _rule_findings(text: Column, rule: KeywordRule) -> Column:
     within = F.lit(_WORD_CHAR)
 
     def alone(s: Column) -> Column:
-        before = F.when(s["start"] > 0, F.substr(text, s["start"], F.lit(1))).otherwise(F.lit(""))
-        return ~F.rlike(before, within) & ~F.rlike(F.substr(text, s["end"] + 1, F.lit(1)), within)
+        return ~F.rlike(F.right(s["before"], F.lit(1)), within) & ~F.rlike(F.left(s["after"], F.lit(1)), within)
 
     def finding(s: Column) -> Column:
         return F.struct(

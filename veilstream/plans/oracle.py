@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilstream.functions.spans import AROUND
 from veilstream.operators import detectors as D
 from veilstream.operators import risk as R
 from veilstream.operators.policy import CATEGORY_ACTION
@@ -42,18 +43,28 @@ def check(name: str, s: str) -> str:
         v = f"{_code(s, 'i + 1')} * (1 + i % 2)"
         return f"length({s}) = 15 AND {_code(s, '15')} = (36 - list_sum(list_transform(range(0, 14), lambda i: CAST(floor({v} / 36) AS BIGINT) + {v} % 36)) % 36) % 36"
     if name == "mrz":
-        return "true"
+        line = f"regexp_extract({s}, '[^\\n]*$')"
+        value = lambda at: f"(CASE WHEN substr({line}, {at}, 1) = '<' THEN 0 ELSE {_code(line, at)} END)"
+        weighted = lambda first, n: f"list_sum(list_transform(range(0, {n}), lambda i: {value(f'{first} + i')} * CASE i % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 1 END))"
+        return " AND ".join(f"CAST({weighted(first, n)} % 10 AS VARCHAR) = substr({line}, {first + n}, 1)" for first, n in ((1, 9), (14, 6), (22, 6)))
     raise ValueError(name)
 
 
+def _around(around: int) -> str:
+    """What stands near match number pos: gaps and matches in turn, cut to so many characters on either side."""
+    before = "array_to_string(list_transform(range(1, pos + 1), lambda k: gaps[k] || CASE WHEN k < pos THEN hits[k] ELSE '' END), '')"
+    after = "array_to_string(list_transform(range(pos + 1, len(gaps) + 1), lambda k: gaps[k] || CASE WHEN k < len(gaps) THEN hits[k] ELSE '' END), '')"
+    return f"lower(right({before}, {around}) || snippet || left({after}, {around}))"
+
+
 def findings(relation: str, detectors: list[D.Detector], key: str = "doc_id") -> str:
-    """Findings of detectors over texts whose matches all stand within the words' reach: key, det, pos and the finding."""
+    """Findings of detectors over ASCII texts: key, det, pos and the finding."""
     parts = []
     for n, d in enumerate(detectors):
         where = ["true"]
         if d.check is not None:
             where.append(check(d.check.__name__, "snippet"))
-        near = "(" + " OR ".join(f"contains(lower(text), {text(w)})" for w in d.near) + ")" if d.near else "false"
+        near = "(" + " OR ".join(f"contains(around, {text(w)})" for w in d.near) + ")" if d.near else "false"
         if d.near and d.near_required:
             where.append(near)
         severity = f"CASE WHEN {near} THEN 'HIGH' ELSE 'MEDIUM' END" if d.near else text(d.severity)
@@ -62,11 +73,20 @@ def findings(relation: str, detectors: list[D.Detector], key: str = "doc_id") ->
         if d.first_only:
             found = f"{found}[1:1]"
         mask = "CAST(NULL AS VARCHAR)" if d.replacement is None else text(d.replacement)
-        inner = f"SELECT {key}, text, unnest({found}) AS snippet, generate_subscripts({found}, 1) AS pos FROM {relation}"
+        inner = f"SELECT {key}, unnest({found}) AS snippet, generate_subscripts({found}, 1) AS pos FROM {relation}"
+        if d.near:
+            cut = f"SELECT {key}, {found} AS hits, string_split_regex(text, {text(d.pattern)}) AS gaps FROM {relation}"
+            each = f"SELECT *, unnest(hits) AS snippet, generate_subscripts(hits, 1) AS pos FROM ({cut})"
+            inner = f"SELECT {key}, snippet, pos, {_around(AROUND)} AS around FROM ({each})"
         parts.append(f"SELECT {key}, {n} AS det, pos, {text(d.category)} AS category, {name} AS match_name, snippet, {severity} AS severity, {mask} AS redacted_replacement FROM ({inner}) WHERE {' AND '.join(where)}")
     return " UNION ALL ".join(parts)
 
 
+def masked(original: str, rows: str) -> str:
+    """original with snippets replaced; rows: a list of snippet, chr(2), replacement in order."""
+    return f"list_reduce(list_prepend({original}, {rows}), lambda t, f: replace(t, split_part(f, chr(2), 1), split_part(f, chr(2), 2)))"
+
+
 def _case(x: str, values: dict, other) -> str:
     return f"CASE {x} " + " ".join(f"WHEN {text(k)} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilstream.plans import cases as C
+
 K = "CAST(c_custkey AS STRING)"
 
 
@@ -83,6 +85,10 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(people_sql().replace("FROM customer", "FROM {customer}"), customer=load(spark, sf_dir, "customer"))
 
 
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(C.sql().replace("FROM customer", "FROM {customer}"), customer=load(spark, sf_dir, "customer"))
+
+
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(audit_sql().replace("FROM events", "FROM {events}"), events=load(spark, sf_dir, "events"))
 

@@ -19,6 +19,7 @@ from veilstream.operators.policy import category_action, decide, payment_pack, p
 from veilstream.operators.redact import redact
 from veilstream.operators.risk import score_rows
 from veilstream.operators.rules import matched
+from veilstream.plans import cases as C
 from veilstream.plans import oracle as O
 from veilstream.plans import planted as P
 from veilstream.sources import bodies as B
@@ -32,7 +33,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 NOW = "2024-01-31 00:00:00"
-PEOPLE, AUDIT, FOUND = (f"({x})" for x in (P.people_sql(), P.audit_sql(), P.findings_sql()))
+PEOPLE, CASES, AUDIT, FOUND = (f"({x})" for x in (P.people_sql(), C.sql(), P.audit_sql(), P.findings_sql()))
 
 
 def query(oracle: str | None = None):
@@ -66,12 +67,13 @@ _SHOWN = ["category", "match_name", "snippet", "severity", "redacted_replacement
 
 
 def _found(df: DataFrame, findings) -> DataFrame:
-    return explode_findings(df.withColumn("_text", D.prepared(F.col("text"))).withColumn("findings", findings(F.col("_text"))), "doc_id").drop("seq")
+    ready = df.withColumn("_text", D.prepared(F.col("text"))).withColumn("_seen", D.seen(F.col("_text")))
+    return explode_findings(ready.withColumn("findings", findings(F.col("_text"))), "doc_id").drop("seq")
 
 
 def _findings_query(name: str, detectors: list[D.Detector], relation: str, source) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _found(source(spark, sf_dir), lambda t: D.detect(t, detectors))
+        return _found(source(spark, sf_dir), lambda t: D.detect(t, detectors, F.col("_seen")))
 
     run.__name__ = name
     query(f"SELECT doc_id, {', '.join(_SHOWN)} FROM ({O.findings(relation, detectors)})")(run)
@@ -98,6 +100,10 @@ _findings_query("iban_mod97", _named("IBAN_CODE"), PEOPLE, P.people)
 _findings_query("routing_checksum", _named("ABA_ROUTING_NUMBER"), PEOPLE, P.people)
 _findings_query("verhoeff_checksum", _named("AADHAAR_NUMBER"), PEOPLE, P.people)
 _findings_query("gst_checksum", _named("GSTIN"), PEOPLE, P.people)
+_findings_query("planted_pii", D.PII, CASES, P.cases)
+_findings_query("planted_secrets", D.SECRETS, CASES, P.cases)
+_findings_query("planted_injection", D.INJECTION, CASES, P.cases)
+_findings_query("planted_tone", D.GUARDRAILS, CASES, P.cases)
 _findings_query("near_word_findings", [d for d in D.PII if d.near], PEOPLE, P.people)
 
 _H = "list_sum(list_transform(list_distinct(string_split(snippet, '')), lambda c: -1.0 * len(list_filter(string_split(snippet, ''), lambda y: y = c)) / length(snippet) * log2(1.0 * len(list_filter(string_split(snippet, ''), lambda z: z = c)) / length(snippet))))"
@@ -115,6 +121,17 @@ def high_entropy_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(P.people(spark, sf_dir), D.entropy_findings).where("match_name = 'HIGH_ENTROPY_HEX'").select("doc_id", "match_name", "snippet")
 
 
+_RUNS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{D.BASE64_SHAPE}')) AS snippet FROM {CASES}"
+
+
+@query(
+    f"SELECT doc_id, 'HIGH_ENTROPY_HEX' AS match_name, snippet FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{D.HEX_SHAPE}')) AS snippet FROM {CASES}) WHERE {_H} >= {D.HEX_BITS}"
+    f" UNION ALL SELECT doc_id, 'HIGH_ENTROPY_BASE64' AS match_name, snippet FROM ({_RUNS}) WHERE {_H} >= {D.BASE64_BITS} AND NOT regexp_full_match(snippet, '[0-9a-fA-F]+')"
+)
+def planted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(P.cases(spark, sf_dir), D.entropy_findings).select("doc_id", "match_name", "snippet")
+
+
 @query(f"SELECT doc_id, unnest(regexp_extract_all(text, '\\b(falcon|[Pp]roject)\\b')) AS snippet FROM {PEOPLE}")
 def custom_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [KeywordRule("Falcon", "Block"), KeywordRule("project"), KeywordRule("absent"), KeywordRule("")]
@@ -126,7 +143,7 @@ _ALL = [*D.SECRETS, *D.INJECTION, *D.PII, *D.GUARDRAILS]
 
 @query(f"SELECT category, severity, count(*) AS n FROM ({O.findings(PEOPLE, _ALL)}) GROUP BY category, severity")
 def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(P.people(spark, sf_dir), lambda t: D.detect(t, _ALL)).groupBy("category", "severity").agg(F.count("*").alias("n"))
+    return _found(P.people(spark, sf_dir), lambda t: D.detect(t, _ALL, F.col("_seen"))).groupBy("category", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({O.findings('documents', _named('EMAIL_ADDRESS', 'PHONE_NUMBER'))}) JOIN documents USING (doc_id) GROUP BY lang")
@@ -153,9 +170,9 @@ def redact_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", redact(F.col("text"), F.col("findings")).alias("sanitized"))
 
 
-@query(f"SELECT doc_id, length({_nested('text')}) AS n_chars, md5({_nested('text')}) AS digest FROM documents WHERE regexp_matches(text, '@|[0-9]')")
+@query(f"SELECT doc_id, length({_nested('text')}) AS n_chars, md5({_nested('text')}) AS digest FROM documents")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).where(F.rlike("text", F.lit("@|[0-9]"))).withColumn("findings", D.detect(F.col("text"), _MASKED)).withColumn("sanitized", redact(F.col("text"), F.col("findings")))
+    rows = _documents(spark, sf_dir).withColumn("_seen", D.seen(F.col("text"))).withColumn("findings", D.detect(F.col("text"), _MASKED, F.col("_seen"))).withColumn("sanitized", redact(F.col("text"), F.col("findings")))
     return rows.select("doc_id", F.length("sanitized").cast("long").alias("n_chars"), F.md5(F.col("sanitized").cast("binary")).alias("digest"))
 
 
@@ -218,25 +235,50 @@ def payment_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir).select("doc_id", decide(F.col("findings"), payment_pack(policy()), {})["action"].alias("action"))
 
 
-def _inspect_oracle(detectors: list[D.Detector]) -> str:
-    rows = f"SELECT *, {O.points('category', 'severity', '(row_number() OVER (PARTITION BY doc_id, category ORDER BY det, pos) - 1)')} AS p FROM ({O.findings(PEOPLE, detectors)})"
-    per = f"SELECT doc_id, count(*) AS n_findings, CAST(least(sum(p), 100) AS INT) AS risk, max({O.action_rank(O.category_action('category'))}) AS r FROM ({rows}) GROUP BY doc_id"
-    return f"SELECT doc_id, {O.rank_action('coalesce(r, 0)')} AS action, CAST(coalesce(n_findings, 0) AS INT) AS n_findings, coalesce(risk, 0) AS risk, {O.band('coalesce(risk, 0)')} AS band FROM {PEOPLE} LEFT JOIN ({per}) USING (doc_id)"
+def _inspect_oracle(detectors: list[D.Detector], relation: str = PEOPLE, response: bool = False, off: tuple[str, ...] = ()) -> str:
+    """off: categories that are switched off: they count for the risk, but neither act, show nor are masked."""
+    on = f"category NOT IN ({', '.join(map(O.text, off))})" if off else "true"
+    rows = f"SELECT *, {O.points('category', 'severity', '(row_number() OVER (PARTITION BY doc_id, category ORDER BY det, pos) - 1)')} AS p FROM ({O.findings(relation, detectors)})"
+    shown = f"list(snippet || chr(2) || redacted_replacement ORDER BY det, pos) FILTER ({on} AND redacted_replacement IS NOT NULL)"
+    per = f"SELECT doc_id, count(*) FILTER ({on}) AS n_findings, CAST(least(sum(p), 100) AS INT) AS risk, max({O.action_rank(O.category_action('category'))}) FILTER ({on}) AS r, {shown} AS shown FROM ({rows}) GROUP BY doc_id"
+    masked = f"CASE WHEN shown IS NULL THEN text ELSE {O.masked('text', 'shown')} END"
+    if not response:
+        masked = f"CASE WHEN {O.rank_action('coalesce(r, 0)')} = 'Redact' THEN {masked} ELSE text END"
+    return f"SELECT doc_id, {O.rank_action('coalesce(r, 0)')} AS action, CAST(coalesce(n_findings, 0) AS INT) AS n_findings, coalesce(risk, 0) AS risk, {O.band('coalesce(risk, 0)')} AS band, {masked} AS sanitized FROM {relation} LEFT JOIN ({per}) USING (doc_id)"
 
 
-def _inspected(spark: SparkSession, sf_dir: str, response: bool) -> DataFrame:
-    out = inspect(P.people(spark, sf_dir), policy(), response=response)
-    return out.select("doc_id", "action", F.size("findings").alias("n_findings"), F.col("risk.total").alias("risk"), F.col("risk.band").alias("band"))
+def _inspected(docs: DataFrame, response: bool = False, **changes) -> DataFrame:
+    out = inspect(docs, policy(**changes), response=response)
+    return out.select("doc_id", "action", F.size("findings").alias("n_findings"), F.col("risk.total").alias("risk"), F.col("risk.band").alias("band"), "sanitized")
+
+
+_ANSWER = [*D.SECRETS, *D.PII, *D.GUARDRAILS]
 
 
 @query(_inspect_oracle(_ALL))
 def inspect_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inspected(spark, sf_dir, False)
+    return _inspected(P.people(spark, sf_dir))
 
 
-@query(_inspect_oracle([*D.SECRETS, *D.PII, *D.GUARDRAILS]))
+@query(_inspect_oracle(_ANSWER, response=True))
 def inspect_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inspected(spark, sf_dir, True)
+    return _inspected(P.people(spark, sf_dir), True)
+
+
+@query(_inspect_oracle(_ALL, CASES))
+def inspect_odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that every detector hits and misses, control characters, overlaps, empty texts."""
+    return _inspected(P.cases(spark, sf_dir))
+
+
+@query(_inspect_oracle(_ANSWER, CASES, response=True))
+def inspect_odd_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inspected(P.cases(spark, sf_dir), True)
+
+
+@query(_inspect_oracle(_ALL, CASES, off=("Pii", "Toxicity")))
+def inspect_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inspected(P.cases(spark, sf_dir), detectors={"Pii": False, "Toxicity": False})
 
 
 # ---- audit ----------------------------------------------------------------------------------------
@@ -375,9 +417,9 @@ def hosts_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.in_domains(_hosts(spark, sf_dir), spark.sql("SELECT 'Example.org' AS domain")).select("page_id")
 
 
-@query(f"WITH d AS (SELECT DISTINCT lower({_HOST}) AS domain, page_id % 3 AS k FROM pages) SELECT domain, 'add' AS change FROM d WHERE k = 0 AND domain NOT IN (SELECT domain FROM d WHERE k = 1) UNION SELECT domain, 'remove' AS change FROM d WHERE k = 1 AND domain NOT IN (SELECT domain FROM d WHERE k = 0)")
+@query(f"WITH d AS (SELECT DISTINCT lower({_HOST}) AS domain, page_id % 2 AS k FROM pages) SELECT domain, 'add' AS change FROM d WHERE k = 0 AND domain NOT IN (SELECT domain FROM d WHERE k = 1) UNION SELECT domain, 'remove' AS change FROM d WHERE k = 1 AND domain NOT IN (SELECT domain FROM d WHERE k = 0)")
 def domain_set_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), (F.col("page_id") % 3).alias("k")).distinct()
+    d = _hosts(spark, sf_dir).select(F.col("host").alias("domain"), (F.col("page_id") % 2).alias("k")).distinct()
     return L.domain_changes(d.where("k = 0").select("domain"), spark.sql("SELECT 'none' AS domain"), d.where("k = 1").select("domain"))
 
 
