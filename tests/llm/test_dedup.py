@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import docs_of
 from veilstream.llm.components import roots
-from veilstream.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates, near_links, similar_groups, two_fingerprints
+from veilstream.llm.simhash import DROP_BLOCKS, DROP_THRESHOLD, DROP_TOTAL, confirmed, drop_near_duplicates, fingerprint, near_duplicates, near_links, similar_groups, two_fingerprints
 from veilstream.llm.suffix_dedup import remove_repeats
 
 
@@ -95,7 +95,7 @@ def test_dropping_near_copies(spark):
     def linked(i, j):
         a, b = (two_fingerprints(rows[k][1], 5) for k in (i, j))
         differ = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-        return min(differ) <= 11 and sum(differ) <= 24
+        return min(differ) <= DROP_THRESHOLD and sum(differ) <= DROP_TOTAL
 
     groups: dict = {}
     for i, root in enumerate(components(len(rows), linked)):
@@ -124,7 +124,7 @@ def test_near_copies_are_confirmed_by_their_shingles(spark):
 
     def near(i, j):
         differ = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)]
-        return min(differ) <= 11 and sum(differ) <= 24
+        return min(differ) <= DROP_THRESHOLD and sum(differ) <= DROP_TOTAL
 
     loose = components(len(rows), lambda i, j: bool(sets[i]) and bool(sets[j]) and min(map(len, (sets[i], sets[j]))) >= 4 and near(i, j))
     same = lambda i, j: sets[i] == sets[j] or loose[i] == loose[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
@@ -136,6 +136,9 @@ def test_near_copies_are_confirmed_by_their_shingles(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(min(g, key=lambda d: (d is None, d))) for g in groups.values())
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+    for tile in (4_000_000, 300):  # groups of candidates as a whole, and cut into tiles
+        by = confirmed(docs, DROP_THRESHOLD, DROP_TOTAL, 5, 42, DROP_BLOCKS, 0.8, tile).groupBy("component").agg(F.min(F.coalesce("doc_id", F.lit(10**9))).alias("d")).collect()
+        assert sorted(r["d"] for r in by) == sorted(min(10**9 if d is None else d for d in g) for g in groups.values())
 
 
 def test_similar_groups_are_exact():

@@ -241,6 +241,7 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     records_bound = n * reach * len(code.blocks)
     tile = max(tile, records_bound // 50_000)  # so at most 50,000 anchors are cut
     buckets = max(16, -(-records_bound // 300_000))
+    parts = max(shuffle_partitions(spark), records_bound * record.itemsize // _PARTITION)
     spread = nodes.repartition(min(max(2 * shuffle_partitions(spark), n // 200_000), max(1, n)), "id")
 
     def counted(batches):
@@ -316,7 +317,7 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
         give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.mapInArrow(sent, "b long, data binary").groupBy("b").applyInArrow(compared, "a long, b long")
+    return spread.mapInArrow(sent, "b long, data binary").repartition(parts, "b").groupBy("b").applyInArrow(compared, "a long, b long")
 
 
 def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED, blocks: int | None = None, total: int | None = None) -> DataFrame:
@@ -341,8 +342,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     )
 
 
-#: For dropping near copies: five-word shingles; similarity 0.8 differs in about 10 of 64 and 19 of 128 bits.
-DROP_SHINGLE, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS = 5, 11, 24, 4
+#: For dropping near copies: five-word shingles; similarity 0.8 differs in about 10 (deviation 3) of 64 bits and in 19
+#: (deviation 4) of 128.  Two texts of nothing in common come that near with a chance of about 10^-10.
+DROP_SHINGLE, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS = 5, 11, 28, 4
+#: Shingles that one task holds when candidates are compared; larger groups are compared tile by tile.
+TILE_SHINGLES = 4_000_000
+#: Bytes of records that a shuffle partition holds.
+_PARTITION = 64 << 20
 
 
 #: Bits of the map that says which texts may be needed; it only saves reading others.
@@ -393,12 +399,13 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: int, blocks: int, similarity: float) -> DataFrame:
+def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: int, blocks: int, similarity: float, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row of docs: doc_id, text_key, component.
 
     Equal shingle sets are one.  Fingerprints say which sets are compared; those of one group of them that are
-    connected over pairs of at least the similarity have one component.  Sets so small that only equal ones can be
-    similar enough (the empty one of wordless texts, too) have no part in that.
+    connected over pairs of at least the similarity have one component.  A group too large for one task is cut into
+    chunks by hash, and every pair of chunks is compared by a task of its own.  Sets so small that only equal ones can
+    be similar enough (the empty one of wordless texts, too) have no part in that.
     """
     least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 62
     row = F.xxhash64(F.col("doc_id").cast("long"), "text")
@@ -418,14 +425,16 @@ def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: i
 
     kinds = "doc_id long, text_key long, row_key long, fp long, fp2 long, set_key long, n long"
     fps = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), row.alias("row_key")).mapInArrow(sketch, kinds), "fingerprints")
-    items = materialise(fps.where(F.col("n") >= least).groupBy("set_key", "fp", "fp2").agg(F.min("row_key").alias("row_key")), "items")
+    items = materialise(fps.where(F.col("n") >= least).groupBy("set_key", "fp", "fp2").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "items")
     nodes = materialise(items.groupBy("fp", "fp2").agg(F.min("set_key").alias("id"), F.count("*").alias("sets")), "nodes")
     links = near_links(nodes.select("fp", "fp2", "id"), threshold, blocks, total=total)
     links = links.union(near_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"), threshold, blocks, total=total))
     up = roots(links)
     linked = up.select("node", "root").union(up.select(F.col("root").alias("node"), "root").distinct())
     named = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").where("root is not null or sets > 1")
-    wanted = materialise(items.join(named.select("fp", "fp2", F.coalesce("root", "id").alias("near")), ["fp", "fp2"]).select("set_key", "row_key", "near"), "wanted")
+    wanted = materialise(items.join(named.select("fp", "fp2", F.coalesce("root", "id").alias("near")), ["fp", "fp2"]).select("set_key", "row_key", "near", "n"), "wanted")
+    chunks = wanted.groupBy("near").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("chunks")).where("chunks > 1")
+    chunks = materialise(chunks, "chunks")
 
     slot = F.shiftrightunsigned("row_key", 64 - _MAP_BITS)
     one = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(row_key, {64 - _MAP_BITS}) & 63 AS INT))")
@@ -453,7 +462,14 @@ def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: i
         return out
 
     sets = docs.select("text", row.alias("row_key")).mapInArrow(gather, "set_key long, own binary")
-    moved = materialise(sets.join(wanted.select("set_key", "near"), "set_key").groupBy("near").applyInArrow(lambda t: compare(t.select(["set_key", "own"])), "set_key long, root long"), "confirmed")
+    cut = wanted.select("set_key", "near").join(chunks, "near", "left")
+    own = F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, own) * F.col("chunks") + F.greatest(x, own))
+    placed = cut.select("set_key", "near", F.explode(F.coalesce(tiles, F.array(F.lit(0)))).alias("tile"))
+    links = sets.join(placed, "set_key").groupBy("near", "tile").applyInArrow(lambda t: compare(t.select(["set_key", "own"])), "set_key long, root long")
+    moved = materialise(links, "confirmed")
+    if chunks.limit(1).count():  # else every group was compared as a whole
+        moved = roots(moved.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "root")
     return fps.join(moved, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("component"))
 
 
