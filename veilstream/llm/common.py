@@ -6,13 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definitions: blank and the bytes 9 to 13.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-#: Its complement, as a Java pattern.
-ASCII_WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words, as a Java pattern.
+ASCII_APART = ASCII_SPACE + "+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, one of its own in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,6 +36,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has (null for null)."""
+    return F.size(F.array_remove(F.split(text, ASCII_APART), ""))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

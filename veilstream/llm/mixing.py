@@ -8,7 +8,7 @@
 3. In a shard the documents stand in seeded order as one run of words, cut into blocks.  Each block is taken
    quota div blocks times, and (quota mod blocks) of them, picked by a seeded permutation, once more.
 
-A hot source is just a source of more shards.  Everything is SQL; the same text runs on DuckDB as the oracle.
+A hot source is just a source of more shards, be it by words or by rows.  Everything is SQL; the same text runs on DuckDB as the oracle.
 
 Defined results: null text has size 0 and nothing of it is taken; a null source is a source of its own and comes
 last; rows that repeat a doc_id are documents of their own; with no words all targets are 0.
@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.common import ASCII_WORD, materialise
+from veilstream.llm.common import materialise, n_words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 16
 SHARD_WORDS = 2_000_000
+#: rows of a shard: a source may hold mostly empty texts
+SHARD_ROWS = 4096
 SEED = 42
 #: prime above any number of blocks a shard can have
 _PRIME = 2147483647
@@ -32,8 +34,7 @@ _PRIME = 2147483647
 
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, size (words of the text), and what more is asked for."""
-    words = F.regexp_count("text", F.lit(ASCII_WORD))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.when(F.col("text").isNotNull(), n_words(F.col("text"))), F.lit(0)).cast("long").alias("size"), *more)
 
 
 _SPARK = {
@@ -54,16 +55,16 @@ def _weight(weights: tuple[int, ...]) -> str:
     return " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
 
 
-def mix_sql(dialect: dict, sized: str, weights=WEIGHTS, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, seed=SEED, carry: str = "") -> str:
+def mix_sql(dialect: dict, sized: str, weights=WEIGHTS, most=MOST, block=BLOCK, shard_words=SHARD_WORDS, seed=SEED, carry: str = "", shard_rows=SHARD_ROWS) -> str:
     """The whole mix over a relation (doc_id, source, size), and one more column that is carried along."""
     own, with_d = (f", {carry}", f", d.{carry}") if carry else ("", "")
     same, hex8, series = dialect["same"], dialect["hex8"], dialect["series"]
     taken = dialect["total"]("k", f"first_word // {block}", f"(first_word + size - 1) // {block}", f"CASE WHEN (k * {_PRIME} + turn) % blocks < quota % blocks THEN least(first_word + size, (k + 1) * {block}) - greatest(first_word, k * {block}) ELSE 0 END")
     sql = f"""
 WITH sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM {sized} GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM {sized} GROUP BY source
 ), weighed AS (
-  SELECT source, source_size, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} {_weight(weights)} END AS weight,
+  SELECT source, source_size, source_rows, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} {_weight(weights)} END AS weight,
     row_number() OVER (ORDER BY source IS NULL, source) AS rank, CAST(sum(source_size) OVER () AS BIGINT) AS total, count(*) OVER () AS n
   FROM sources
 ), levels AS (
@@ -73,7 +74,7 @@ WITH sources AS (
 ), targets AS (
   SELECT source, source_size, rank, n, total, least(CAST({most} * source_size AS DOUBLE), weight * max(level) OVER ()) AS target,
     CAST(floor(CAST(total AS DOUBLE) / {block} + 0.5) AS BIGINT) AS blocks,
-    CAST(greatest(1, (source_size + {shard_words} - 1) // {shard_words}) AS BIGINT) AS shards
+    CAST(greatest(1, (source_size + {shard_words} - 1) // {shard_words}, (source_rows + {shard_rows} - 1) // {shard_rows}) AS BIGINT) AS shards
   FROM levels
 ), near AS (
   SELECT *, CAST(floor(target / total * blocks + 0.5) AS BIGINT) AS guess, CAST(ceil(target / total * n) AS BIGINT) + 2 AS slack FROM targets WHERE target > 0
@@ -143,7 +144,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key")), F.lit(1 << 20)) / F.lit(1 << 20)
     times = share.select(F.col("doc_id").alias("_mix_doc"), F.col("text_key").alias("_mix_key"), (F.floor("share") + F.when(chance < F.col("share") - F.floor("share"), 1).otherwise(0)).cast("int").alias("_mix_times")).where("_mix_times > 0")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_doc")) & key.eqNullSafe(F.col("_mix_key"))
-    return docs.join(times, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_no")).select(*docs.columns)
+    # a text that is null has no words to take, and such rows would meet on one key
+    return docs.where("text IS NOT NULL").join(times, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_no")).select(*docs.columns)
 
 
 def oracle() -> str:
