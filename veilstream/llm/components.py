@@ -18,8 +18,9 @@ def roots(links: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     edges = materialise(links.where(a != b).select(F.greatest(a, b).alias("c"), F.least(a, b).alias("p")).distinct(), "links")
     while True:
-        per_child = edges.groupBy("c").agg(F.collect_set("p").alias("ps"), F.min("p").alias("m"))
-        star = per_child.select(F.explode(F.concat(F.array(F.col("c")), F.filter("ps", lambda p: p != F.col("m")))).alias("c"), F.col("m").alias("p"))
+        # the link to the smallest parent stays, any other parent is linked to that one in its place
+        smallest = edges.groupBy("c").agg(F.min("p").alias("m"))
+        star = edges.join(smallest, "c").select(F.when(F.col("p") == F.col("m"), F.col("c")).otherwise(F.col("p")).alias("c"), F.col("m").alias("p"))
         edges = materialise(star.distinct(), "star")
         least = materialise(edges.groupBy("c").agg(F.min("p").alias("up"), F.count("*").alias("n")), "least")
         hops = materialise(edges.join(least.select(F.col("c").alias("p"), "up"), "p", "left").select("c", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().alias("moved")), "hops")
