@@ -258,3 +258,13 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
     none = toxicity.train(docs, known.limit(0))
     assert none.stems == {} and toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_long_texts_share_shingles_all_along():
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randint(0, 50)}" for _ in range(12))
+    found = Matcher([(1, item)]).hits((item + " ") * 40_000)
+    assert found == [(1, 1.0, 0, 12)]
+    w = item.split()
+    late = " ".join(w[:5]) + " x " + "y z " * 50_000 + item
+    assert Matcher([(1, item)]).hits(late)[0][:2] == (1, 1.0)

@@ -12,7 +12,8 @@ Words are runs of letters, digits and underscores in lower case; a shingle has f
 that has fewer.  Items are handled in blocks of bounded size, one pass over the documents each.
 
 Defined results: null and empty texts match nothing, null and wordless items are matched by nothing; a document
-shorter than an item is one window; repeated rows are each reported; an empty table gives an empty result.
+shorter than an item is one window; a text of any length is looked at whole, some thousands of windows at a time;
+repeated rows are each reported; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,6 +70,11 @@ def _window_fingerprints(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.n
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _stretches(at: np.ndarray, most: int = 1 << 14) -> list[np.ndarray]:
+    """Neighbouring windows together, so many at a time: a long text may share shingles with an item all along."""
+    return [x for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) for x in np.split(run, range(most, len(run), most))]
+
+
 class _SizeIndex:
     """Items of one number of words."""
 
@@ -169,7 +175,7 @@ class Matcher:
             if width < k:
                 continue
             at = np.array(sorted(starts), np.int64)
-            for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):  # each stretch of neighbouring windows
+            for part in _stretches(at):
                 region = ws[part[0] : part[-1] + width]
                 fps = _window_fingerprints(_shingle_hashes(self._hashes(region), k), part - part[0], width - k + 1)
                 own, index = self.sizes[m]
