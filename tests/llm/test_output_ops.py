@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -91,6 +92,31 @@ def test_signatures(kind):
     assert media.sniff(data[:-1], "x/y")[:2] == ("x/y", False)
 
 
+@pytest.mark.parametrize("piece", [b"%PDF-", b"%PDF-startxref", b"%%EOF%PDF-", b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18 + b"PK\x03\x04", b"\x1f\x8b\x08\0\0\0\0\0\0\xff", b"\xff\xd8\xff\xda\0\x02", b"\0\0\0\x08ftyp", b"OggS\0" + b"\0" * 22, b"RIFF", b"GIF89a", b"BM", b"fLaC"])
+def test_long_values_take_time_in_proportion(piece):
+    def took(n):
+        began = time.perf_counter()
+        media.sniff(piece * n, "a/b")
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 8 * took(5_000) + 0.3
+
+
+def test_media_between_others():
+    """Media of all kinds one after the other, with text that looks like media between them."""
+    rng = random.Random(6)
+    for _ in range(60):
+        data, expected = b"", []
+        for kind in rng.choices(list(SAMPLES), k=rng.randint(1, 6)):
+            data += rng.choice([b"", b"text %PDF- BM RIFF PK\x03\x04 ", b"\xff\xd8\xff", b"\x1f\x8b\x08"]) + b"|"
+            if kind not in ("application/pdf", "audio/ogg", "video/mp4"):  # those may go on behind
+                expected.append((len(data), len(SAMPLES[kind]), kind))
+                data += SAMPLES[kind]
+        found = media.find_media(data)
+        assert set(expected) <= set(found) or any(k == "image/jpeg" and n > len(SAMPLES[k]) for _, n, k in found)
+
+
 def test_sniff_and_carve(spark):
     rows = [(1, _zip(("b.png", _png())), "image/png"), (2, None, "a"), (3, b"", None), (4, b"text BM RIFF GIF89a", "text/plain")]
     frame = spark.createDataFrame(rows, "id long, data binary, declared string")

@@ -9,7 +9,9 @@ was declared; confirmed ones further in are embedded media and can be carved out
 
 Defined results: a null value has null type and no media inside; an empty or unrecognised value keeps its declared
 type, marked unconfirmed; truncated media are not confirmed; a candidate inside the bytes of one already carved
-(of the same nesting) is not carved again; equal values give equal results.
+(of the same nesting) is not carved again; a value of any length is read whole, in time in proportion to it unless it is
+full of headers that each announce most of it; equal values and repeated rows give equal results, a row each; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import functools
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,52 @@ FILL = 255
 RATE = 8000
 
 
+class Value(bytes):
+    """A value, with what validators look up in it more than once."""
+
+    def places(self, mark: bytes) -> list[int]:
+        """All places of a mark, found in one pass."""
+        known = self.__dict__.setdefault("marks", {})
+        if mark not in known:
+            out, at = [], self.find(mark)
+            while at >= 0:
+                out.append(at)
+                at = self.find(mark, at + 1)
+            known[mark] = out
+        return known[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from an offset on, or -1."""
+        all_ = self.places(mark)
+        i = bisect_left(all_, at)
+        return all_[i] if i < len(all_) else -1
+
+    def last(self, mark: bytes, at: int, end: int) -> int:
+        """The last place of a mark that stands within a range, or -1."""
+        all_ = self.places(mark)
+        i = bisect_right(all_, end - len(mark)) - 1
+        return all_[i] if i >= 0 and all_[i] >= at else -1
+
+    def archives(self) -> dict[int, int]:
+        """Where archives start -> where they end, by the records that end them."""
+        if "zips" not in self.__dict__:
+            found: dict[int, int] = {}
+            for end in self.places(b"PK\x05\x06"):
+                if end + 22 > len(self):
+                    break
+                size, offset, note = struct.unpack_from("<IIH", self, end + 12)
+                start = end - offset - size
+                if start >= 0 and end + 22 + note <= len(self) and (size == 0 or self[start + offset : start + offset + 4] == b"PK\x01\x02"):
+                    found.setdefault(start, end + 22 + note)
+            self.__dict__["zips"] = found
+        return self.__dict__["zips"]
+
+
 # ---- validators: length from an offset on, or None ------------------------------------------------
+# Values may be long and full of magic bytes: a validator reads what it confirms, or little; what it looks for far away
+# it looks up in the value's places.
 
-def _png(d: bytes, at: int) -> int | None:
+def _png(d: Value, at: int) -> int | None:
     i = at + 8
     first = True
     while i + 12 <= len(d):
@@ -51,7 +97,7 @@ def _png(d: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> int | None:
+def _jpeg(d: Value, at: int) -> int | None:
     i = at + 2
     while i + 4 <= len(d) and d[i] == 0xFF:
         kind = d[i + 1]
@@ -59,6 +105,8 @@ def _jpeg(d: bytes, at: int) -> int | None:
         if n < 2 or kind in (0xD8, 0xD9, 0x00):
             return None
         i += 2 + n
+        if kind == 0xDA and d.first(b"\xff\xd9", i) < 0:
+            return None
         if kind == 0xDA:  # entropy-coded data: to the next marker that is no restart and no stuffed byte
             while (i := d.find(b"\xff", i)) >= 0 and i + 1 < len(d) and (d[i + 1] == 0 or 0xD0 <= d[i + 1] <= 0xD7):
                 i += 2
@@ -69,7 +117,7 @@ def _jpeg(d: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(d: bytes, at: int) -> int | None:
+def _gif(d: Value, at: int) -> int | None:
     if at + 13 > len(d):
         return None
     flags = d[at + 10]
@@ -92,7 +140,7 @@ def _gif(d: bytes, at: int) -> int | None:
     return None
 
 
-def _riff(d: bytes, at: int) -> tuple[str, int] | None:
+def _riff(d: Value, at: int) -> tuple[str, int] | None:
     if at + 12 > len(d):
         return None
     size = int.from_bytes(d[at + 4 : at + 8], "little")
@@ -112,50 +160,47 @@ def _riff(d: bytes, at: int) -> tuple[str, int] | None:
     return kind, 8 + size + size % 2 if end + size % 2 <= len(d) else 8 + size
 
 
-def _bmp(d: bytes, at: int) -> int | None:
+def _bmp(d: Value, at: int) -> int | None:
     if at + 26 > len(d):
         return None
     size, reserved, offset, head = struct.unpack_from("<IIII", d, at + 2)
     return size if reserved == 0 and head in (12, 40, 52, 56, 64, 108, 124) and 14 + head <= offset <= size and at + size <= len(d) else None
 
 
-def _pdf(d: bytes, at: int) -> int | None:
-    end = d.rfind(b"%%EOF", at)
-    if end < 0 or d.find(b"startxref", at, end) < 0:
+def _pdf(d: Value, at: int) -> int | None:
+    end = d.last(b"%%EOF", at, len(d))
+    if end < 0 or d.last(b"startxref", at, end) < 0:
         return None
-    nxt = d.find(b"%PDF-", at + 5)
+    nxt = d.first(b"%PDF-", at + 5)
     if 0 <= nxt < end:  # another document follows: this one ends before it
-        end = d.rfind(b"%%EOF", at, nxt)
+        end = d.last(b"%%EOF", at, nxt)
         if end < 0:
             return None
     return end + 5 - at
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = at
-    while (end := d.find(b"PK\x05\x06", end + 1)) >= 0:
-        if end + 22 <= len(d):
-            size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-            if at + offset + size == end and end + 22 + note <= len(d) and (size == 0 or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
-                return end + 22 + note - at
-    return None
+def _zip(d: Value, at: int) -> int | None:
+    end = d.archives().get(at)
+    return None if end is None else end - at
 
 
-def _gzip(d: bytes, at: int) -> int | None:
+def _gzip(d: Value, at: int) -> int | None:
     z = zlib.decompressobj(31)
+    view = memoryview(d)
     try:
-        rest = d[at:]
-        while rest and not z.eof:
-            z.decompress(rest, 1 << 20)
-            rest = z.unconsumed_tail or (z.unused_data if z.eof else b"")
+        for i in range(at, len(d), 1 << 14):
+            part = view[i : i + (1 << 14)]
+            while len(part) and not z.eof:
+                z.decompress(part, 1 << 20)
+                part = z.unconsumed_tail
             if z.eof:
-                return len(d) - at - len(z.unused_data)
+                return min(len(d), i + (1 << 14)) - len(z.unused_data) - at
     except zlib.error:
         return None
     return None
 
 
-def _flac(d: bytes, at: int) -> int | None:
+def _flac(d: Value, at: int) -> int | None:
     i = at + 4
     if i + 4 > len(d) or d[i] & 0x7F != 0 or int.from_bytes(d[i + 1 : i + 4], "big") != 34:
         return None
@@ -167,7 +212,7 @@ def _flac(d: bytes, at: int) -> int | None:
     return None
 
 
-def _ogg(d: bytes, at: int) -> int | None:
+def _ogg(d: Value, at: int) -> int | None:
     i = at
     while d[i : i + 4] == b"OggS" and i + 27 <= len(d) and d[i + 4] == 0:
         n = d[i + 26]
@@ -178,25 +223,32 @@ def _ogg(d: bytes, at: int) -> int | None:
     return i - at if i > at else None
 
 
-def _mp4(d: bytes, at: int) -> int | None:
-    start, i, seen = at - 4, at - 4, False
+def _mp4(d: Value, at: int) -> int | None:
+    start = at - 4
     if start < 0:
         return None
-    while i + 8 <= len(d):
+    known = d.__dict__.setdefault("boxes", {})  # of each box: where its row of boxes ends, and whether one of them is a movie
+    row, i = [], start
+    while i not in known and i + 8 <= len(d):
         n = int.from_bytes(d[i : i + 4], "big")
         kind = d[i + 4 : i + 8]
         if kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"meta", b"uuid", b"wide", b"styp") or n < 8 or i + n > len(d):
             break
-        seen |= kind in (b"moov", b"moof")
+        row.append((i, kind in (b"moov", b"moof")))
         i += n
-    return i - start if seen else None
+    end, seen = known.get(i, (i, False))
+    for place, movie in reversed(row):
+        seen |= movie
+        known[place] = end, seen
+    return end - start if seen else None
 
 
 def _plain(kind: str, check):
-    def run(d: bytes, at: int):
+    def run(d: Value, at: int):
         n = check(d, at)
         return (kind, n) if n else None
 
+    run.kind = kind
     return run
 
 
@@ -232,15 +284,18 @@ def find_media(data: bytes) -> list[tuple[int, int, str]]:
     """All confirmed media of a value: (offset, length, type), outer before inner."""
     found: list[tuple[int, int, str]] = []
     ends: dict[str, int] = {}
+    value = Value(data)
     for last, n in _automaton().iter(data.decode("latin-1")):
         magic, back, check = FORMATS[n]
         at = last + 1 - len(magic)
-        got = check(data, at)
+        start = at - back
+        if start < ends.get(getattr(check, "kind", ""), 0):  # inside a medium of its own kind, such as a later page of it
+            continue
+        got = check(value, at)
         if got is None:
             continue
         kind, size = got
-        start = at - back
-        if start < ends.get(kind, 0):  # inside a medium of its own kind, such as a later page of it
+        if start < ends.get(kind, 0):
             continue
         ends[kind] = start + size
         found.append((start, size, kind))
