@@ -35,9 +35,9 @@ _HEAD = struct.Struct("<8sBQQQQ")
 NO_ID = 2**63 - 1
 SEGMENT_IDS = 1 << 20
 #: bytes of text that are encoded at a time (a longer text goes by itself)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: entries of each of the two generations of remembered pieces
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, data binary"
 
 #: runs that may be cut into pieces, and the pieces of their lower case: letters, a digit, signs
@@ -77,8 +77,11 @@ class _Table:
 
     def take(self, which: np.ndarray) -> _Table:
         size = self.size[which]
-        first = (np.cumsum(self.size) - self.size)[which] - (np.cumsum(size) - size)
-        return _Table(self.ids[np.repeat(first, size) + np.arange(size.sum())], size)
+        total = int(size.sum())
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(self.size) - self.size)[which] - (np.cumsum(size) - size)).astype(kind), size)
+        place += np.arange(total, dtype=kind)
+        return _Table(self.ids[place], size)
 
     def joined(self, offsets: np.ndarray) -> _Table:
         """Neighbouring lists made one, from each offset to the next."""
