@@ -280,10 +280,14 @@ def test_limits(spark):
     assert got == [True, True, False, False, True, True, True]
     rows = spark.createDataFrame([("n", 0), ("n", 30), ("n", 59), ("n", 60), ("m", 5)], "nonce string, s int").select("nonce", F.timestamp_seconds("s").alias("ts"))
     assert sorted((r["nonce"], r["ts"].second + 60 * r["ts"].minute, r["fresh"]) for r in limits.first_uses(rows).collect()) == [("m", 5, True), ("n", 0, True), ("n", 30, False), ("n", 59, False), ("n", 60, True)]
-    seen: dict = {}
-    sign = limits.signature(b"k", 100, "n")
-    assert limits.authorised(100, "n", sign, b"k", 120, seen) and not limits.authorised(100, "n", sign, b"k", 121, seen)
-    assert not limits.authorised(100, "x", sign, b"k", 120, seen) and not limits.authorised(100, "n", sign, b"k", 161, {})
+    events = spark.createDataFrame([(1, None, 0), (2, None, 1), (3, "a", 0), (3, "a", 0), (4, "a", 5), (5, "a", None)], "event_id long, k string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted((r["event_id"], r["allowed"]) for r in limits.limited(events, "k", most=2).collect() if r["event_id"] < 5) == [(1, True), (2, True), (3, True), (3, True), (4, False)]
+    assert limits.limited(events, "k").where("event_id = 5").first()["allowed"] is None and limits.limited(events.limit(0), "k").count() == 0
+    sign = limits.hmac.new(b"k", b"100.n", "sha256").hexdigest()
+    rows = [(1, 100, "n", sign, 120), (2, 100, "n", sign, 121), (3, 100, "x", sign, 120), (4, 100, "n", sign, 161), (5, 100, "n", sign, 39), (6, 100, None, sign, 100)]
+    asked = spark.createDataFrame(rows, "id long, ts long, nonce string, signature string, now long")
+    assert sorted((r["id"], r["allowed"]) for r in limits.authorised(asked, b"k").collect()) == [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False)]
+    assert limits.is_signed(100, "n", sign, b"k", 120) and not limits.is_signed(100, "n", sign, b"k", 161) and not limits.is_signed(100, "x", sign, b"k", 120)
 
 
 def test_rollups_stream_equals_batch(spark, tmp_path):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilstream.operators.risk import _chosen
 
@@ -34,6 +37,24 @@ def fingerprint(machine: Column, host: Column) -> Column:
     return F.concat_ws("-", *(F.substring(x, i, 4) for i in (1, 5, 9, 13)))
 
 
+def digest(x: Column) -> Column:
+    """SHA-256 of bytes or text, as lower-case hexadecimal digits."""
+    return F.sha2(x.cast("binary"), 256)
+
+
+def hmac_sha256(message: Column, secret: bytes) -> Column:
+    """Keyed digest of bytes or text, inside the JVM: the hash of the outer pad and the hash of the inner pad and the message."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in key).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def local_database_url(location: Column) -> Column:
+    """A file's place as a database address: drive letters need one slash more."""
+    path = F.replace(location, F.lit("\\"), F.lit("/"))
+    return F.concat(F.when(F.substring(path, 2, 1) == ":", "sqlite:///").otherwise("sqlite://"), path, F.lit("?mode=rwc"))
+
+
 # Names of findings as people read them.
 FRIENDLY = {
     "AWS_ACCESS_KEY": "AWS access key",
@@ -98,6 +119,19 @@ def dechunked(body: str, most: int = 25 << 20) -> str:
         at = end + 4 + n
 
 
+@F.pandas_udf(T.BinaryType())
+def dechunked_bytes(body: pd.Series) -> pd.Series:
+    """The same over a column of bodies; null for one that is damaged or larger than allowed."""
+
+    def one(b):
+        try:
+            return None if b is None else dechunked(bytes(b).decode("latin-1")).encode("latin-1")
+        except ValueError:
+            return None
+
+    return pd.Series([one(b) for b in body], dtype=object)
+
+
 def settings(text: str, defaults: dict) -> dict:
     """A JSON document of settings over its defaults, section by section."""
 
@@ -107,6 +141,14 @@ def settings(text: str, defaults: dict) -> dict:
     return over(defaults, json.loads(text))
 
 
+def overwrites(changes: DataFrame) -> DataFrame:
+    """Central updates (seq) that put an end to a local edit, which is worth a warning."""
+    from pyspark.sql import Window
+
+    before = F.lag("kind").over(Window.orderBy("seq"))  # the versions of one policy
+    return changes.withColumn("_before", before).where("kind = 'central' AND _before = 'local'").select("seq", "version")
+
+
 def provenance(changes: DataFrame) -> DataFrame:
     """The policy in force after local edits and central updates (seq, kind, version): source, version, local_override.
 

@@ -7,7 +7,6 @@ matches, not with their product.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -40,7 +39,7 @@ def running(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, by_block(v)).otherwise(F.array().cast("array<int>")))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, snippet, before, after>> of all matches, leftmost first.
 
     Offsets are in characters from 0, end exclusive; before and after are up to 40 characters of the text around.
@@ -73,7 +72,7 @@ def spans(text: Column, pattern: str) -> Column:
         at = running(F.transform(x["hits"], lambda h, i: F.length(F.get(x["gaps"], i)) + F.length(h)))
         return let(F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), at.alias("at")), placed)
 
-    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("hits"))
     return let(parts, sized)
 
 
@@ -81,8 +80,3 @@ def context(span: Column, around: int = AROUND) -> Column:
     """The match with so many bytes (up to 40) before and after it, in lower case; a character that is cut becomes U+FFFD."""
     near = F.concat(F.substring(F.encode(span["before"], "UTF-8"), -around, around), F.encode(span["snippet"], "UTF-8"), F.substring(F.encode(span["after"], "UTF-8"), 1, around))
     return F.lower(F.make_valid_utf8(near.cast("string")))
-
-
-def holds_any(text: Column, words: list[str]) -> Column:
-    """Whether one of the words (ASCII, in lower case) stands in the text."""
-    return F.rlike(text, F.lit("|".join(map(re.escape, words))))

@@ -13,7 +13,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstream.operators.detectors import FINDINGS
+from veilstream.functions.small import hmac_sha256
+from veilstream.operators.detectors import FINDING, FINDINGS
 
 COLUMNS = ["id", "timestamp", "event_type", "action_taken", "app_name", "domain", "user_identity", "findings"]
 PAGE, MOST_PAGE, WINDOW_DAYS, EXPORT_DAYS, KEEP_DAYS, KEEP_ROWS = 50, 200, 7, 30, 90, 500_000
@@ -41,6 +42,17 @@ def tool_event_action(decision: Column) -> Column:
     return F.when(decision == "Block", "Block").when(decision == "RequireApproval", "Warn").otherwise("Allow")
 
 
+def tool_findings(reasons: Column) -> Column:
+    """The reasons of a tool-call decision as findings."""
+    made = F.transform(reasons, lambda r: F.struct(F.lit("CustomKeyword"), F.lit("mcp_policy_reason"), r, F.lit("INFO"), F.lit(None).cast("string")).cast(FINDING))
+    return F.coalesce(made, F.array().cast(FINDINGS))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """id, line: what a log says about an event; no more of its findings than their number."""
+    return events.select("id", F.format_string("DLP_EVENT [%s]: Action=%s, App=%s, Domain=%s, Findings=%d", "event_type", "action_taken", "app_name", "domain", F.size("findings")).alias("line"))
+
+
 def window(events: DataFrame, tenant: str, since, until) -> DataFrame:
     """Events of a tenant between two times (both included), newest first."""
     t = F.col("timestamp")
@@ -78,7 +90,7 @@ def keep_newest(events: DataFrame, most: int = KEEP_ROWS, tenant: str | None = N
     per_day = events.groupBy("tenant_id", day.alias("_day")).agg(F.count("*").alias("_n"))
     newer = Window.partitionBy("tenant_id").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     room = per_day.withColumn("_room", F.lit(most) - F.coalesce(F.sum("_n").over(newer), F.lit(0))).withColumnRenamed("tenant_id", "_tenant")
-    same = (F.col("tenant_id") == F.col("_tenant")) & (day == F.col("_day"))
+    same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & day.eqNullSafe(F.col("_day"))  # without a time: the oldest
     placed = events.join(room, same)
     if tenant is not None:
         placed = placed.withColumn("_room", F.when(F.col("tenant_id") == tenant, F.col("_room")).otherwise(F.col("_n")))
@@ -134,7 +146,10 @@ CSV_HEADER = "id,timestamp,event_type,action_taken,app_name,domain,user_identity
 def csv_lines(events: DataFrame) -> DataFrame:
     """A line for each event, quoted where it must be; write them under CSV_HEADER."""
     names = CSV_HEADER.split(",")
-    text = [csv_field(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") if c == "timestamp" else F.col(c).cast("string")) for c in names]
+    at = F.col("timestamp")
+    if dict(events.dtypes)["timestamp"] == "timestamp":  # whatever the session's time zone
+        at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+    text = [csv_field(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")) if c == "timestamp" else F.col(c).cast("string")) for c in names]
     return events.select("id", F.concat_ws(",", *(F.coalesce(t, F.lit("")) for t in text)).alias("line"))
 
 
@@ -142,6 +157,18 @@ def json_lines(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(F.struct(*(c for c in events.columns if c != "synced"))).alias("line"))
 
 
+def json_array(events: DataFrame, by: str = "tenant_id") -> DataFrame:
+    """Per tenant: its events as one JSON array, oldest first.  For exports, whose window and size are bounded."""
+    shown = F.struct(*(c for c in events.columns if c not in ("synced", by)))
+    ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id", shown.alias("e"))))
+    return events.groupBy(by).agg(F.to_json(F.transform(ordered, lambda x: x["e"])).alias("events"))
+
+
+def signed_arrays(events: DataFrame, secret: bytes, by: str = "tenant_id") -> DataFrame:
+    """Per tenant: the array and a keyed digest of it."""
+    return json_array(events, by).withColumn("signature", hmac_sha256(F.col("events"), secret))
+
+
 def sign_archive(events_json: list[dict], exported_at: str, secret: bytes) -> dict:
     """A bounded export with an HMAC over its events."""
     body = json.dumps(events_json, sort_keys=True, separators=(",", ":"))

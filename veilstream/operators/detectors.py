@@ -9,6 +9,7 @@ The order of findings is the order of the lists below.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilstream.functions import checks
-from veilstream.functions.spans import context, holds_any, let, spans
+from veilstream.functions.spans import context, let, spans
 
 FINDING = "struct<category:string,match_name:string,snippet:string,severity:string,redacted_replacement:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -33,7 +34,7 @@ class Detector:
     severity: str
     replacement: str | None
     check: Callable[[Column], Column] | None = None
-    #: words of which one must stand near a match, or near which its severity is HIGH
+    #: words (in lower case) of which one must stand near a match, or near which its severity is HIGH; such matches have digits
     near: list[str] = field(default_factory=list)
     near_required: bool = True
     first_only: bool = False
@@ -97,7 +98,7 @@ PII = [
     _pii("DATE_OF_BIRTH", r"(?i)\b\d{1,2}\s+[A-Z]{3}\s+\d{4}\b", "HIGH", "DOB", near=BIRTH_WORDS),
     _pii("DATE_OF_BIRTH", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "HIGH", "DOB", near=BIRTH_WORDS),
     _pii("DATE_OF_BIRTH", r"\b\d{4}-\d{2}-\d{2}\b", "HIGH", "DOB", near=BIRTH_WORDS),
-    _pii("US_EIN", r"\b\d{2}-\d{7}\b", "HIGH", "EIN", near=EIN_WORDS, needs=(("-",),)),
+    _pii("US_EIN", r"\b\d{2}-\d{7}\b", "HIGH", "EIN", near=EIN_WORDS),
     _pii("US_DRIVER_LICENSE", r"\b[A-Z]{1,2}\d{5,12}\b", "HIGH", "DRIVER_LICENSE", near=DRIVER_WORDS),
     _pii("US_DRIVER_LICENSE", r"\b\d{7,9}\b", "HIGH", "DRIVER_LICENSE", near=DRIVER_WORDS),
     _pii(
@@ -218,9 +219,8 @@ def _none() -> Column:
 
 def _guarded(d: Detector, known: Column, found: Column) -> Column:
     """found, where the text holds all that a match of the detector needs."""
-    needs = [*d.needs, *([tuple(d.near)] if d.near and d.near_required else [])]
     tests = [known["digits"]] if d.digits else []
-    for words in needs:
+    for words in d.needs:
         tests.append(reduce(lambda a, b: a | b, [F.contains(known["low"], F.lit(w)) for w in words]))
     return F.when(reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(True)) for t in tests]), found).otherwise(_none()) if tests else found
 
@@ -244,20 +244,34 @@ def _first_of_each(found: Column) -> Column:
     return F.transform(back, lambda x: x["x"])
 
 
-def near_words(text: Column, same_name: list[Detector], known: Column) -> Column:
-    """Findings of detectors that look at the words around a match; one span is found once by equal names."""
+def _near_matches(text: Column, detectors: list[Detector], known: Column) -> Column:
+    """array<struct<by, start, end, snippet, near>>: matches of detectors (by number) that look at the words around them.
 
-    def judged(d: Detector) -> Column:
-        return F.transform(spans(text, d.java), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["snippet"].alias("snippet"), holds_any(context(s), d.near).alias("near")))
+    The detectors are data here, so the expression has one size however many there are.
+    """
+    table = json.dumps([{"by": i, "pattern": d.java, "words": d.near, "required": d.near_required} for i, d in enumerate(detectors) if d.near])
+    all_ = F.from_json(F.lit(table), "array<struct<by:int,pattern:string,words:array<string>,required:boolean>>")
+
+    def may(d: Column) -> Column:
+        said = F.exists(d["words"], lambda w: F.contains(known["low"], w))
+        return F.coalesce(known["digits"] & (~d["required"] | said), F.lit(True))
+
+    def each(d: Column) -> Column:
+        near = lambda s: let(context(s), lambda around: F.exists(d["words"], lambda w: F.contains(around, w)))
+        found = F.transform(spans(text, d["pattern"]), lambda s: F.struct(d["by"].alias("by"), s["start"].alias("start"), s["end"].alias("end"), s["snippet"].alias("snippet"), near(s).alias("near")))
+        return F.filter(found, lambda x: x["near"] | ~d["required"])
 
+    return F.flatten(F.transform(F.filter(all_, may), each))
+
+
+def near_words(matches: Column, first: int, same_name: list[Detector]) -> Column:
+    """Findings of neighbouring detectors (from number first on) of one name; one span is found once."""
     d = same_name[0]
-    every = F.concat(*map(judged, same_name))
-    if d.near_required:
-        every = F.filter(every, lambda x: x["near"])
+    own = F.filter(matches, lambda x: x["by"].between(first, first + len(same_name) - 1))
     if len(same_name) > 1 and d.name in ("DATE_OF_BIRTH", "US_DRIVER_LICENSE"):
-        every = _first_of_each(every)
+        own = _first_of_each(own)
     severity = lambda x: F.when(x["near"], F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
-    return _guarded(d, known, F.transform(every, lambda x: _finding(d, x["snippet"], severity(x)).cast(FINDING)))
+    return F.transform(own, lambda x: _finding(d, x["snippet"], severity(x)).cast(FINDING))
 
 
 def entropy_findings(text: Column) -> Column:
@@ -280,14 +294,18 @@ def detect(text: Column, detectors: list[Detector], known: Column | None = None)
     text: as ``prepared`` gives it, known: as ``seen`` gives it, each in a column of its own (all detectors read them).
     """
     known = seen(text) if known is None else known
-    parts, i = [], 0
-    while i < len(detectors):
-        j = i + 1
-        if detectors[i].near:
-            while j < len(detectors) and (detectors[j].name, detectors[j].near_required, detectors[j].needs) == (detectors[i].name, detectors[i].near_required, detectors[i].needs):
-                j += 1
-            parts.append(near_words(text, detectors[i:j], known))
-        else:
-            parts.append(plain(text, detectors[i], known))
-        i = j
-    return F.concat(*parts) if parts else _none()
+
+    def all_parts(matches: Column | None) -> Column:
+        parts, i = [], 0
+        while i < len(detectors):
+            j = i + 1
+            if detectors[i].near:
+                while j < len(detectors) and (detectors[j].name, detectors[j].near_required) == (detectors[i].name, detectors[i].near_required):
+                    j += 1
+                parts.append(near_words(matches, i, detectors[i:j]))
+            else:
+                parts.append(plain(text, detectors[i], known))
+            i = j
+        return F.concat(*parts) if parts else _none()
+
+    return let(_near_matches(text, detectors, known), all_parts) if any(d.near for d in detectors) else all_parts(None)

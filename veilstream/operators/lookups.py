@@ -15,9 +15,9 @@ def suffixes(host: Column) -> Column:
 
 
 def application_rows(p: dict, spark) -> DataFrame:
-    """app_ord, id, domain, enabled, upload, connect_proxy: a row for each domain of each application of a policy."""
-    rows = [(n, a["id"], d.lower(), a.get("enabled", True), a.get("upload", True), a.get("connect_proxy", False)) for n, a in enumerate(p["applications"]) for d in a["domains"]]
-    return spark.createDataFrame(rows, "app_ord int, id string, domain string, enabled boolean, upload boolean, connect_proxy boolean")
+    """app_ord, domain_ord, id, domain, enabled, upload, connect_proxy: a row for each domain of each application of a policy."""
+    rows = [(n, k, a["id"], d.lower(), a.get("enabled", True), a.get("upload", True), a.get("connect_proxy", False)) for n, a in enumerate(p["applications"]) for k, d in enumerate(a["domains"])]
+    return spark.createDataFrame(rows, "app_ord int, domain_ord int, id string, domain string, enabled boolean, upload boolean, connect_proxy boolean")
 
 
 def resolve_application(hosts: DataFrame, applications: DataFrame, host: str = "host") -> DataFrame:
@@ -33,7 +33,7 @@ def resolve_application(hosts: DataFrame, applications: DataFrame, host: str = "
 def in_domains(hosts: DataFrame, domains: DataFrame, host: str = "host") -> DataFrame:
     """Rows whose host is one of the domains or below one."""
     names = hosts.select(F.col(host).alias("_host")).where("_host is not null").distinct()
-    hit = names.select("_host", F.explode(suffixes(F.col("_host"))).alias("domain")).join(domains.select(F.lower("domain").alias("domain")), "domain", "left_semi").select("_host").distinct()
+    hit = names.select("_host", F.explode(suffixes(F.col("_host"))).alias("domain")).join(domains.select(F.lower(F.trim("domain")).alias("domain")), "domain", "left_semi").select("_host").distinct()
     return hosts.join(hit, hosts[host] == hit["_host"], "left_semi")
 
 
@@ -45,9 +45,9 @@ def domain_changes(desired: DataFrame, builtin: DataFrame, registered: DataFrame
 
 
 def enabled_domains(applications: DataFrame, proxied: bool = False, most: int | None = None) -> DataFrame:
-    """Domains of the enabled applications in their order; at most so many if asked."""
-    rows = applications.where(F.col("enabled") & (F.col("connect_proxy") if proxied else F.lit(True))).select("app_ord", "domain")
-    return rows if most is None else rows.orderBy("app_ord", "domain").limit(most)
+    """Domains of the enabled applications in the order of the policy; at most so many, the first, if asked."""
+    rows = applications.where(F.col("enabled") & (F.col("connect_proxy") if proxied else F.lit(True))).select("app_ord", "domain_ord", "domain").orderBy("app_ord", "domain_ord")
+    return rows if most is None else rows.limit(most)
 
 
 def upload_action(extension: Column, uploads: dict[str, str]) -> Column:

@@ -24,6 +24,29 @@ def latency_histogram(seconds: DataFrame, column: str = "seconds") -> DataFrame:
     return sums.select(F.inline(rows))
 
 
+def latency_lines(seconds: DataFrame, name: str, column: str = "seconds") -> DataFrame:
+    """ord, line: the whole histogram family: buckets, sum and count."""
+    x = F.col(column)
+    sums = seconds.agg(*(F.count_if(x <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)), F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("total"))
+    text = lambda c: F.col(c).cast("string")
+    lines = [F.concat(F.lit(f'{name}_bucket{{le="{b:g}"}} '), text(f"b{i}")) for i, b in enumerate(BOUNDS)]
+    lines += [F.concat(F.lit(f'{name}_bucket{{le="+Inf"}} '), text("n")), F.concat(F.lit(f"{name}_sum "), text("total")), F.concat(F.lit(f"{name}_count "), text("n"))]
+    return sums.select(F.posexplode(F.array(*lines)).alias("ord", "line")).select(F.col("ord").cast("long").alias("ord"), "line")
+
+
+def all_families(events: DataFrame, requests: DataFrame, seconds: DataFrame) -> DataFrame:
+    """family, ord, line: requests by type and action, requests by provider, latency; each family's lines in order."""
+    from pyspark.sql import Window
+
+    def numbered(n: int, lines: DataFrame) -> DataFrame:  # one line for each combination of labels
+        return lines.select(F.lit(n).alias("family"), (F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("ord"), "line")
+
+    first = numbered(0, exposition(requests_total(events), "requests_total", ["event_type", "action_taken"], "requests"))
+    second = numbered(1, exposition(provider_total(requests), "provider_requests_total", ["provider"], "requests"))
+    third = latency_lines(seconds, "request_duration_seconds").select(F.lit(2).alias("family"), "ord", "line")
+    return first.unionByName(second).unionByName(third)
+
+
 def exposition(counts: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
     """Lines name{label="value",...} n, in the order of the labels."""
     pairs = F.concat_ws(",", *(F.format_string(f'{c}="%s"', F.col(c)) for c in labels))
@@ -34,6 +57,11 @@ def last_seen(beats: DataFrame, profile: str = "profile_id", at: str = "ts") ->
     return beats.groupBy(profile).agg(F.max(at).alias("last_seen"))
 
 
+def upserted(known: DataFrame, beats: DataFrame, profile: str = "profile_id", at: str = "last_seen") -> DataFrame:
+    """Profiles with their last signs of life after some more; the others stay, and beats of no profile name none."""
+    return known.select(profile, at).union(beats.where(F.col(profile).isNotNull()).select(profile, at)).groupBy(profile).agg(F.max(at).alias(at))
+
+
 def fresh(last: Column, now: Column, seconds: int = 150, closed: bool = False) -> Column:
     """Seen less than so many seconds ago; closed: also exactly so many, but not in the future."""
     age = F.unix_timestamp(now) - F.unix_timestamp(last)
@@ -44,5 +72,11 @@ def violations_before(events: DataFrame, actor: str, at: str, violation: Column)
     """Each event with the number of its actor's violations before it (point in time)."""
     from pyspark.sql import Window
 
-    earlier = Window.partitionBy(actor).orderBy(at, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("violations_before", F.coalesce(F.sum(violation.cast("int")).over(earlier), F.lit(0)))
+    # an actor may have most of the events: counts a day first, so that only days are ordered event by event
+    day = F.to_date(at)
+    marked = events.withColumn("_day", day).withColumn("_hit", F.coalesce(violation.cast("long"), F.lit(0)))
+    days = marked.groupBy(F.col(actor).alias("_actor"), F.col("_day").alias("_on")).agg(F.sum("_hit").alias("_n"))
+    days = days.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.partitionBy("_actor").orderBy("_on").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = Window.partitionBy(actor, "_day").orderBy(at, "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = marked.join(days, F.col(actor).eqNullSafe(F.col("_actor")) & F.col("_day").eqNullSafe(F.col("_on")))
+    return joined.withColumn("violations_before", F.col("_earlier") + F.coalesce(F.sum("_hit").over(within), F.lit(0))).drop("_day", "_hit", "_actor", "_on", "_earlier")

@@ -6,6 +6,7 @@ findings.  ``slot`` makes it a scanner for ``inspect(scanners=[...])``, or a ver
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,7 +29,9 @@ def entity_findings(text: str, entities: list[dict], category: str = "Pii", seve
 
 
 def slot(model: Callable[[list[str]], list[list[dict]]], **options) -> Callable[[Column], Column]:
-    """A scanner out of a model that takes a batch of texts; a model that fails on a batch finds nothing in it."""
+    """A scanner out of a model that takes a batch of texts; a model that fails on a batch finds nothing in it, which
+    the executor's log tells.  With strict=True the failure is the job's."""
+    strict = options.pop("strict", False)
 
     @F.pandas_udf(_FINDINGS)
     def scan(text: pd.Series) -> pd.Series:
@@ -36,6 +39,9 @@ def slot(model: Callable[[list[str]], list[list[dict]]], **options) -> Callable[
         try:
             found = model(texts)
         except Exception:  # a broken model must not stop the other detectors
+            if strict:
+                raise
+            logging.getLogger(__name__).exception("a model failed on %d texts; nothing is found in them", len(texts))
             found = [[] for _ in texts]
         return pd.Series([entity_findings(t, es, **options) for t, es in zip(texts, found, strict=True)])
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilstream.catalog import ORACLES, QUERIES, Query, query
 from veilstream.functions import checks
 from veilstream.functions import small as W
 from veilstream.operators import audit as A
@@ -28,30 +27,18 @@ from veilstream.streaming import holdback as H
 from veilstream.streaming import limits as T
 from veilstream.streaming import live as V
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
 NOW = "2024-01-31 00:00:00"
 PEOPLE, CASES, AUDIT, FOUND = (f"({x})" for x in (P.people_sql(), C.sql(), P.audit_sql(), P.findings_sql()))
 
 
-def query(oracle: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from veilstream import registry_values  # noqa: F401  (adds its own)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {k: ORACLES[k] for k in queries() if k in ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,12 +335,11 @@ def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT id, id || ',' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || 'Z,' || event_type || ',' || action_taken || ',' || app_name || ',' || CASE WHEN regexp_matches(domain, '[,"\\n]') THEN '"' || replace(domain, '"', '""') || '"' ELSE domain END || ',' || user_identity || ',' || CAST(finding_count AS VARCHAR) AS line FROM {AUDIT} WHERE tenant_id = 'tenant1' AND timestamp >= TIMESTAMP '{NOW}' - INTERVAL 3 DAY AND timestamp <= TIMESTAMP '{NOW}'"""
 )
 def audit_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = _audit(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return A.export(events, "csv", "tenant1", F.lit(NOW).cast("timestamp"), 3)
+    return A.export(events, "csv", "tenant1", F.lit(f"{NOW} UTC").cast("timestamp"), 3)
 
 
-@query()
+@query(f"SELECT doc_id, true AS same, true AS hidden FROM {PEOPLE}")
 def audit_sealed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings encrypted and read back; the nonce differs each time, so only the round trip can be compared."""
     rows = P.people(spark, sf_dir).withColumn("findings", D.detect(F.col("text"), D.SECRETS)).withColumn("sealed", A.sealed(F.col("findings"), "key"))
@@ -498,24 +484,64 @@ def audit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sessions(_audit(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))).select("user_identity", F.unix_micros("opened").alias("opened"), "events")
 
 
+_STREAM = f"SELECT CAST(doc_id AS VARCHAR) AS stream_id, repeat(text || ' ', 25) AS text FROM {CASES}"
+_CHUNK = 300
+_UPTO = f"least(k * {_CHUNK}, n)"
+_LET = lambda upto: f"CASE WHEN {upto} = n THEN n ELSE greatest({upto} - {H.HOLD_BACK}, 0) END"
+
+
+@query(
+    f"WITH s AS (SELECT *, length(text) AS n FROM ({_STREAM})), c AS (SELECT *, unnest(range(1, CAST(ceil(n / {_CHUNK}.0) AS BIGINT) + 1)) AS k FROM s WHERE n > 0),"
+    f" p AS (SELECT stream_id, k, text, {_LET(f'least((k - 1) * {_CHUNK}, n)')} AS a, {_LET(_UPTO)} AS b FROM c)"
+    " SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY k) - 1 AS piece_no, substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS text FROM p WHERE b > a"
+)
+def holdback_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as streams of chunks: what is let go of each, the last 512 bytes being held back until the end."""
+    docs = P.cases(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), F.repeat(F.concat("text", F.lit(" ")), F.lit(25)).alias("text"))
+    return H.pieces(_chunks(docs, _CHUNK))
+
+
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    last = F.greatest(F.floor((F.length("text") - 1) / size), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("long").alias("chunk_no"), F.encode(F.substr("text", i * size + 1, F.lit(size)), "UTF-8").alias("bytes")))
+    return docs.select("stream_id", F.inline(parts))
+
+
+_SCANNED = "SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id AS piece_no, CASE WHEN event_id % 61 = 7 THEN 'Block' WHEN event_id % 67 = 9 THEN 'RequireApproval' WHEN event_id % 3 = 0 THEN 'Redact' ELSE 'Allow' END AS action FROM events"
+
+
+@query(f"WITH s AS ({_SCANNED}), x AS (SELECT stream_id, min(piece_no) AS stop FROM s WHERE action IN ('Block', 'RequireApproval') GROUP BY stream_id) SELECT s.* FROM s LEFT JOIN x USING (stream_id) WHERE stop IS NULL OR piece_no < stop")
+def stream_until_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = spark.sql(_SCANNED.replace("VARCHAR", "STRING").replace("FROM events", "FROM {events}"), events=P.load(spark, sf_dir, "events"))
+    return H.until_blocked(scanned)
+
+
 @query()
 def stream_holdback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as streams of 700-character chunks, held back, scanned as responses, cut at the first blocked piece."""
-    docs = _documents(spark, sf_dir).where(F.length("text") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 700).cast("int")), lambda i: F.struct(i.cast("long").alias("chunk_no"), F.encode(F.substr("text", i * 700 + 1, F.lit(700)), "UTF-8").alias("bytes")))
-    chunks = docs.select(F.col("doc_id").cast("string").alias("stream_id"), F.inline(parts))
-    scanned = inspect(H.pieces(chunks), policy(), response=True)
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), F.coalesce("text", F.lit("")).alias("text"))
+    scanned = inspect(H.pieces(_chunks(docs, 700)), policy(), response=True)
     return H.until_blocked(scanned).select("stream_id", "piece_no", "action", "sanitized")
 
 
-@query()
+def _windows(key: str, seconds: int, out: str) -> str:
+    """The windows of each key, one after the other, and the requests numbered in them."""
+    w = seconds * 1_000_000
+    return (
+        f"WITH RECURSIVE t AS (SELECT {key} AS k, epoch_us(ts) AS us, event_id, user_id FROM events),"
+        f" w AS (SELECT k, min(us) AS opened FROM t GROUP BY k UNION ALL SELECT t.k, min(t.us) AS opened FROM w JOIN t ON t.k = w.k AND t.us >= w.opened + {w} GROUP BY t.k, w.opened)"
+        f" SELECT {out} FROM t ASOF JOIN w ON t.k = w.k AND t.us >= w.opened"
+    )
+
+
+@query(_windows("user_id", 86400, "event_id, user_id, row_number() OVER (PARTITION BY t.k, opened ORDER BY us, event_id) <= 3 AS allowed"))
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a user within a day: three, from the one that opens the window on."""
     events = P.load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return T.limited(events, "user_id", most=3, seconds=86400).select("event_id", "user_id", "allowed")
 
 
-@query()
+@query(_windows("CAST(user_id AS VARCHAR)", 86400, "t.k AS nonce, us, row_number() OVER (PARTITION BY t.k, opened ORDER BY us, event_id) = 1 AS fresh"))
 def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = P.load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("nonce"), F.col("ts").cast("timestamp").alias("ts"))
-    return T.first_uses(events, seconds=86400)
+    return T.first_uses(events, seconds=86400).select("nonce", F.unix_micros("ts").alias("us"), "fresh")

@@ -71,6 +71,33 @@ def lossy_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+#: alphanumeric characters below which a PDF counts as scanned, and pages that are read by OCR then
+MEANINGFUL, OCR_PAGES = 20, 20
+
+
+def pdf_extractor(layer: Callable[[bytes], str], ocr: Callable[[bytes, int], str] | None = None) -> Callable[[bytes], str]:
+    """An extractor for PDF out of a reader of the text layer and an OCR engine: scanned documents go through OCR, and
+    what the layer holds stays if that fails or finds nothing."""
+
+    def text(content: bytes) -> str:
+        found = layer(content)
+        if ocr is None or sum(c.isalnum() for c in found) >= MEANINGFUL:
+            return found
+        try:
+            read = ocr(content, OCR_PAGES)
+            return read if read.strip() else found
+        except Exception:  # no engine on this machine, or a page that cannot be drawn
+            return found
+
+    return text
+
+
+def uploads(requests: DataFrame) -> DataFrame:
+    """requests (filename, data_base64, domain) with content, status (400 for what is no base64) and the event's label."""
+    content = F.try_to_binary("data_base64", F.lit("base64"))
+    label = F.when(F.length("domain") > 0, F.concat("domain", F.lit(" ("), "filename", F.lit(")"))).otherwise(F.col("filename"))
+    return requests.withColumns({"content": content, "status": F.when(content.isNull(), 400).otherwise(200), "label": label})
+
 
 def document_text(xml: str) -> str:
     """Text of the runs of a word-processor document, a blank after each."""
@@ -133,5 +160,8 @@ def unmaskable(scanned: DataFrame, p: dict) -> DataFrame:
 
 
 def request_stops(files: DataFrame, request: str) -> DataFrame:
-    """Per request of several files: whether any of them stops it, and how many are masked."""
-    return files.groupBy(request).agg(F.bool_or(F.col("action").isin("Block", "RequireApproval")).alias("stopped"), F.count_if(F.col("action") == "Redact").alias("masked"))
+    """Per request of several files: whether any of them stops it, how many are masked, and how many were passed over
+    (too large or unreadable: they have an error)."""
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    stops = F.col("action").isin("Block", "RequireApproval") & ~failed
+    return files.groupBy(request).agg(F.coalesce(F.bool_or(stops), F.lit(False)).alias("stopped"), F.count_if((F.col("action") == "Redact") & ~failed).alias("masked"), F.count_if(failed).alias("skipped"))

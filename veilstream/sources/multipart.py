@@ -9,8 +9,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from veilstream.operators.inspect import inspect
+from veilstream.operators.lookups import upload_action
 from veilstream.sources.bodies import content_places, inflate, substitute
+from veilstream.sources.files import extension, extract_text, lossy_text
 
 PARTS = "request_id string, part_no int, name string, filename string, mime string, content binary"
 _PARAM = re.compile(r'([a-z]+)\*?="?([^";]*)"?', re.I)
@@ -42,6 +46,30 @@ def parse_parts(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", "body", "boundary").mapInPandas(run, PARTS)
 
 
+#: bodies above this size are refused
+MOST_BYTES = 25 << 20
+
+
+def scanned(requests: DataFrame, p: dict) -> DataFrame:
+    """Multipart requests (request_id, body, boundary) with text and action: files by the policy for their extension
+    (blocked, passed over, or read), text parts as they are, each with a line end; what would be masked is blocked, as
+    the parts cannot be written back.  Bodies that are too large are blocked unread."""
+    fits = F.octet_length("body") <= MOST_BYTES
+    parts = parse_parts(requests.where(fits))
+    is_file = F.col("filename").isNotNull()
+    parts = parts.withColumn("ext", extension(F.col("filename")))
+    parts = parts.withColumn("upload", F.when(is_file, upload_action(F.coalesce("ext", "filename"), p["uploads"])))
+    files = extract_text(parts.where(is_file & (F.col("upload") == "inspect"))).select("request_id", "part_no", "text")
+    plain = parts.where(~is_file).select("request_id", "part_no", lossy_text(F.col("content")).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "text")))
+    texts = files.union(plain).where("text IS NOT NULL").groupBy("request_id").agg(F.concat_ws("", F.transform(ordered, lambda x: F.concat(x["text"], F.lit("\n")))).alias("text"))
+    stops = parts.groupBy("request_id").agg(F.bool_or(F.coalesce(F.col("upload") == "block", F.lit(False))).alias("stopped"))
+    rows = requests.select("request_id", F.coalesce(fits, F.lit(True)).alias("fits")).join(texts, "request_id", "left").join(stops, "request_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    found = inspect(rows, p)
+    blocked = F.coalesce("stopped", F.lit(False)) | ~F.col("fits")
+    return found.select("request_id", "text", F.when(blocked | (F.col("action") == "Redact"), "Block").otherwise(F.col("action")).alias("action"), "findings")
+
+
 def rewritten(body: bytes, mask) -> bytes | None:
     """A compressed JSON body with its content field masked, compressed as it was; None if there is nothing to scan."""
     import json

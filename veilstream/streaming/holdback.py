@@ -52,12 +52,13 @@ def pieces_stream(chunks: DataFrame, hold: int = HOLD_BACK) -> DataFrame:
         buffer, out = bytes(buffer), []
         ended = False
         for pdf in frames:
-            for r in pdf.sort_values("chunk_no").itertuples():
-                piece, buffer = release(buffer, bytes(r.bytes), bool(r.last), hold)
+            pdf = pdf.sort_values("chunk_no")
+            for chunk, last in zip(pdf["bytes"], pdf["last"].tolist(), strict=True):
+                piece, buffer = release(buffer, bytes(chunk), last, hold)
                 if piece:
                     out.append((key[0], n, piece.decode("utf-8", "replace")))
                     n += 1
-                ended |= bool(r.last)
+                ended |= last
         state.remove() if ended else state.update((buffer, n))
         yield pd.DataFrame(out, columns=["stream_id", "piece_no", "text"])
 

@@ -1,40 +1,62 @@
-"""Request limits: a window anchored at the request that opens it, and nonces that count once."""
+"""Request limits: a window anchored at the request that opens it, and nonces that count once.
+
+A key's windows follow from its times alone: the next one opens at the first request that is a whole window later
+than the last opening.  A pause as long as a window always ends it, so a key's history falls apart at such pauses,
+and only the times between two of them meet in one row; requests themselves are only numbered.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.functions.small import hmac_sha256
+
 MOST_REQUESTS, WINDOW_SECONDS, NONCE_SECONDS, SKEW_SECONDS = 300, 60, 60, 60
 
 
-def budget(state: tuple[float, int] | None, at: float, most: int, seconds: float) -> tuple[bool, tuple[float, int]]:
-    """(allowed, new state); the state is the window's opening and the requests in it."""
-    opened, n = state if state is not None else (at, 0)
-    if at - opened >= seconds:
-        opened, n = at, 0
-    return (n < most), (opened, n + (n < most))
+def _openings(times: Column, window: int) -> Column:
+    """Of ascending times those that open a window."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens = acc["last"].isNull() | (t - acc["last"] >= window)
+        return F.when(opens, F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc)
+
+    return F.aggregate(times, start, step)["out"]
+
+
+def numbered(requests: DataFrame, key: str, at: str, order: str, seconds: float) -> DataFrame:
+    """requests with _nth: the number of each within its key's window, from 1; null without a time."""
+    window = round(seconds * 1_000_000)
+    by_time = Window.partitionBy(key).orderBy("_at")
+    rows = requests.withColumn("_at", F.unix_micros(F.col(at)))
+    pause = F.coalesce(F.col("_at") - F.lag("_at").over(by_time) >= window, F.lit(True))
+    rows = rows.withColumn("_run", F.sum(pause.cast("long")).over(by_time))
+    times = rows.groupBy(F.col(key).alias("_key"), F.col("_run").alias("_in")).agg(F.array_sort(F.collect_set("_at")).alias("t"))
+    opened = times.select("_key", "_in", F.explode(_openings(F.col("t"), window)).alias("_open"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_run") == F.col("_in")) & (F.col("_at") == F.col("_open"))
+    run = Window.partitionBy(key, "_run").orderBy("_at")
+    placed = rows.join(opened, same, "left").withColumn("_opened", F.last("_open", ignorenulls=True).over(run))
+    nth = F.row_number().over(Window.partitionBy(key, "_run", "_opened").orderBy("_at", order))
+    return placed.withColumn("_nth", F.when(F.col("_at").isNotNull(), nth)).drop("_at", "_run", "_key", "_in", "_open", "_opened")
 
 
 def limited(requests: DataFrame, key: str, at: str = "ts", order: str = "event_id", most: int = MOST_REQUESTS, seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """requests with allowed; each key's requests in order of time.  Only key, time and order go through Python."""
-    kind = dict(requests.dtypes)[key]
+    """requests with allowed: whether it is among the first of its key's window.  A null key is a key, rows that repeat
+    are requests of their own, and a request without a time has no verdict."""
+    return numbered(requests, key, at, order, seconds).withColumn("allowed", F.col("_nth") <= most).drop("_nth")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", order])
-        state, out = None, []
-        for t in pdf["_at"]:
-            ok, state = budget(state, t, most, seconds)
-            out.append(ok)
-        return pdf.assign(allowed=out)[[key, order, "allowed"]]
 
-    slim = requests.select(key, order, (F.unix_micros(F.col(at)) / 1e6).alias("_at"))
-    verdict = slim.groupBy(key).applyInPandas(run, f"{key} {kind}, {order} long, allowed boolean")
-    return requests.join(verdict, [key, order])
+def budget(state: tuple[float, int] | None, at: float, most: int, seconds: float) -> tuple[bool, tuple[float, int]]:
+    """(allowed, new state); the state is the window's opening and the requests in it.  For streams."""
+    opened, n = state if state is not None else (at, 0)
+    if at - opened >= seconds:
+        opened, n = at, 0
+    return (n < most), (opened, n + (n < most))
 
 
 def limited_stream(requests: DataFrame, key: str, most: int = MOST_REQUESTS, seconds: float = WINDOW_SECONDS) -> DataFrame:
@@ -45,40 +67,36 @@ def limited_stream(requests: DataFrame, key: str, most: int = MOST_REQUESTS, sec
         held = state.get if state.exists else None
         out = []
         for pdf in frames:
-            for r in pdf.sort_values(["_at", "event_id"]).itertuples():
-                ok, held = budget(held, r._asdict()["at_"], most, seconds)
-                out.append((name[0], r.event_id, ok))
+            pdf = pdf.sort_values(["at", "event_id"])
+            for event, at in zip(pdf["event_id"].tolist(), pdf["at"].tolist(), strict=True):
+                ok, held = budget(held, at, most, seconds)
+                out.append((name[0], event, ok))
         state.update(held)
         yield pd.DataFrame(out, columns=[key, "event_id", "allowed"])
 
-    slim = requests.select(key, "event_id", (F.unix_micros("ts") / 1e6).alias("_at"), (F.unix_micros("ts") / 1e6).alias("at_"))
+    slim = requests.select(key, "event_id", (F.unix_micros("ts") / 1e6).alias("at"))
     return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, allowed boolean", "opened double, n long", "append", "NoTimeout")
 
 
 def first_uses(requests: DataFrame, nonce: str = "nonce", at: str = "ts", seconds: int = NONCE_SECONDS) -> DataFrame:
-    """Per nonce and time of use: fresh (no accepted use less than so many seconds before)."""
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(at))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<at:bigint,fresh:boolean>>").alias("out"))
+    """Per use of a nonce: its time, and fresh (no accepted use less than so many seconds before)."""
+    return numbered(requests.select(nonce, at), nonce, at, at, seconds).select(nonce, at, (F.col("_nth") == 1).alias("fresh"))
 
-    def step(acc: Column, t: Column) -> Column:
-        ok = acc["last"].isNull() | (t - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(t.alias("at"), ok.alias("fresh")))).alias("out"))
 
-    uses = requests.groupBy(nonce).agg(times.alias("t")).select(nonce, F.inline(F.aggregate("t", start, step)["out"]))
-    return uses.select(nonce, F.timestamp_micros("at").alias(at), "fresh")
+def signature(ts: Column, nonce: Column, secret: bytes) -> Column:
+    return hmac_sha256(F.concat(ts.cast("string"), F.lit("."), nonce), secret)
 
 
-def signature(secret: bytes, ts: int, nonce: str) -> str:
-    return hmac.new(secret, f"{ts}.{nonce}".encode(), hashlib.sha256).hexdigest()
+def authorised(requests: DataFrame, secret: bytes, skew: int = SKEW_SECONDS, seconds: int = NONCE_SECONDS) -> DataFrame:
+    """requests (id, ts, nonce, signature, now; seconds) with allowed: not too old or early, rightly signed, and the
+    nonce not used before.  Only requests that pass the first two tests use up their nonce."""
+    signed = F.coalesce((F.abs(F.col("now") - F.col("ts")) <= skew) & (signature(F.col("ts"), F.col("nonce"), secret) == F.col("signature")), F.lit(False))
+    rows = requests.withColumn("_ok", signed)
+    good = numbered(rows.where("_ok").withColumn("_now", F.timestamp_seconds("now")), "nonce", "_now", "id", seconds).withColumn("allowed", F.col("_nth") == 1).drop("_nth", "_now", "_ok")
+    return good.unionByName(rows.where("NOT _ok").withColumn("allowed", F.lit(False)).drop("_ok"))
 
 
-def authorised(ts: int, nonce: str, given: str, secret: bytes, now: int, seen: dict[str, float]) -> bool:
-    """Fresh, rightly signed, and not used before; only then is the nonce recorded."""
-    if abs(now - ts) > SKEW_SECONDS or not hmac.compare_digest(signature(secret, ts, nonce), given):
-        return False
-    for k in [k for k, at in seen.items() if now - at >= NONCE_SECONDS]:
-        del seen[k]
-    if nonce in seen:
-        return False
-    seen[nonce] = now
-    return True
+def is_signed(ts: int, nonce: str, given: str, secret: bytes, now: int) -> bool:
+    """The same two tests for one request, in constant time."""
+    right = hmac.new(secret, f"{ts}.{nonce}".encode(), "sha256").hexdigest()
+    return abs(now - ts) <= SKEW_SECONDS and hmac.compare_digest(right, given)
