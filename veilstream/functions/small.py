@@ -141,6 +141,11 @@ def settings(text: str, defaults: dict) -> dict:
     return over(defaults, json.loads(text))
 
 
+def settings_file(spark, path: str, defaults: dict) -> dict:
+    """The same out of a file, or a folder of one file, anywhere that Spark reads from."""
+    return settings(spark.read.text(path, wholetext=True).first()["value"], defaults)
+
+
 def overwrites(changes: DataFrame) -> DataFrame:
     """Central updates (seq) that put an end to a local edit, which is worth a warning."""
     from pyspark.sql import Window

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.functions.spans import let
+
 # Weights of categories and severities.
 CATEGORY_WEIGHT = {"PromptInjection": 45, "Secret": 40, "Financial": 35, "Pii": 25, "Toxicity": 45, "CustomKeyword": 20, "Internal": 20}
 OTHER_WEIGHT = 20
@@ -51,13 +53,26 @@ def context_points(public_app: Column | None = None, device: Column | None = Non
     return F.filter(F.array(*(F.struct(F.lit(n).alias("name"), p.cast("int").alias("points")) for n, p in parts)), lambda s: s["points"] > 0)
 
 
+def _earlier(findings: Column) -> Column:
+    """For each finding, how many of its category stand before it.  Sorted by category and place, that is the distance
+    to where the category begins."""
+    by_category = F.array_sort(F.transform(findings, lambda f, i: F.struct(f["category"].alias("c"), i.alias("i"))))
+
+    def counted(rows: Column) -> Column:
+        names = F.array_distinct(F.transform(rows, lambda r: r["c"]))
+        begins = let(F.transform(rows, lambda r: r["c"]), lambda all_: F.transform(names, lambda n: F.struct(n.alias("c"), (F.array_position(all_, n) - 1).alias("at"))))
+        return let(begins, lambda b: F.transform(F.array_sort(F.transform(rows, lambda r, k: F.struct(r["i"].alias("i"), (k - F.get(F.filter(b, lambda x: x["c"] == r["c"]), F.lit(0))["at"]).cast("int").alias("n")))), lambda x: x["n"]))
+
+    return let(by_category, counted)
+
+
 def score(findings: Column, surroundings: Column | None = None) -> Column:
     """struct<total, band, signals> of an array of findings, without leaving the row."""
-    own = F.transform(
-        findings,
-        lambda f, i: F.struct(
-            F.format_string("%s finding (%s): %s", f["category"], f["severity"], f["match_name"]).alias("name"),
-            points(f["category"], f["severity"], F.size(F.filter(F.slice(findings, 1, i), lambda g: g["category"] == f["category"]))).alias("points"),
+    own = let(
+        _earlier(findings),
+        lambda nth: F.transform(
+            findings,
+            lambda f, i: F.struct(F.format_string("%s finding (%s): %s", f["category"], f["severity"], f["match_name"]).alias("name"), points(f["category"], f["severity"], F.get(nth, i)).alias("points")),
         ),
     )
     signals = F.concat(own, surroundings) if surroundings is not None else own
