@@ -157,7 +157,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SHORT = np.dtype([("anchor", "<u8"), ("fp", "<u8"), ("id", "<i8"), ("home", "?")])
+#: what is sent to a bucket; spot: 31 bits of the anchor's name, and whether this is the fingerprint's home.  Anchors of
+#: one bucket that share their bits are compared as one, which finds no more and no less.
+_SHORT = np.dtype([("spot", "<u4"), ("fp", "<u8"), ("id", "<i8")])
 _LONG = np.dtype([*_SHORT.descr, ("fp2", "<u8")])
 
 
@@ -184,12 +186,13 @@ class Forest:
 
 def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among the records of some anchors: (node, smallest node connected to it here)."""
-    rec = rec[np.argsort(rec["anchor"], kind="stable")]
+    rec = rec[np.argsort(rec["spot"] >> np.uint32(1), kind="stable")]
+    anchor, at_home = rec["spot"] >> np.uint32(1), (rec["spot"] & np.uint32(1)).astype(bool)
     ids, node = np.unique(rec["id"], return_inverse=True)
     forest = Forest(len(ids))
-    edge = np.flatnonzero(np.r_[True, rec["anchor"][1:] != rec["anchor"][:-1], True])
+    edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
     size = np.diff(edge)
-    homes = np.add.reduceat(rec["home"].astype(np.int64), edge[:-1])
+    homes = np.add.reduceat(at_home.astype(np.int64), edge[:-1])
     fp = rec["fp"].copy()
     fp2 = rec["fp2"].copy() if total is not None else fp
 
@@ -206,7 +209,7 @@ def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tu
     work = homes * size
     big = work > _PAIRS
     lead, n = np.repeat(edge[:-1], size), np.repeat(size, size)
-    small = np.flatnonzero(rec["home"] & (np.repeat(work, size) > 1) & ~np.repeat(big, size))
+    small = np.flatnonzero(at_home & (np.repeat(work, size) > 1) & ~np.repeat(big, size))
     upto = np.cumsum(n[small])
     for part in np.split(small, np.searchsorted(upto, np.arange(_PAIRS, upto[-1] if len(upto) else 0, _PAIRS))):
         k = n[part]
@@ -215,7 +218,7 @@ def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tu
             tell(np.repeat(part, k), b)
     for g in np.flatnonzero(big):
         own = np.arange(edge[g], edge[g + 1])
-        home = own[rec["home"][own]]
+        home = own[at_home[own]]
         step = max(1, _PAIRS // len(home))
         for at in range(0, len(own), step):
             part = own[at : at + step]
@@ -279,31 +282,29 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
 
     def send(fp, fp2, ids):
         row, name, home = code.anchors(fp)
-        rec = np.empty(len(row), record)
-        rec["anchor"], rec["fp"], rec["id"], rec["home"] = name, fp[row], ids[row], home
-        if total is not None:
-            rec["fp2"] = fp2[row]
-        tile_no = np.zeros(len(rec), np.uint64)
+        tile_no = np.zeros(len(row), np.uint64)
         if len(hot_names):
             at = np.minimum(np.searchsorted(hot_names, name), len(hot_names) - 1)
             is_hot = hot_names[at] == name
             k = np.where(is_hot, hot_tiles[at], 1)
-            parts, numbers = [rec[~is_hot]], [tile_no[~is_hot]]
+            parts = [(row[~is_hot], name[~is_hot], home[~is_hot], tile_no[~is_hot])]
             for tiles in np.unique(k[is_hot]):
-                own = rec[is_hot & (k == tiles)]
-                i = (_mixed(own["fp"]) % np.uint64(tiles)).astype(np.int64)
-                j = (_mixed(own["fp"] ^ np.uint64(0x5BD1E995)) % np.uint64(tiles)).astype(np.int64)
+                own = is_hot & (k == tiles)
+                r, n, h = row[own], name[own], home[own]
+                i = (_mixed(fp[r]) % np.uint64(tiles)).astype(np.int64)
+                j = (_mixed(fp[r] ^ np.uint64(0x5BD1E995)) % np.uint64(tiles)).astype(np.int64)
                 for x in range(tiles):  # as a visitor to tile (x, j); as a home also to (i, x)
-                    visit = own.copy()
-                    visit["home"] = own["home"] & (i == x)
-                    parts.append(visit)
-                    numbers.append((1 + x * tiles + j).astype(np.uint64))
-                    there = own["home"] & (j != x)
-                    parts.append(own[there])
-                    numbers.append((1 + i[there] * tiles + x).astype(np.uint64))
-            rec, tile_no = np.concatenate(parts), np.concatenate(numbers)
-        rec["anchor"] = _mixed(rec["anchor"] + (tile_no << np.uint64(40)))
-        to = ((rec["anchor"] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                    parts.append((r, n, h & (i == x), (1 + x * tiles + j).astype(np.uint64)))
+                    there = h & (j != x)
+                    parts.append((r[there], n[there], h[there], (1 + i[there] * tiles + x).astype(np.uint64)))
+            row, name, home, tile_no = (np.concatenate(x) for x in zip(*parts, strict=True))
+        mixed = _mixed(name + (tile_no << np.uint64(40)))
+        rec = np.empty(len(row), record)
+        rec["spot"] = (mixed >> np.uint64(33)).astype(np.uint32) << np.uint32(1) | home.astype(np.uint32)
+        rec["fp"], rec["id"] = fp[row], ids[row]
+        if total is not None:
+            rec["fp2"] = fp2[row]
+        to = ((mixed >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]) if len(order) else np.zeros(0, int)
         parts = np.split(order, cut[1:])
