@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as can run at once, where a table has too few parts for that (one row group is one
+    task).  Larger tables have more parts and stay as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= want else df.repartition(want)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where the session names none, one of its own in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

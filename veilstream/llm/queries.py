@@ -6,25 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstream.llm.common import table
+from veilstream.llm.common import spread, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.html_text import main_text
 
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.media import store_and_read
 
-    return store_and_read(table(spark, sf_dir, "documents"))
+    return store_and_read(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,20 +36,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.decontaminate import find
 
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.toxicity import score, train
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.secret_scan import digest
 
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
