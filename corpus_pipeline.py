@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstream.llm.common import materialise, table
+from veilstream.llm.common import materialise, spread, table
 from veilstream.llm.decontaminate import drop_contaminated
 from veilstream.llm.mixing import mixed_documents
 from veilstream.llm.simhash import drop_near_duplicates
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for n, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES):
