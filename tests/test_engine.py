@@ -331,6 +331,8 @@ def test_model_slots(spark):
 
     got = {r["id"]: r for r in inspect(docs, policy(), scanners=[models.slot(names), models.slot(fails)]).collect()}
     assert (got[1]["sanitized"], got[2]["action"], got[3]["action"]) == ("[REDACTED_PERSON] met Bob", "Allow", "Allow")
+    with pytest.raises(Exception, match="RuntimeError"):
+        docs.select(models.slot(fails, strict=True)(F.col("text"))).collect()
     frame = spark.createDataFrame([("a", "x"), ("b", "x")], "who string, body string")
     assert [r[0] for r in frame.select(models.translated(F.col("who"), F.col("body"))).collect()] == ["x", "x"]
     models.TRANSLATIONS["b"] = (str.upper, str.lower)

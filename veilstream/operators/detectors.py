@@ -1,7 +1,8 @@
 """Detectors as data, compiled to one array of findings per text.
 
 Each detector says what every match of it holds: literals, digits.  Looking for literals is far cheaper than a
-pattern, and most texts lack them, so a pattern runs only over texts that may match.
+pattern, and most texts lack them, so a pattern runs only over texts that may match.  The detectors are a table in the
+expression, which has one size however many there are.
 
 A finding has a category, a name, the matched snippet, a severity and a replacement (null: nothing to mask).
 The order of findings is the order of the lists below.
@@ -187,14 +188,11 @@ GUARDRAILS = [
 ]
 
 
-def _finding(d: Detector, snippet: Column, severity: Column | None = None, name: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(d.category).alias("category"),
-        (F.lit(d.name) if name is None else name).alias("match_name"),
-        snippet.alias("snippet"),
-        (F.lit(d.severity) if severity is None else severity).alias("severity"),
-        F.lit(d.replacement).cast("string").alias("redacted_replacement"),
-    )
+def _finding(d: Detector | Column, snippet: Column, severity: Column | None = None) -> Column:
+    """A finding of a detector, or of a row of the table of detectors."""
+    told = {k: getattr(d, k) if isinstance(d, Detector) else d[k] for k in ("category", "name", "severity", "replacement")}
+    category, name, own, replacement = (v if isinstance(v, Column) else F.lit(v).cast("string") for v in told.values())
+    return F.struct(category.alias("category"), name.alias("match_name"), snippet.alias("snippet"), (own if severity is None else severity).alias("severity"), replacement.alias("redacted_replacement")).cast(FINDING)
 
 
 def prepared(text: Column) -> Column:
@@ -217,61 +215,79 @@ def _none() -> Column:
     return F.array().cast(FINDINGS)
 
 
-def _guarded(d: Detector, known: Column, found: Column) -> Column:
-    """found, where the text holds all that a match of the detector needs."""
-    tests = [known["digits"]] if d.digits else []
-    for words in d.needs:
-        tests.append(reduce(lambda a, b: a | b, [F.contains(known["low"], F.lit(w)) for w in words]))
-    return F.when(reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(True)) for t in tests]), found).otherwise(_none()) if tests else found
-
-
-def plain(text: Column, d: Detector, known: Column) -> Column:
-    """Findings of a detector that needs no places."""
-    hits = F.regexp_extract_all(text, F.lit(d.java), F.lit(0))
-    if d.first_only:
-        hits = F.slice(hits, 1, 1)
-    if d.check is not None:
-        hits = F.filter(hits, d.check)
-    name = (lambda s: F.when(F.startswith(s, F.lit("ASIA")), F.lit("AWS_ACCESS_KEY_TEMPORARY")).otherwise(F.lit(d.name))) if d.name == "AWS_ACCESS_KEY" else (lambda s: None)
-    return _guarded(d, known, F.transform(hits, lambda s: _finding(d, s, name=name(s)).cast(FINDING)))
-
-
-def _first_of_each(found: Column) -> Column:
-    """Of matches at the same place, the first; the order stays."""
-    sorted_ = F.array_sort(F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("at"), x.alias("x"))))
-    fresh = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["start"] != x["start"]) | (F.get(all_, i - 1)["end"] != x["end"]))
-    back = F.array_sort(F.transform(let(sorted_, fresh), lambda x: F.struct(x["at"].alias("at"), x["x"].alias("x"))))
-    return F.transform(back, lambda x: x["x"])
-
-
-def _near_matches(text: Column, detectors: list[Detector], known: Column) -> Column:
-    """array<struct<by, start, end, snippet, near>>: matches of detectors (by number) that look at the words around them.
-
-    The detectors are data here, so the expression has one size however many there are.
-    """
-    table = json.dumps([{"by": i, "pattern": d.java, "words": d.near, "required": d.near_required} for i, d in enumerate(detectors) if d.near])
-    all_ = F.from_json(F.lit(table), "array<struct<by:int,pattern:string,words:array<string>,required:boolean>>")
-
-    def may(d: Column) -> Column:
-        said = F.exists(d["words"], lambda w: F.contains(known["low"], w))
-        return F.coalesce(known["digits"] & (~d["required"] | said), F.lit(True))
+_ROW = "by:int,name:string,pattern:string,category:string,severity:string,replacement:string,needs:array<array<string>>,digits:boolean,near:array<string>,required:boolean,first:boolean,check:string,once:string"
+
+
+def _table(detectors: list[Detector]) -> Column:
+    """The detectors as a literal; once: names whose patterns may find one place together, which counts once."""
+    rows = [
+        {
+            "by": i,
+            "name": d.name,
+            "pattern": d.java,
+            "category": d.category,
+            "severity": d.severity,
+            "replacement": d.replacement,
+            "needs": [*map(list, d.needs), *([d.near] if d.near and d.near_required else [])],
+            "digits": d.digits,
+            "near": d.near,
+            "required": d.near_required,
+            "first": d.first_only,
+            "check": d.check.__name__ if d.check is not None else None,
+            "once": d.name if d.name in ("DATE_OF_BIRTH", "US_DRIVER_LICENSE") else None,
+        }
+        for i, d in enumerate(detectors)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_ROW}>>")
+
+
+def _may_match(d: Column, known: Column) -> Column:
+    """Whether the text holds all that a match of the detector needs."""
+    held = F.forall(d["needs"], lambda words: F.exists(words, lambda w: F.contains(known["low"], w)))
+    return F.coalesce((~d["digits"] | known["digits"]) & held, F.lit(True))
+
+
+def _match(d: Column, finding: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    none = F.lit(None).cast("int")
+    return F.struct(d["once"].alias("once"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"), finding.alias("finding"))
+
+
+def _plain(text: Column, d: Column, checks_: dict[str, Callable[[Column], Column]]) -> Column:
+    """Matches of a detector that needs no places."""
+    hits = F.slice(F.regexp_extract_all(text, d["pattern"], F.lit(0)), F.lit(1), F.when(d["first"], 1).otherwise(2**31 - 1))
+    if checks_:
+
+        def right(s: Column) -> Column:
+            out = F.when(d["check"].isNull(), F.lit(True))
+            for name, check in checks_.items():
+                out = out.when(d["check"] == name, check(s))
+            return out
+
+        hits = F.filter(hits, right)
+    temporary = lambda s: F.when((d["name"] == "AWS_ACCESS_KEY") & F.startswith(s, F.lit("ASIA")), F.lit("AWS_ACCESS_KEY_TEMPORARY")).otherwise(d["name"])
+    return F.transform(hits, lambda s: _match(d, _finding(d, s).withField("match_name", temporary(s))))
+
+
+def _near(text: Column, d: Column) -> Column:
+    """Matches of a detector that looks at the words around them."""
+    seen_near = lambda s: let(context(s), lambda around: F.exists(d["near"], lambda w: F.contains(around, w)))
+    judged = F.transform(spans(text, d["pattern"]), lambda s: F.struct(s.alias("s"), seen_near(s).alias("near")))
+    kept = F.filter(judged, lambda x: x["near"] | ~d["required"])
+    severity = lambda x: F.when(x["near"], F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
+    return F.transform(kept, lambda x: _match(d, _finding(d, x["s"]["snippet"], severity(x)), x["s"]["start"], x["s"]["end"]))
 
-    def each(d: Column) -> Column:
-        near = lambda s: let(context(s), lambda around: F.exists(d["words"], lambda w: F.contains(around, w)))
-        found = F.transform(spans(text, d["pattern"]), lambda s: F.struct(d["by"].alias("by"), s["start"].alias("start"), s["end"].alias("end"), s["snippet"].alias("snippet"), near(s).alias("near")))
-        return F.filter(found, lambda x: x["near"] | ~d["required"])
 
-    return F.flatten(F.transform(F.filter(all_, may), each))
+def _once(matches: Column) -> Column:
+    """Of the matches of one name at one place, the first; sorting brings those together."""
 
+    def repeated(all_: Column) -> Column:
+        places = F.transform(all_, lambda x, i: F.struct(x["once"].alias("once"), x["start"].alias("start"), x["end"].alias("end"), i.alias("i")))
+        keys = F.array_sort(F.filter(places, lambda k: k["once"].isNotNull()))
+        same = lambda a, b: (a["once"] == b["once"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
+        again = let(keys, lambda ks: F.filter(ks, lambda k, n: (n > 0) & same(k, F.get(ks, n - 1))))
+        return let(F.transform(again, lambda k: k["i"]), lambda drop: F.filter(all_, lambda x, i: ~F.array_contains(drop, i)))
 
-def near_words(matches: Column, first: int, same_name: list[Detector]) -> Column:
-    """Findings of neighbouring detectors (from number first on) of one name; one span is found once."""
-    d = same_name[0]
-    own = F.filter(matches, lambda x: x["by"].between(first, first + len(same_name) - 1))
-    if len(same_name) > 1 and d.name in ("DATE_OF_BIRTH", "US_DRIVER_LICENSE"):
-        own = _first_of_each(own)
-    severity = lambda x: F.when(x["near"], F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
-    return F.transform(own, lambda x: _finding(d, x["snippet"], severity(x)).cast(FINDING))
+    return let(matches, repeated)
 
 
 def entropy_findings(text: Column) -> Column:
@@ -281,31 +297,29 @@ def entropy_findings(text: Column) -> Column:
     masked = "[REDACTED_HIGH_ENTROPY]"
     as_hex = Detector("HIGH_ENTROPY_HEX", HEX_SHAPE, "Secret", "MEDIUM", masked)
     as_64 = replace(as_hex, name="HIGH_ENTROPY_BASE64")
-    first = F.transform(F.filter(hexes, lambda s: checks.entropy(s["snippet"]) >= HEX_BITS), lambda s: _finding(as_hex, s["snippet"]).cast(FINDING))
+    first = F.transform(F.filter(hexes, lambda s: checks.entropy(s["snippet"]) >= HEX_BITS), lambda s: _finding(as_hex, s["snippet"]))
     inside = lambda s, hs: F.exists(hs, lambda h: (h["start"] <= s["start"]) & (s["end"] <= h["end"]))
     free = let(hexes, lambda hs: F.filter(runs, lambda s: (checks.entropy(s["snippet"]) >= BASE64_BITS) & ~inside(s, hs)))
-    second = F.transform(free, lambda s: _finding(as_64, s["snippet"]).cast(FINDING))
+    second = F.transform(free, lambda s: _finding(as_64, s["snippet"]))
     return F.when(F.rlike(text, F.lit(BASE64_SHAPE)), F.concat(first, second)).otherwise(_none())
 
 
 def detect(text: Column, detectors: list[Detector], known: Column | None = None) -> Column:
-    """Findings of the detectors, in their order; neighbours of one name with near words are taken together.
+    """Findings of the detectors, in their order.
 
     text: as ``prepared`` gives it, known: as ``seen`` gives it, each in a column of its own (all detectors read them).
     """
+    if not detectors:
+        return _none()
     known = seen(text) if known is None else known
+    checks_ = {d.check.__name__: d.check for d in detectors if d.check is not None}
 
-    def all_parts(matches: Column | None) -> Column:
-        parts, i = [], 0
-        while i < len(detectors):
-            j = i + 1
-            if detectors[i].near:
-                while j < len(detectors) and (detectors[j].name, detectors[j].near_required) == (detectors[i].name, detectors[i].near_required):
-                    j += 1
-                parts.append(near_words(matches, i, detectors[i:j]))
-            else:
-                parts.append(plain(text, detectors[i], known))
-            i = j
-        return F.concat(*parts) if parts else _none()
-
-    return let(_near_matches(text, detectors, known), all_parts) if any(d.near for d in detectors) else all_parts(None)
+    def each(d: Column) -> Column:
+        if not any(x.near for x in detectors):
+            return _plain(text, d, checks_)
+        return F.when(F.size(d["near"]) > 0, _near(text, d)).otherwise(_plain(text, d, checks_))
+
+    found = F.flatten(F.transform(F.filter(_table(detectors), lambda d: _may_match(d, known)), each))
+    if any(d.near for d in detectors):
+        found = _once(found)
+    return F.transform(found, lambda x: x["finding"])

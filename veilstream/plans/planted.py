@@ -81,6 +81,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as can run at once, where a table has too few parts for that (one row group is one
+    task): worth one shuffle of the rows only before work that is far more than reading them."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= want else df.repartition(want)
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(people_sql().replace("FROM customer", "FROM {customer}"), customer=load(spark, sf_dir, "customer"))
 

@@ -43,7 +43,7 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document inspected under the default policy."""
-    docs = P.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = P.spread(_documents(spark, sf_dir))
     out = inspect(docs, policy(entropy=True))
     return out.select("doc_id", "action", F.size("findings").alias("n_findings"), F.col("risk.total").alias("risk"), F.col("risk.band").alias("band"), "sanitized")
 
@@ -81,7 +81,7 @@ _findings_query("tone_findings", D.GUARDRAILS, PEOPLE, P.people)
 _findings_query("document_email_findings", _named("EMAIL_ADDRESS"), "documents", _documents)
 _findings_query("document_card_findings", _named("CREDIT_CARD"), "documents", _documents)
 _findings_query("document_phone_findings", _named("PHONE_NUMBER"), "documents", _documents)
-_findings_query("document_secret_findings", D.SECRETS, "documents", _documents)
+_findings_query("document_secret_findings", D.SECRETS, "documents", lambda spark, sf_dir: P.spread(_documents(spark, sf_dir)))
 _findings_query("card_luhn", _named("CREDIT_CARD"), PEOPLE, P.people)
 _findings_query("iban_mod97", _named("IBAN_CODE"), PEOPLE, P.people)
 _findings_query("routing_checksum", _named("ABA_ROUTING_NUMBER"), PEOPLE, P.people)
@@ -400,7 +400,7 @@ def application_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id FROM (SELECT page_id, lower({_HOST}) AS host FROM pages) WHERE {_below('example.org')}")
 def hosts_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.in_domains(_hosts(spark, sf_dir), spark.sql("SELECT 'Example.org' AS domain")).select("page_id")
+    return L.in_domains(_hosts(spark, sf_dir), spark.sql("SELECT ' Example.org ' AS domain")).select("page_id")
 
 
 @query(f"WITH d AS (SELECT DISTINCT lower({_HOST}) AS domain, page_id % 2 AS k FROM pages) SELECT domain, 'add' AS change FROM d WHERE k = 0 AND domain NOT IN (SELECT domain FROM d WHERE k = 1) UNION SELECT domain, 'remove' AS change FROM d WHERE k = 1 AND domain NOT IN (SELECT domain FROM d WHERE k = 0)")

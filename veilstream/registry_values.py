@@ -163,6 +163,20 @@ def translated_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         del X.TRANSLATIONS["own"]
 
 
+@query(f"SELECT doc_id, array_to_string(list_concat(CASE WHEN contains(text, 'user') THEN ['MODEL_user'] ELSE [] END, coalesce(names, [])), '|') AS names FROM {PEOPLE} LEFT JOIN (SELECT doc_id, list(match_name ORDER BY det, pos) AS names FROM ({O.findings(PEOPLE, [*D.PII, *D.GUARDRAILS])}) GROUP BY doc_id) USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM ({O.findings(PEOPLE, [*D.SECRETS, *D.INJECTION])}))"
+       f" UNION ALL SELECT DISTINCT doc_id, 'secret or injection' AS names FROM ({O.findings(PEOPLE, [*D.SECRETS, *D.INJECTION])})")
+def early_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second look for injection comes before personal data; texts with findings before it are only named."""
+
+    def model(texts: list[str]) -> list[list[dict]]:
+        return [[{"type": "MODEL_user", "start": t.find("user"), "end": t.find("user") + 4, "score": 1.0}] if "user" in t else [] for t in texts]
+
+    found = inspect(P.people(spark, sf_dir), policy(), early=[X.slot(model)])
+    first = F.exists("findings", lambda f: f["category"].isin("Secret", "PromptInjection"))
+    names = F.array_join(F.transform("findings", lambda f: f["match_name"]), "|")
+    return found.select("doc_id", F.when(first, "secret or injection").otherwise(names).alias("names"))
+
+
 # ---- lookups --------------------------------------------------------------------------------------
 
 @query("SELECT CAST(ord AS INT) AS ord, domain FROM (VALUES (0, 'example.net'), (1, 'm.example.com'), (2, 'example.net')) AS t(ord, domain)")
@@ -403,13 +417,21 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.log_lines(_with_findings(spark, sf_dir))
 
 
-@query("SELECT seq, version FROM (SELECT event_id AS seq, event_id % 4 = 3 AS central, lag(event_id % 4 = 3) OVER (ORDER BY event_id) AS before, event_id AS version FROM events WHERE user_id % 10 = 0) WHERE central AND NOT before")
+@query("SELECT seq, version FROM (SELECT event_id AS seq, event_id % 4 = 3 AS central, lag(event_id % 4 = 3) OVER (ORDER BY event_id) AS before, event_id AS version FROM events) WHERE central AND NOT before")
 def policy_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Central updates that put an end to local edits."""
-    changes = _events(spark, sf_dir).where("user_id % 10 = 0").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 3, "central").otherwise("local").alias("kind"), F.col("event_id").alias("version"))
+    changes = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 3, "central").otherwise("local").alias("kind"), F.col("event_id").alias("version"))
     return W.overwrites(changes)
 
 
+@query("SELECT event_id, (SELECT max(event_id) FROM events) AS version FROM events")
+def events_with_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events beside the latest version of a policy table."""
+    events = _events(spark, sf_dir)
+    joined = V.with_policy(events.select("event_id"), events.select(F.col("event_id").alias("version")))
+    return joined.select("event_id", F.col("policy.version").alias("version"))
+
+
 @query("WITH c AS (SELECT event_id AS seq, event_id % 4 = 3 AS central FROM events), l AS (SELECT max(seq) AS s FROM c WHERE central) SELECT CASE WHEN n > 0 THEN 'local' ELSE 'central' END AS source, s + n AS version, n > 0 AS local_override FROM (SELECT s, (SELECT count(*) FROM c WHERE NOT central AND seq > s) AS n FROM l)")
 def policy_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 3, "central").otherwise("local").alias("kind"), F.when(F.col("event_id") % 4 == 3, F.col("event_id")).alias("version"))
