@@ -210,3 +210,18 @@ def test_other_widths(spark):
     got = sorted(tuple(r) for r in remove_repeats(docs_of(spark, rows), width=12, gram=8).collect())
     assert got == brute_repeats(rows, 12)
     assert np.all([g[2] >= 0 for g in got])
+
+
+@pytest.mark.parametrize(("bucket_bytes", "hot"), [(300, 200_000), (300, 2), (1 << 24, 0)])
+def test_repeats_in_many_buckets_and_of_hot_anchors(spark, bucket_bytes, hot):
+    """Some 128 buckets; anchors whose windows are dealt one by one; suffixes that agree nearly to the window's width."""
+    rng = random.Random(12)
+    line = "the one common line that stands in nearly every document"
+    rows = []
+    for i in range(120):
+        noise = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 160)))
+        rows.append((i, noise + (line if rng.random() < 0.8 else "") + "".join(rng.choice("xyé") for _ in range(rng.randint(0, 120)))))
+    stem = "".join(rng.choice("klmnop") for _ in range(49))
+    rows += [(200 + i, stem + c + stem) for i, c in enumerate("qrstq")] + [(300, "z" * 300), (301, "z" * 120), (302, None)]
+    got = sorted(tuple(r) for r in remove_repeats(docs_of(spark, rows), group_bytes=1500, bucket_bytes=bucket_bytes, hot=hot).collect())
+    assert got == brute_repeats(rows)
