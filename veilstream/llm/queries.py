@@ -70,12 +70,30 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.fill_middle import digest, transform
+
+    return digest(transform(spread(table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.source_divergence import audit
+
+    return audit(spread(table(spark, sf_dir, "documents")))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.piece_codec import digest, round_trip
+
+    return digest(round_trip(spread(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilstream.llm import mixing
+    from veilstream.llm import fill_middle, mixing, source_divergence
 
-    return {"op10_source_mixing": mixing.oracle()}
+    return {"op10_source_mixing": mixing.oracle(), "op11_fill_in_middle": fill_middle.oracle(), "op12_source_divergence": source_divergence.oracle()}
