@@ -44,6 +44,11 @@ def spans(text: Column, pattern: str | Column) -> Column:
 
     Offsets are in characters from 0, end exclusive; before and after are up to 40 characters of the text around.
     """
+    return spans_of(F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("hits")))
+
+
+def spans_of(parts: Column) -> Column:
+    """The same of a text cut at its matches: struct<gaps, hits>."""
     n = F.lit(AROUND)
 
     def placed(x: Column) -> Column:
@@ -72,7 +77,6 @@ def spans(text: Column, pattern: str | Column) -> Column:
         at = running(F.transform(x["hits"], lambda h, i: F.length(F.get(x["gaps"], i)) + F.length(h)))
         return let(F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), at.alias("at")), placed)
 
-    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("hits"))
     return let(parts, sized)
 
 

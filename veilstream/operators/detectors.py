@@ -1,8 +1,10 @@
 """Detectors as data, compiled to one array of findings per text.
 
 Each detector says what every match of it holds: literals, digits.  Looking for literals is far cheaper than a
-pattern, and most texts lack them, so a pattern runs only over texts that may match.  The detectors are a table in the
-expression, which has one size however many there are.
+pattern, and most texts lack them, so a pattern runs only over texts that may match.  Detectors share their literals:
+``seen`` looks for each distinct group of them once a text, in compiled code, and without words that hold another
+of their group.  The detectors are a table in the expression; only their patterns stand in it one by one, as constants,
+so that each is compiled once a task.
 
 A finding has a category, a name, the matched snippet, a severity and a replacement (null: nothing to mask).
 The order of findings is the order of the lists below.
@@ -19,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilstream.functions import checks
-from veilstream.functions.spans import context, let, spans
+from veilstream.functions.spans import context, let, spans, spans_of
 
 FINDING = "struct<category:string,match_name:string,snippet:string,severity:string,redacted_replacement:string>"
 FINDINGS = f"array<{FINDING}>"
@@ -204,18 +206,47 @@ def prepared(text: Column) -> Column:
 _ODD = "\u017f\u0131\u0130\u212a"
 
 
-def seen(text: Column) -> Column:
-    """struct<low, digits>: what the detectors' needs are looked for in.  Null, where lower case would miss what a
-    pattern without regard to case may match."""
+def _shortest(words: list[str]) -> tuple[str, ...]:
+    """The words without those that hold another: a text holds one of the rest if it holds one of all."""
+    return tuple(sorted(w for w in set(words) if not any(v != w and v in w for v in words)))
+
+
+def _groups(d: Detector) -> list[tuple[str, ...]]:
+    """Of each group every match, or the words near it, hold a literal."""
+    return [_shortest(x) for x in [*map(list, d.needs), *([d.near] if d.near and d.near_required else [])]]
+
+
+def _gate(d: Detector) -> tuple[bool, tuple[str, ...]] | None:
+    """Whether the text must hold digits, and one of which literals: the group of longest words, as the rarest."""
+    groups = _groups(d)
+    return (d.digits, max(groups, key=lambda g: min(map(len, g)))) if groups else None
+
+
+#: the distinct gates of all detectors, in a fixed order
+GATES = list(dict.fromkeys(g for g in map(_gate, [*SECRETS, *INJECTION, *PII, *GUARDRAILS]) if g is not None))
+
+
+def seen(text: Column, detectors: list[Detector] | None = None) -> Column:
+    """struct<low, digits, held>: the text in lower case, whether it has digits, and for each of GATES whether it may
+    pass; gates of other than the given detectors are open.  Where lower case would miss what a pattern without regard
+    to case may match, low is null and every gate is open."""
     odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in _ODD])
-    return F.struct(F.when(~odd, F.lower(text)).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digits"))
+    both = F.struct(F.when(~odd, F.lower(text)).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digits"))
+    used = set(GATES) if detectors is None else set(map(_gate, detectors))
+
+    def passes(known: Column, gate: tuple[bool, tuple[str, ...]]) -> Column:
+        digits, words = gate
+        held = reduce(lambda a, b: a | b, [F.contains(known["low"], F.lit(w)) for w in words])
+        return F.coalesce(known["digits"] & held if digits else held, F.lit(True))
+
+    return let(both, lambda k: F.struct(k["low"].alias("low"), k["digits"].alias("digits"), F.array(*(passes(k, g) if g in used else F.lit(True) for g in GATES)).alias("held")))
 
 
 def _none() -> Column:
     return F.array().cast(FINDINGS)
 
 
-_ROW = "by:int,name:string,pattern:string,category:string,severity:string,replacement:string,needs:array<array<string>>,digits:boolean,near:array<string>,required:boolean,first:boolean,check:string,once:string"
+_ROW = "by:int,name:string,category:string,severity:string,replacement:string,needs:array<array<string>>,gate:int,digits:boolean,near:array<string>,required:boolean,first:boolean,check:string,once:string"
 
 
 def _table(detectors: list[Detector]) -> Column:
@@ -224,11 +255,11 @@ def _table(detectors: list[Detector]) -> Column:
         {
             "by": i,
             "name": d.name,
-            "pattern": d.java,
             "category": d.category,
             "severity": d.severity,
             "replacement": d.replacement,
-            "needs": [*map(list, d.needs), *([d.near] if d.near and d.near_required else [])],
+            "needs": [g for g in _groups(d) if (d.digits, g) != _gate(d)],
+            "gate": None if _gate(d) is None else GATES.index(_gate(d)),
             "digits": d.digits,
             "near": d.near,
             "required": d.near_required,
@@ -244,7 +275,8 @@ def _table(detectors: list[Detector]) -> Column:
 def _may_match(d: Column, known: Column) -> Column:
     """Whether the text holds all that a match of the detector needs."""
     held = F.forall(d["needs"], lambda words: F.exists(words, lambda w: F.contains(known["low"], w)))
-    return F.coalesce((~d["digits"] | known["digits"]) & held, F.lit(True))
+    passed = F.coalesce(F.get(known["held"], d["gate"]), F.lit(True)) & (~d["digits"] | known["digits"])
+    return passed & F.coalesce(held, F.lit(True))
 
 
 def _match(d: Column, finding: Column, start: Column | None = None, end: Column | None = None) -> Column:
@@ -252,9 +284,19 @@ def _match(d: Column, finding: Column, start: Column | None = None, end: Column
     return F.struct(d["once"].alias("once"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"), finding.alias("finding"))
 
 
-def _plain(text: Column, d: Column, checks_: dict[str, Callable[[Column], Column]]) -> Column:
+def _by_detector(d: Column, detectors: list[Detector], of: Callable[[str], Column], where: Callable[[Detector], bool] = lambda d: True) -> Column:
+    """What a pattern gives, for the row of a detector: each pattern is a constant."""
+    out = None
+    for i, x in enumerate(detectors):
+        if where(x):
+            out = F.when(d["by"] == i, of(x.java)) if out is None else out.when(d["by"] == i, of(x.java))
+    return out
+
+
+def _plain(text: Column, d: Column, detectors: list[Detector], checks_: dict[str, Callable[[Column], Column]]) -> Column:
     """Matches of a detector that needs no places."""
-    hits = F.slice(F.regexp_extract_all(text, d["pattern"], F.lit(0)), F.lit(1), F.when(d["first"], 1).otherwise(2**31 - 1))
+    found = _by_detector(d, detectors, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: not x.near)
+    hits = F.slice(found, F.lit(1), F.when(d["first"], 1).otherwise(2**31 - 1))
     if checks_:
 
         def right(s: Column) -> Column:
@@ -268,10 +310,12 @@ def _plain(text: Column, d: Column, checks_: dict[str, Callable[[Column], Column
     return F.transform(hits, lambda s: _match(d, _finding(d, s).withField("match_name", temporary(s))))
 
 
-def _near(text: Column, d: Column) -> Column:
+def _near(text: Column, d: Column, detectors: list[Detector]) -> Column:
     """Matches of a detector that looks at the words around them."""
+    cut = lambda p: F.struct(F.split(text, p).alias("gaps"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"))
+    found = spans_of(_by_detector(d, detectors, cut, lambda x: bool(x.near)))
     seen_near = lambda s: let(context(s), lambda around: F.exists(d["near"], lambda w: F.contains(around, w)))
-    judged = F.transform(spans(text, d["pattern"]), lambda s: F.struct(s.alias("s"), seen_near(s).alias("near")))
+    judged = F.transform(found, lambda s: F.struct(s.alias("s"), seen_near(s).alias("near")))
     kept = F.filter(judged, lambda x: x["near"] | ~d["required"])
     severity = lambda x: F.when(x["near"], F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
     return F.transform(kept, lambda x: _match(d, _finding(d, x["s"]["snippet"], severity(x)), x["s"]["start"], x["s"]["end"]))
@@ -311,13 +355,16 @@ def detect(text: Column, detectors: list[Detector], known: Column | None = None)
     """
     if not detectors:
         return _none()
-    known = seen(text) if known is None else known
+    known = seen(text, detectors) if known is None else known
     checks_ = {d.check.__name__: d.check for d in detectors if d.check is not None}
 
     def each(d: Column) -> Column:
-        if not any(x.near for x in detectors):
-            return _plain(text, d, checks_)
-        return F.when(F.size(d["near"]) > 0, _near(text, d)).otherwise(_plain(text, d, checks_))
+        near, plain = any(x.near for x in detectors), any(not x.near for x in detectors)
+        if not near:
+            return _plain(text, d, detectors, checks_)
+        if not plain:
+            return _near(text, d, detectors)
+        return F.when(F.size(d["near"]) > 0, _near(text, d, detectors)).otherwise(_plain(text, d, detectors, checks_))
 
     found = F.flatten(F.transform(F.filter(_table(detectors), lambda d: _may_match(d, known)), each))
     if any(d.near for d in detectors):

@@ -53,14 +53,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN = ["category", "match_name", "snippet", "severity", "redacted_replacement"]
 
 
-def _found(df: DataFrame, findings) -> DataFrame:
-    ready = df.withColumn("_text", D.prepared(F.col("text"))).withColumn("_seen", D.seen(F.col("_text")))
+def _found(df: DataFrame, findings, detectors: list[D.Detector] | None = None) -> DataFrame:
+    ready = df.withColumn("_text", D.prepared(F.col("text"))).withColumn("_seen", D.seen(F.col("_text"), detectors))
     return explode_findings(ready.withColumn("findings", findings(F.col("_text"))), "doc_id").drop("seq")
 
 
 def _findings_query(name: str, detectors: list[D.Detector], relation: str, source) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _found(source(spark, sf_dir), lambda t: D.detect(t, detectors, F.col("_seen")))
+        return _found(source(spark, sf_dir), lambda t: D.detect(t, detectors, F.col("_seen")), detectors)
 
     run.__name__ = name
     query(f"SELECT doc_id, {', '.join(_SHOWN)} FROM ({O.findings(relation, detectors)})")(run)
@@ -159,7 +159,7 @@ def redact_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, length({_nested('text')}) AS n_chars, md5({_nested('text')}) AS digest FROM documents")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).withColumn("_seen", D.seen(F.col("text"))).withColumn("findings", D.detect(F.col("text"), _MASKED, F.col("_seen"))).withColumn("sanitized", redact(F.col("text"), F.col("findings")))
+    rows = _documents(spark, sf_dir).withColumn("_seen", D.seen(F.col("text"), _MASKED)).withColumn("findings", D.detect(F.col("text"), _MASKED, F.col("_seen"))).withColumn("sanitized", redact(F.col("text"), F.col("findings")))
     return rows.select("doc_id", F.length("sanitized").cast("long").alias("n_chars"), F.md5(F.col("sanitized").cast("binary")).alias("digest"))
 
 
