@@ -146,12 +146,12 @@ def settings_file(spark, path: str, defaults: dict) -> dict:
     return settings(spark.read.text(path, wholetext=True).first()["value"], defaults)
 
 
-def overwrites(changes: DataFrame) -> DataFrame:
-    """Central updates (seq) that put an end to a local edit, which is worth a warning."""
-    from pyspark.sql import Window
+def overwrites(changes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Central updates (seq) that put an end to a local edit, which is worth a warning; keys part policies of their own."""
+    from veilstream.operators.asof import with_previous
 
-    before = F.lag("kind").over(Window.orderBy("seq"))  # the versions of one policy
-    return changes.withColumn("_before", before).where("kind = 'central' AND _before = 'local'").select("seq", "version")
+    told = with_previous(changes, "seq", F.struct("kind"), keys)
+    return told.where("kind = 'central' AND previous.kind = 'local'").select(*(keys or []), "seq", "version")
 
 
 def provenance(changes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from veilstream.operators import detectors as D
 from veilstream.operators import lookups as L
 from veilstream.operators import metrics as M
 from veilstream.operators import models as X
+from veilstream.operators.asof import as_of
 from veilstream.operators.inspect import inspect, verified
 from veilstream.operators.keywords import KeywordRule, keyword_findings
 from veilstream.operators.policy import policy
@@ -424,6 +425,26 @@ def policy_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.overwrites(changes)
 
 
+_POLICIES = "SELECT user_id % 5 AS tenant, ts AS since, event_id AS version, CASE event_id % 3 WHEN 0 THEN 'Block' WHEN 1 THEN 'Redact' ELSE 'Warn' END AS action FROM events WHERE event_type = 'signup'"
+
+
+@query(f"SELECT e.event_id, p.version, p.action FROM (SELECT event_id, ts, user_id % 5 AS tenant FROM events) e ASOF LEFT JOIN ({_POLICIES}) p ON e.tenant = p.tenant AND e.ts >= p.since")
+def policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event beside the policy version of its tenant that was in force at its time."""
+    events = P.load(spark, sf_dir, "events")
+    versions = spark.sql(_POLICIES.replace("FROM events", "FROM {events}"), events=events)
+    rows = events.select("event_id", "ts", (F.col("user_id") % 5).alias("tenant"))
+    return as_of(rows, versions, "ts", "since", "version", ["tenant"]).select("event_id", "in_force.version", "in_force.action")
+
+
+@query("SELECT tenant, seq, version FROM (SELECT user_id % 5 AS tenant, event_id AS seq, event_id % 4 = 3 AS central, lag(event_id % 4 = 3) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS before, event_id AS version FROM events) WHERE central AND NOT before")
+def tenant_policy_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Central updates that put an end to local edits, for each tenant's own policy."""
+    kind = F.when(F.col("event_id") % 4 == 3, "central").otherwise("local").alias("kind")
+    changes = P.load(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("tenant"), F.col("event_id").alias("seq"), kind, F.col("event_id").alias("version"))
+    return W.overwrites(changes, ["tenant"])
+
+
 @query("SELECT event_id, (SELECT max(event_id) FROM events) AS version FROM events")
 def events_with_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events beside the latest version of a policy table."""

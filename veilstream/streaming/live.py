@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.operators.asof import as_of
+
 LATE = "10 minutes"
 
 
@@ -41,6 +43,15 @@ def with_policy(events: DataFrame, versions: DataFrame) -> DataFrame:
     return events.crossJoin(F.broadcast(latest.select(F.struct("*").alias("policy"))))
 
 
+def with_policy_in_force(stream: DataFrame, versions: Callable[[], DataFrame], send: Callable[[DataFrame, int], None], checkpoint: str, at: str, since: str, order: str, keys: list[str]):
+    """A stream's events beside the policy version in force at their own time (see ``as_of``); send gets each micro-batch.
+
+    versions is called for each micro-batch, so that versions that were added meanwhile count from then on, and an event
+    keeps to the version of its time however late it comes.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, n: send(as_of(batch, versions(), at, since, order, keys), n)).option("checkpointLocation", checkpoint)
+
+
 def forward(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str):
     """A sink hook: send gets each micro-batch and its number."""
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
