@@ -1,6 +1,7 @@
 import gzip
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -265,8 +266,11 @@ def test_holdback_stream_equals_batch(spark, tmp_path):
     chunks.where("chunk_no < 2").coalesce(1).write.parquet(str(tmp_path / "in"))
     chunks.where("chunk_no >= 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = holdback.pieces_stream(stream).writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = holdback.pieces_stream(stream).writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("held").count() < len(batch):
+        time.sleep(0.3)
+    q.stop()
     assert sorted(map(tuple, spark.table("held").collect())) == batch
     scanned = spark.createDataFrame([("s", 0, "Allow"), ("s", 1, "Block"), ("s", 2, "Allow"), ("t", 0, "Warn")], "stream_id string, piece_no long, action string")
     assert sorted((r["stream_id"], r["piece_no"]) for r in holdback.until_blocked(scanned).collect()) == [("s", 0), ("t", 0)]

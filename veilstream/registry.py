@@ -524,6 +524,21 @@ def stream_holdback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.until_blocked(scanned).select("stream_id", "piece_no", "action", "sanitized")
 
 
+_FILLER = "rpad('', CAST(doc_id % 97 AS INT), 'lorem ipsum ')"
+_LONG = f"(SELECT doc_id, repeat('dolor sit amet ', 20) || {_FILLER} || ' ' || text || ' ' || repeat('consetetur elitr ', 20) AS text FROM {PEOPLE})"
+_KEPT_WHOLE = [*D.SECRETS, *D.PII]
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS stream_id, sanitized FROM ({_inspect_oracle(_ANSWER, _LONG, response=True)})")
+def stream_masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted values at every offset to the borders of chunks and pieces: what the pieces give together, masked one by
+    one, is the whole answer masked."""
+    docs = spark.sql(_LONG.replace("FROM customer", "FROM {customer}")[1:-1], customer=P.load(spark, sf_dir, "customer")).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
+    scanned = inspect(H.pieces(_chunks(docs, 90), 0, _KEPT_WHOLE), policy(), response=True)
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "sanitized")))  # a stream of this query has some ten pieces
+    return scanned.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["sanitized"]), "").alias("sanitized"))
+
+
 def _windows(key: str, seconds: int, out: str) -> str:
     """The windows of each key, one after the other, and the requests numbered in them."""
     w = seconds * 1_000_000

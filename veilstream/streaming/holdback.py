@@ -1,68 +1,120 @@
 """Responses that come in pieces: all but the last bytes are released at once, and scanned piece by piece.
 
 The fold is one function; the batch form runs it over each stream's chunks, the streaming form keeps its buffer as
-state.  Scanning is then stateless (``inspect`` with response=True) on the pieces, and a blocked piece ends its stream.
+state until the stream ends or breaks off.  Scanning is then stateless (``inspect`` with response=True) on the pieces,
+and a blocked piece ends its stream.
+
+A fixed number of bytes still cuts what is longer or begins earlier.  Given detectors, a piece ends only where none of
+their matches is under way: ``regex`` tells whether the end of the buffer may be the beginning of a match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.functions.spans import AROUND
+from veilstream.operators.detectors import Detector
+from veilstream.streaming.state import IDLE_SECONDS, Fold, folded
+
 HOLD_BACK = 512
 PIECES = "stream_id string, piece_no long, text string"
+#: characters behind a match that may still change it, and characters that are held for a match under way at most
+SETTLED, LONGEST = 64, 1 << 16
 
 
-def release(buffer: bytes, chunk: bytes, last: bool, hold: int = HOLD_BACK) -> tuple[bytes, bytes]:
-    """(what may go, what stays)"""
+def release(buffer: bytes, chunk: bytes, last: bool, hold: int = HOLD_BACK, whole: tuple[str, ...] = ()) -> tuple[bytes, bytes]:
+    """(what may go, what stays); whole: patterns whose matches are not cut."""
     buffer += chunk
     n = len(buffer) if last else max(0, len(buffer) - hold)
+    if whole and not last and n:
+        n = _outside_matches(buffer, n, whole)
     return buffer[:n], buffer[n:]
 
 
-def pieces_of(chunks: Iterator[tuple[bytes, bool]], hold: int = HOLD_BACK) -> list[str]:
+@lru_cache(maxsize=8)
+def _compiled(patterns: tuple[str, ...]) -> list:
+    import regex
+
+    return [regex.compile(p) for p in patterns]
+
+
+def _outside_matches(buffer: bytes, n: int, patterns: tuple[str, ...]) -> int:
+    """The last place up to n, behind white space, that no match (with what stands around it) reaches over."""
+    text = buffer.decode("utf-8", "surrogateescape")
+    cut = min(len(buffer[:n].decode("utf-8", "surrogateescape")), len(text) - AROUND)
+    reach = []
+    for p in _compiled(patterns):
+        for m in p.finditer(text, partial=True):
+            start, end = m.span()
+            growing = m.partial or end + SETTLED > len(text) or not any(c.isspace() for c in text[end:])
+            reach.append((start - AROUND, len(text) + 1 if growing else end + AROUND))
+    floor = max(0, len(text) - LONGEST)
+    while True:  # a place that is clear of one match may lie in an earlier one
+        cut = max(cut, 0)
+        while cut > 0 and not text[cut - 1].isspace():
+            cut -= 1
+        over = min((s for s, e in reach if s < cut < e), default=None)
+        if over is None or cut == 0:
+            break
+        cut = over
+    return len(text[: max(cut, floor)].encode("utf-8", "surrogateescape"))
+
+
+def patterns_of(detectors: list[Detector] | None) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(d.pattern for d in detectors or []))
+
+
+def pieces_of(chunks: Iterator[tuple[bytes, bool]], hold: int = HOLD_BACK, whole: tuple[str, ...] = ()) -> list[str]:
     buffer, out = b"", []
     for chunk, last in chunks:
-        piece, buffer = release(buffer, chunk, last, hold)
+        piece, buffer = release(buffer, chunk, last, hold, whole)
         if piece:
             out.append(piece.decode("utf-8", "replace"))
     return out
 
 
-def pieces(chunks: DataFrame, hold: int = HOLD_BACK) -> DataFrame:
-    """Batch: chunks (stream_id, chunk_no, bytes) to pieces (stream_id, piece_no, text)."""
+def pieces(chunks: DataFrame, hold: int = HOLD_BACK, whole: list[Detector] | None = None) -> DataFrame:
+    """Batch: chunks (stream_id, chunk_no, bytes) to pieces (stream_id, piece_no, text).
+
+    whole: detectors whose matches, up to LONGEST characters, stand in one piece with what their context needs.
+    """
+    patterns = patterns_of(whole)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_no")
         n = len(pdf)
-        texts = pieces_of(((bytes(b), i == n - 1) for i, b in enumerate(pdf["bytes"])), hold)
+        texts = pieces_of(((bytes(b), i == n - 1) for i, b in enumerate(pdf["bytes"])), hold, patterns)
         return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "piece_no": range(len(texts)), "text": texts})
 
     return chunks.groupBy("stream_id").applyInPandas(run, PIECES)
 
 
-def pieces_stream(chunks: DataFrame, hold: int = HOLD_BACK) -> DataFrame:
-    """Streaming: chunks (stream_id, chunk_no, bytes, last) to pieces; chunks of a stream come in order of chunk_no."""
-
-    def run(key, frames, state):
-        buffer, n = state.get if state.exists else (b"", 0)
-        buffer, out = bytes(buffer), []
-        ended = False
-        for pdf in frames:
-            pdf = pdf.sort_values("chunk_no")
-            for chunk, last in zip(pdf["bytes"], pdf["last"].tolist(), strict=True):
-                piece, buffer = release(buffer, bytes(chunk), last, hold)
-                if piece:
-                    out.append((key[0], n, piece.decode("utf-8", "replace")))
-                    n += 1
-                ended |= last
-        state.remove() if ended else state.update((buffer, n))
-        yield pd.DataFrame(out, columns=["stream_id", "piece_no", "text"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, PIECES, "buffer binary, n long", "append", "NoTimeout")
+class _Pieces(Fold):
+    state, output = "buffer binary, n long", "piece_no long, text string"
+
+    def __init__(self, hold: int, whole: tuple[str, ...]):
+        self.hold, self.whole = hold, whole
+
+    def begin(self) -> tuple:
+        return b"", 0
+
+    def step(self, state, chunk_no, chunk, last):
+        piece, buffer = release(bytes(state[0]), chunk, last, self.hold, self.whole)
+        return ([(state[1], piece.decode("utf-8", "replace"))], (buffer, state[1] + 1)) if piece else ([], (buffer, state[1]))
+
+    def broken_off(self, state):
+        return self.step(state, -1, b"", True)[0]
+
+
+def pieces_stream(chunks: DataFrame, hold: int = HOLD_BACK, whole: list[Detector] | None = None, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """Streaming: chunks (stream_id, chunk_no, bytes, last) to pieces; chunks of a stream come in order of chunk_no.  A
+    stream without chunks for so many seconds has broken off: what was held back goes out, and its state ends."""
+    return folded(chunks, _Pieces(hold, patterns_of(whole)), idle_seconds)
 
 
 def until_blocked(scanned: DataFrame) -> DataFrame:

@@ -8,13 +8,18 @@ and only the times between two of them meet in one row; requests themselves are
 from __future__ import annotations
 
 import hmac
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilstream.functions.small import hmac_sha256
+from veilstream.streaming.state import keep_state
 
+LATE = "10 minutes"
 MOST_REQUESTS, WINDOW_SECONDS, NONCE_SECONDS, SKEW_SECONDS = 300, 60, 60, 60
 
 
@@ -59,23 +64,58 @@ def budget(state: tuple[float, int] | None, at: float, most: int, seconds: float
     return (n < most), (opened, n + (n < most))
 
 
-def limited_stream(requests: DataFrame, key: str, most: int = MOST_REQUESTS, seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """Streaming: key, event_id, allowed; the state is the open window."""
+class _Budget(StatefulProcessor):
+    """The state of a key is its open window; a timer in event time ends it with the window."""
+
+    def __init__(self, key: str, most: int, seconds: float):
+        self.key, self.most, self.window = key, most, round(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("window", "opened long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        at = pdf["at"].to_numpy()
+        allowed = np.zeros(len(at), bool)
+        opened, n = self.held.get() if self.held.exists() else (None, 0)
+        i = 0
+        while i < len(at):  # window by window
+            if opened is None or at[i] - opened >= self.window:
+                opened, n = int(at[i]), 0
+            end = int(np.searchsorted(at, opened + self.window))
+            taken = min(self.most - n, end - i)
+            allowed[i : i + taken] = True
+            n, i = n + taken, end
+        self.held.update((opened, n))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(opened + self.window) // 1000))
+        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(at), dtype=object), "event_id": pdf["event_id"].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(requests: DataFrame, key: str, most: int = MOST_REQUESTS, seconds: float = WINDOW_SECONDS, at: str = "ts", order: str = "event_id", late: str = LATE) -> DataFrame:
+    """Streaming: key, event_id, allowed.  Requests of a key are taken in the order of their times within a micro-batch,
+    and as they come from one to the next.  A key's state ends when the watermark passes its window: what comes
+    afterwards opens a new one in any case, so verdicts are those of the batch form.  Requests that come later than
+    ``late`` behind the newest have no verdict."""
+    keep_state(requests.sparkSession)
     kind = dict(requests.dtypes)[key]
+    timed = requests.withColumn("_ts", F.col(at)).withWatermark("_ts", late)
+    slim = timed.select(key, F.col(order).cast("long").alias("event_id"), F.unix_micros("_ts").alias("at"), "_ts")
+    return slim.groupBy(key).transformWithStateInPandas(_Budget(key, most, seconds), f"{key} {kind}, event_id long, allowed boolean", "append", "EventTime")
 
-    def run(name, frames, state):
-        held = state.get if state.exists else None
-        out = []
-        for pdf in frames:
-            pdf = pdf.sort_values(["at", "event_id"])
-            for event, at in zip(pdf["event_id"].tolist(), pdf["at"].tolist(), strict=True):
-                ok, held = budget(held, at, most, seconds)
-                out.append((name[0], event, ok))
-        state.update(held)
-        yield pd.DataFrame(out, columns=[key, "event_id", "allowed"])
 
-    slim = requests.select(key, "event_id", (F.unix_micros("ts") / 1e6).alias("at"))
-    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, allowed boolean", "opened double, n long", "append", "NoTimeout")
+def first_uses_stream(requests: DataFrame, nonce: str = "nonce", at: str = "ts", order: str = "event_id", seconds: int = NONCE_SECONDS, late: str = LATE) -> DataFrame:
+    """Streaming: nonce, event_id, fresh: as ``first_uses``; a nonce is forgotten when its time is over."""
+    return limited_stream(requests, nonce, 1, seconds, at, order, late).withColumnRenamed("allowed", "fresh")
 
 
 def first_uses(requests: DataFrame, nonce: str = "nonce", at: str = "ts", seconds: int = NONCE_SECONDS) -> DataFrame:
@@ -87,11 +127,22 @@ def signature(ts: Column, nonce: Column, secret: bytes) -> Column:
     return hmac_sha256(F.concat(ts.cast("string"), F.lit("."), nonce), secret)
 
 
+def _signed(secret: bytes, skew: int) -> Column:
+    return F.coalesce((F.abs(F.col("now") - F.col("ts")) <= skew) & (signature(F.col("ts"), F.col("nonce"), secret) == F.col("signature")), F.lit(False))
+
+
+def authorised_stream(requests: DataFrame, secret: bytes, skew: int = SKEW_SECONDS, seconds: int = NONCE_SECONDS, late: str = LATE) -> DataFrame:
+    """Streaming: requests (id, ts, nonce, signature, now; seconds) to id, allowed, by the same three tests."""
+    rows = requests.withColumn("_ok", _signed(secret, skew))
+    good = rows.where("_ok").select("id", "nonce", F.timestamp_seconds("now").alias("at"))
+    used = first_uses_stream(good, "nonce", "at", "id", seconds, late).select(F.col("event_id").alias("id"), F.col("fresh").alias("allowed"))
+    return used.unionByName(rows.where("NOT _ok").select(F.col("id").cast("long").alias("id"), F.lit(False).alias("allowed")))
+
+
 def authorised(requests: DataFrame, secret: bytes, skew: int = SKEW_SECONDS, seconds: int = NONCE_SECONDS) -> DataFrame:
     """requests (id, ts, nonce, signature, now; seconds) with allowed: not too old or early, rightly signed, and the
     nonce not used before.  Only requests that pass the first two tests use up their nonce."""
-    signed = F.coalesce((F.abs(F.col("now") - F.col("ts")) <= skew) & (signature(F.col("ts"), F.col("nonce"), secret) == F.col("signature")), F.lit(False))
-    rows = requests.withColumn("_ok", signed)
+    rows = requests.withColumn("_ok", _signed(secret, skew))
     good = numbered(rows.where("_ok").withColumn("_now", F.timestamp_seconds("now")), "nonce", "_now", "id", seconds).withColumn("allowed", F.col("_nth") == 1).drop("_nth", "_now", "_ok")
     return good.unionByName(rows.where("NOT _ok").withColumn("allowed", F.lit(False)).drop("_ok"))
 

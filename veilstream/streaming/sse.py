@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from veilstream.streaming.state import IDLE_SECONDS, Fold, folded
+
 END, DONE = b"\n\n", b"data: [DONE]\n\n"
 #: an event's data to the common form's; None drops the event
 Translate = Callable[[bytes], bytes | None]
@@ -44,20 +46,26 @@ def translated(chunks: DataFrame, translate: Translate) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, chunk_no long, bytes binary")
 
 
-def translated_stream(chunks: DataFrame, translate: Translate) -> DataFrame:
-    """Streaming: chunks (stream_id, chunk_no, bytes, last); the state is the event that is not complete."""
+class _Events(Fold):
+    state, output = "buffer binary, no long", "chunk_no long, bytes binary"
+
+    def __init__(self, translate: Translate):
+        self.translate = translate
+
+    def begin(self) -> tuple:
+        return b"", -1
+
+    def step(self, state, chunk_no, chunk, last):
+        piece, buffer = push(bytes(state[0]), chunk, self.translate)
+        if last:
+            piece, buffer = piece + finish(buffer, self.translate), b""
+        return ([(chunk_no, piece)] if piece else []), (buffer, chunk_no)
+
+    def broken_off(self, state):
+        return [(state[1] + 1, finish(bytes(state[0]), self.translate))]
 
-    def run(key, frames, state):
-        buffer, out, ended = (bytes(state.get[0]) if state.exists else b""), [], False
-        for pdf in frames:
-            pdf = pdf.sort_values("chunk_no")
-            for no, chunk, last in zip(pdf["chunk_no"].tolist(), pdf["bytes"], pdf["last"].tolist(), strict=True):
-                piece, buffer = push(buffer, bytes(chunk), translate)
-                if last:
-                    piece, ended = piece + finish(buffer, translate), True
-                if piece:
-                    out.append((key[0], no, piece))
-        state.remove() if ended else state.update((buffer,))
-        yield pd.DataFrame(out, columns=["stream_id", "chunk_no", "bytes"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, chunk_no long, bytes binary", "buffer binary", "append", "NoTimeout")
+def translated_stream(chunks: DataFrame, translate: Translate, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """Streaming: chunks (stream_id, chunk_no, bytes, last); the state is the event that is not complete.  A stream
+    without chunks for so many seconds has broken off: it is finished as it is, and its state ends."""
+    return folded(chunks, _Events(translate), idle_seconds)
