@@ -157,11 +157,19 @@ def json_lines(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(F.struct(*(c for c in events.columns if c != "synced"))).alias("line"))
 
 
-def json_array(events: DataFrame, by: str = "tenant_id") -> DataFrame:
-    """Per tenant: its events as one JSON array, oldest first.  For exports, whose window and size are bounded."""
+def json_array(events: DataFrame, by: str = "tenant_id", most: int = KEEP_ROWS) -> DataFrame:
+    """Per tenant: its events as one JSON array, oldest first.  A tenant with more events than are ever kept is an error:
+    an array is one value."""
     shown = F.struct(*(c for c in events.columns if c not in ("synced", by)))
+    few = events.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    checked = few.where(F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} events in an export"))).otherwise(F.lit(True)))
+    bounded = events.join(checked, events[by].eqNullSafe(F.col("_by")), "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id", shown.alias("e"))))
-    return events.groupBy(by).agg(F.to_json(F.transform(ordered, lambda x: x["e"])).alias("events"))
+    return bounded.groupBy(by).agg(F.to_json(F.transform(ordered, lambda x: x["e"]), {"timestampFormat": TIME, "timestampNTZFormat": TIME}).alias("events"))
+
+
+#: times in JSON, in the session's time zone
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def signed_arrays(events: DataFrame, secret: bytes, by: str = "tenant_id") -> DataFrame:
@@ -179,12 +187,17 @@ def archive_is_genuine(archive: dict, secret: bytes) -> bool:
     return hmac.compare_digest(sign_archive(archive["events"], archive["exported_at"], secret)["signature"], archive["signature"])
 
 
-def export(events: DataFrame, kind: str, tenant: str, now: Column, days: int = EXPORT_DAYS) -> DataFrame:
+def export(events: DataFrame, kind: str, tenant: str, now: Column, days: int = EXPORT_DAYS, secret: bytes | None = None) -> DataFrame:
+    """csv: a line for each event; json: one array; signed: the array and its keyed digest, which needs a secret."""
     rows = recent_filter(events, tenant, now, max(1, days))
     if kind == "csv":
         return csv_lines(rows)
     if kind == "json":
-        return json_lines(rows)
+        return json_array(rows)
+    if kind == "signed":
+        if secret is None:
+            raise PermissionError("signed exports need a secret")
+        return signed_arrays(rows, secret)
     raise ValueError(f"unknown export format {kind}")
 
 

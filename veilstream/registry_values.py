@@ -12,6 +12,7 @@ from veilstream import registry as R
 from veilstream.catalog import query
 from veilstream.functions import small as W
 from veilstream.operators import audit as A
+from veilstream.operators import audit_table as S_
 from veilstream.operators import detectors as D
 from veilstream.operators import lookups as L
 from veilstream.operators import metrics as M
@@ -28,6 +29,7 @@ from veilstream.plans import planted as P
 from veilstream.sources import bodies as B
 from veilstream.sources import files as S
 from veilstream.sources import multipart as U
+from veilstream.sources.shared import shared_folder
 from veilstream.streaming import limits as T
 from veilstream.streaming import live as V
 from veilstream.streaming import sse as E
@@ -348,7 +350,10 @@ def audit_recent_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select((F.row_number().over(order) - 1).cast("long").alias("ord"), "id", shown.alias("shown"))
 
 
-_LINE = "'{\"id\":\"' || id || '\",\"action_taken\":\"' || action_taken || '\",\"finding_count\":' || CAST(finding_count AS VARCHAR) || '}'"
+_LINE = (
+    "'{\"id\":\"' || id || '\",\"timestamp\":\"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '\",\"event_type\":\"' || event_type || '\",\"action_taken\":\"' || action_taken"
+    " || '\",\"app_name\":\"' || app_name || '\",\"domain\":' || CAST(to_json(domain) AS VARCHAR) || ',\"user_identity\":\"' || user_identity || '\",\"finding_count\":' || CAST(finding_count AS VARCHAR) || '}'"
+)
 _ARRAY = f"SELECT tenant_id, '[' || string_agg({_LINE}, ',' ORDER BY timestamp, id) || ']' AS events FROM {AUDIT} WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp < TIMESTAMP '2024-01-11 00:00:00' GROUP BY tenant_id"
 _KEY = b"archive key"
 _PADS = ["".join(f"{b ^ pad:02x}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
@@ -358,15 +363,36 @@ def _mac(message: str) -> str:
     return f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode({message}))))"
 
 
-@query(f"SELECT tenant_id, md5(events) AS digest, {_mac('events')} AS signature FROM ({_ARRAY})")
+@query(f"SELECT tenant_id, events, {_mac('events')} AS signature FROM ({_ARRAY})")
 def audit_signed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's events of each tenant as a JSON array with a keyed digest."""
     t = F.col("timestamp")
     rows = P.audit(spark, sf_dir).where((t >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")) & (t < F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")))
-    shown = rows.select("tenant_id", "timestamp", "id", F.struct("id", "action_taken", "finding_count").alias("e"))
-    arrays = shown.groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "e"))).alias("x"))
-    plain = arrays.select("tenant_id", F.to_json(F.transform("x", lambda e: e["e"])).alias("events"))
-    return plain.select("tenant_id", F.md5(F.col("events").cast("binary")).alias("digest"), W.hmac_sha256(F.col("events"), _KEY).alias("signature"))
+    return A.signed_arrays(rows, _KEY)
+
+
+_EXPORTED = f"SELECT '[' || string_agg({_LINE}, ',' ORDER BY timestamp, id) || ']' AS events FROM {AUDIT} WHERE tenant_id = 'tenant2' AND timestamp >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY AND timestamp <= TIMESTAMP '{NOW}'"
+
+
+@query(f"SELECT 'tenant2' AS tenant_id, events, {_mac('events')} AS signature FROM ({_EXPORTED})")
+def audit_signed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two days of a tenant, as the export gives them."""
+    return A.export(P.audit(spark, sf_dir), "signed", "tenant2", F.lit(NOW).cast("timestamp_ntz"), 2, _KEY)
+
+
+@query(
+    f"SELECT id, tenant_id, CAST(CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 1 ELSE synced END AS INT) AS synced, finding_count FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, id) AS nth FROM {AUDIT} WHERE timestamp >= TIMESTAMP '2024-01-08 06:30:00') WHERE nth <= 2000"
+)
+def audit_stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit table on disk: written, marked, purged, cut to its newest rows by tenant, read back."""
+    path = shared_folder(spark, "audit")
+    events = _with_findings(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    A.write_audit(events, path, "key")
+    S_.mark_synced(spark, path, events.select("id").where("CAST(id AS BIGINT) % 5 = 0"))
+    S_.purge_before(spark, path, F.lit("2024-01-08 06:30:00 UTC"))
+    S_.keep_newest(spark, path, 2000)
+    back = A.read_audit(spark, path, "key")
+    return back.select("id", "tenant_id", "synced", F.size("findings").alias("finding_count"))
 
 
 @query(f"SELECT event_id AS id, event_id % 2 = 0 AND row_number() OVER (PARTITION BY event_id % 2 = 0, user_id, opened ORDER BY now, event_id) = 1 AS allowed FROM (WITH RECURSIVE t AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS now FROM events), g AS (SELECT * FROM t WHERE event_id % 2 = 0), w AS (SELECT user_id, min(now) AS opened FROM g GROUP BY user_id UNION ALL SELECT g.user_id, min(g.now) AS opened FROM w JOIN g ON g.user_id = w.user_id AND g.now >= w.opened + 60 GROUP BY g.user_id, w.opened) SELECT t.*, w.opened FROM t ASOF LEFT JOIN w ON t.user_id = w.user_id AND t.now >= w.opened)")
