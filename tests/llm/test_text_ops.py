@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import docs_of
-from veilstream.llm import html_text, license_scan, secret_scan, toxicity
+from veilstream.llm import decontaminate, html_text, license_scan, secret_scan, toxicity
 from veilstream.llm.decontaminate import Matcher, drop_contaminated, find, similarity, words
 from veilstream.llm.html_text import extract, main_text
 from veilstream.llm.trigram_index import query
@@ -163,13 +163,29 @@ def brute_leaks(text, items):
     for i, x in items:
         w = words(x)
         k = min(5, len(w))
-        for s in range(0, len(ws) - len(w) + 1) if w else ():
-            y = similarity(ws[s : s + len(w)], w, k)
+        for s in range(0, max(0, len(ws) - len(w)) + 1) if w else ():
+            window = ws[s : s + len(w)]  # a text shorter than the item is one window
+            y = similarity(window, w, k)
             if y >= 0.8 and y > out.get(i, (0,))[0]:
-                out[i] = (y, s, len(w))
+                out[i] = (y, s, len(window))
     return [(i, *v) for i, v in sorted(out.items())]
 
 
+def test_radius_loses_no_similar_window():
+    """Windows changed at random to a similarity of 0.8 and more: their fingerprints stay within the radius."""
+    rng, seen = random.Random(8), 0
+    for _ in range(600):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 120, 300]))]
+        x = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 45))):
+            x[rng.randrange(len(x))] = "changed"
+        if similarity(x, w, 5) >= 0.8:
+            a, b = (decontaminate._window_fingerprints(decontaminate._shingle_hashes(Matcher._hashes(y), 5), np.array([0]), len(y) - 4)[0] for y in (w, x))
+            assert int(a ^ b).bit_count() <= decontaminate.RADIUS
+            seen += 1
+    assert seen > 200
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     words_ = [f"w{i}" for i in range(300)]
@@ -185,14 +201,18 @@ def test_leaks_against_brute_force(spark):
             at = rng.randint(0, len(ws))
             ws[at:at] = x
         rows.append((n, " ".join(ws)))
-    assert all(sorted(matcher.hits(t)) == brute_leaks(t, items) for _, t in rows if len(t.split()) >= 40)
+    rows += [(1000 + n, " ".join(x.split()[n % 3 : len(x.split()) - n % 2])) for n, (_, x) in enumerate(items * 3)]  # a little shorter than an item
+    assert all(sorted(matcher.hits(t)) == brute_leaks(t, items) for _, t in rows)
     assert matcher.hits(None) == matcher.hits("") == []
     benchmark = spark.createDataFrame([*items, (90, None)], "item_id long, text string")
     docs = docs_of(spark, [*rows, (None, items[4][1]), (999, None)])
-    for block in (1_000_000, 5):
-        hit = {r["doc_id"] for r in find(docs, benchmark, block_words=block).collect()}
+    whole = sorted(map(str, find(docs, benchmark).collect()))
+    for block, bits in ((1_000_000, 26), (60, 26), (5, 10)):
+        found = find(docs, benchmark, block_words=block, map_bits=bits).collect()
+        assert sorted(map(str, found)) == whole
+        hit = {r["doc_id"] for r in found}
         assert None in hit and 999 not in hit
-        kept = drop_contaminated(docs, benchmark, block_words=block)
+        kept = drop_contaminated(docs, benchmark, block_words=block, map_bits=bits)
         assert kept.columns == docs.columns
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - hit | {999}
     assert find(docs, benchmark.limit(0)).count() == 0

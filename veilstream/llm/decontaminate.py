@@ -9,7 +9,8 @@ more than four standard deviations above.)  Candidates are verified by the exact
 the shingle counts.
 
 Words are runs of letters, digits and underscores in lower case; a shingle has five words, or all of an item
-that has fewer.  Items are handled in blocks of bounded size, one pass over the documents each.
+that has fewer.  Items are handled in blocks of bounded size; if there are several, only documents that share a shingle
+with some item are looked at block by block.
 
 Defined results: null and empty texts match nothing, null and wordless items are matched by nothing; a document
 shorter than an item is one window; a text of any length is looked at whole, some thousands of windows at a time;
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from veilstream.llm.common import give_back
+from veilstream.llm.common import give_back, materialise, scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -201,37 +202,110 @@ def matchers(benchmark: DataFrame, threshold: float = SIMILARITY, block_words: i
         yield Matcher(block, threshold)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words for every benchmark item that a document holds."""
-    spark = docs.sparkSession
-    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "similarity": pa.float64(), "first_word": pa.int64(), "n_words": pa.int64()}
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+#: bits of the map of item shingles (8 MB, whatever the size of the benchmark)
+MAP_BITS = 26
+_CHUNK = 1 << 13
 
-    def job(m: Matcher):
-        def run(batches):
-            for batch in batches:
-                rows = [(doc, i, round(x, 6), s, w) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for i, x, s, w in m.hits(text)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds.values())], list(kinds))
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+def _slots(text: str | None, ks: list[int], bits: int) -> np.ndarray:
+    """Places in the map of the text's shingles of these numbers of words."""
+    hashes = Matcher._hashes(words(text))
+    return np.concatenate([np.zeros(0, np.uint64), *(_shingle_hashes(hashes, k) for k in ks)]) >> np.uint64(64 - bits)
 
-    out = spark.createDataFrame([], schema)
-    for m in matchers(benchmark, threshold, block_words):
-        out = out.union(job(m))
-    return out
 
+def _item_map(benchmark: DataFrame, shingle: int, bits: int) -> tuple[list[int], np.ndarray]:
+    """The numbers of words of the items' shingles, and a map of bits in which all of these are set."""
+
+    def run(batches):
+        held, ks = np.zeros(1 << bits, bool), set()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                if n := len(words(text)):
+                    ks.add(min(shingle, n))
+                    held[_slots(text, [min(shingle, n)], bits)] = True
+        packed = np.packbits(held).reshape(-1, min(_CHUNK, len(held) // 8))
+        at = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *(-k for k in ks)], pa.int32()), pa.array([*(x.tobytes() for x in packed[at]), *(b"" for _ in ks)], pa.binary())], ["at", "bits"])
+
+    def joined(key, table):
+        parts = table["bits"].to_pylist()
+        return pa.table({"at": table["at"].slice(0, 1), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()], pa.binary())})
+
+    kind = "at int, bits binary"
+    out, ks = np.zeros((1 << bits) // 8, np.uint8), []
+    for row in benchmark.select("text").mapInArrow(run, kind).groupBy("at").applyInArrow(joined, kind).toLocalIterator():
+        if row["at"] < 0:
+            ks.append(-row["at"])
+        else:
+            part = np.frombuffer(bytes(row["bits"]), np.uint8)
+            out[row["at"] * len(part) : (row["at"] + 1) * len(part)] = part
+    return sorted(ks), out
+
+
+def _sharing(docs: DataFrame, ks: list[int], item_map: np.ndarray, bits: int, shared: bool = True) -> DataFrame:
+    """The rows of docs that share a shingle with some item (or none, if not shared); a few more may be among the first."""
+
+    def run(batches):
+        held = np.unpackbits(item_map).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(held[_slots(x, ks, bits)].any()) == shared for x in batch["text"].to_pylist()], pa.bool_()))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
 
-    def job(docs: DataFrame, m: Matcher) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array([not m.hits(x) for x in batch["text"].to_pylist()], pa.bool_()))
-            give_back()
+_FOUND = {"doc_id": pa.int64(), "item_id": pa.int64(), "similarity": pa.float64(), "first_word": pa.int64(), "n_words": pa.int64()}
+FOUND = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
-        return docs.mapInArrow(run, docs.schema)
 
-    for m in matchers(benchmark, threshold, block_words):
-        docs = job(docs, m)
-    return docs
+def _hits(docs: DataFrame, m: Matcher) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows = [(doc, i, round(x, 6), s, w) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for i, x, s, w in m.hits(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_FOUND.values())], list(_FOUND))
+
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+
+
+def _without_hits(docs: DataFrame, m: Matcher) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not m.hits(x) for x in batch["text"].to_pylist()], pa.bool_()))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, block_words: int = BLOCK_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words for every benchmark item that a document holds.
+
+    A benchmark of one block is looked for in one pass.  Of a larger one the documents that share a shingle with any
+    item are written down first, by a map of bits, and block after block is looked for in these: the driver holds
+    two blocks at most, and the documents are read once.
+    """
+    spark = docs.sparkSession
+    blocks = matchers(benchmark, threshold, block_words)
+    held = [m for m in (next(blocks, None), next(blocks, None)) if m is not None]
+    if len(held) < 2:
+        return _hits(docs, held[0]) if held else spark.createDataFrame([], FOUND)
+    near = materialise(_sharing(docs.select("doc_id", "text"), *_item_map(benchmark, SHINGLE, map_bits), map_bits), "sharing")
+    paths = []
+    while held:
+        paths.append(scratch(spark, "leaks"))
+        _hits(near, held.pop(0)).write.parquet(paths[-1])
+        held += [m for m in [next(blocks, None)] if m is not None]
+    return spark.read.schema(FOUND).parquet(*paths)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, block_words: int = BLOCK_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns."""
+    blocks = matchers(benchmark, threshold, block_words)
+    held = [m for m in (next(blocks, None), next(blocks, None)) if m is not None]
+    if len(held) < 2:
+        return _without_hits(docs, held[0]) if held else docs
+    ks, item_map = _item_map(benchmark, SHINGLE, map_bits)
+    near = materialise(_sharing(docs, ks, item_map, map_bits), "sharing")
+    while held:
+        near = materialise(_without_hits(near, held.pop(0)), "no-leaks")
+        held += [m for m in [next(blocks, None)] if m is not None]
+    return _sharing(docs, ks, item_map, map_bits, shared=False).unionByName(near)
