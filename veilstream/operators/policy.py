@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from copy import deepcopy
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilstream.operators.keywords import KeywordRule
+from veilstream.operators.keywords import UNROLLED, KeywordRule
 from veilstream.operators.rules import ACTIONS, action_of, matched, rank
 
 # The default action of each category.
@@ -60,7 +61,13 @@ def active(findings: Column, p: dict) -> Column:
 def finding_action(f: Column, p: dict) -> Column:
     """A keyword's own action (first rule of that pattern), else its category's, else the default."""
     out = F.when(F.lit(False), F.lit(""))
-    for rule in keyword_rules(p):
+    rules = keyword_rules(p)
+    if len(rules) > UNROLLED:  # one constant, however many
+        first = {rule.pattern: rule.action for rule in reversed(rules)}
+        own = F.try_element_at(F.from_json(F.lit(json.dumps(first)), "map<string,string>"), f["match_name"])
+        out = out.when((f["category"] == "CustomKeyword") & own.isNotNull(), own)
+        rules = []
+    for rule in rules:
         out = out.when((f["category"] == "CustomKeyword") & (f["match_name"] == rule.pattern), F.lit(rule.action))
     for category, action in p["actions"].items():
         out = out.when(f["category"] == category, F.lit(action))

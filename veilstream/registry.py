@@ -469,6 +469,23 @@ def machine_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.load(spark, sf_dir, "customer").select("c_custkey", W.fingerprint(F.col("c_custkey").cast("string"), F.col("c_name")).alias("fingerprint"))
 
 
+_WORDS = "regexp_extract_all(lower(text), '[a-z]{4,}')"
+_LISTED = f"SELECT DISTINCT unnest({_WORDS}) AS word FROM benchmark"
+
+
+@query(
+    f"SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_findings, coalesce(words, '') AS words FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(DISTINCT word, ',' ORDER BY word) AS words"
+    f" FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS word FROM documents) JOIN ({_LISTED}) USING (word) GROUP BY doc_id) USING (doc_id)"
+)
+def many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of four letters and more of the benchmark as a keyword of its own, looked for in all documents."""
+    words = P.load(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).distinct()
+    rules = [KeywordRule(r["word"]) for r in words.orderBy("word").toLocalIterator()]  # a policy's list of keywords
+    found = P.spread(_documents(spark, sf_dir)).withColumn("f", keyword_findings(D.prepared(F.col("text")), rules))
+    named = F.array_join(F.array_sort(F.array_distinct(F.transform("f", lambda f: f["match_name"]))), ",")
+    return found.select("doc_id", F.size("f").alias("n_findings"), named.alias("words"))
+
+
 # ---- streams --------------------------------------------------------------------------------------
 
 @query(f"SELECT tenant_id, CAST(epoch(date_trunc('hour', timestamp)) AS BIGINT) AS hour, count(*) AS events, CAST(sum(finding_count) AS BIGINT) AS findings FROM {AUDIT} GROUP BY 1, 2")
