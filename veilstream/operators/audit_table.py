@@ -42,8 +42,9 @@ def _staging(path: str) -> str:
 def _replace(spark: SparkSession, path: str, touched: DataFrame, rows: DataFrame) -> None:
     """touched: _tenant, _day; rows: all that these folders hold from now on."""
     stage = f"{_staging(path)}/{uuid.uuid4().hex}"
-    # written once: the rows must not depend on a table that is being changed
-    rows.write.partitionBy(*PARTS).parquet(f"{stage}/rows")
+    # written once: the rows must not depend on a table that is being changed.  A folder's rows come together, unless
+    # they are many: then they are split
+    rows.hint("rebalance", *PARTS).write.partitionBy(*PARTS).parquet(f"{stage}/rows")
     folders = stored(spark, path).select(*PARTS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"))
     folders.join(touched, _same(folders, touched)).select("_tenant", "_day", "folder").distinct().write.parquet(f"{stage}/touched")
     _apply(spark, path, stage)
