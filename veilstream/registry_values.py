@@ -454,13 +454,13 @@ def policy_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POLICIES = "SELECT user_id % 5 AS tenant, ts AS since, event_id AS version, CASE event_id % 3 WHEN 0 THEN 'Block' WHEN 1 THEN 'Redact' ELSE 'Warn' END AS action FROM events WHERE event_type = 'signup'"
 
 
-@query(f"SELECT e.event_id, p.version, p.action FROM (SELECT event_id, ts, user_id % 5 AS tenant FROM events) e ASOF LEFT JOIN ({_POLICIES}) p ON e.tenant = p.tenant AND e.ts >= p.since")
+@query(f"SELECT e.event_id, coalesce(p.version, -1) AS version, coalesce(p.action, 'none') AS action FROM (SELECT event_id, ts, user_id % 5 AS tenant FROM events) e ASOF LEFT JOIN ({_POLICIES}) p ON e.tenant = p.tenant AND e.ts >= p.since")
 def policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event beside the policy version of its tenant that was in force at its time."""
+    """Each event beside the policy version of its tenant that was in force at its time; -1 before the first."""
     events = P.load(spark, sf_dir, "events")
     versions = spark.sql(_POLICIES.replace("FROM events", "FROM {events}"), events=events)
     rows = events.select("event_id", "ts", (F.col("user_id") % 5).alias("tenant"))
-    return as_of(rows, versions, "ts", "since", "version", ["tenant"]).select("event_id", "in_force.version", "in_force.action")
+    return as_of(rows, versions, "ts", "since", "version", ["tenant"]).select("event_id", F.coalesce("in_force.version", F.lit(-1)).alias("version"), F.coalesce("in_force.action", F.lit("none")).alias("action"))
 
 
 @query("SELECT tenant, seq, version FROM (SELECT user_id % 5 AS tenant, event_id AS seq, event_id % 4 = 3 AS central, lag(event_id % 4 = 3) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS before, event_id AS version FROM events) WHERE central AND NOT before")
