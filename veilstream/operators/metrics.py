@@ -24,6 +24,29 @@ def latency_histogram(seconds: DataFrame, column: str = "seconds") -> DataFrame:
     return sums.select(F.inline(rows))
 
 
+def latency_counters(seconds: DataFrame, by: list[str], column: str = "seconds") -> DataFrame:
+    """by, buckets (cumulative counts, one a bound), n, total: sums only, so counters of parts add up, and a stream keeps
+    one small row a combination in output mode update."""
+    x = F.col(column)
+    sums = seconds.groupBy(*by).agg(*(F.count_if(x <= b).alias(f"_b{i}") for i, b in enumerate(BOUNDS)), F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("total"))
+    return sums.select(*by, F.array(*(F.col(f"_b{i}") for i in range(len(BOUNDS)))).alias("buckets"), "n", "total")
+
+
+def merged_counters(counters: DataFrame, by: list[str]) -> DataFrame:
+    """Counters of several parts (machines, days) as one."""
+    sums = counters.groupBy(*by).agg(*(F.sum(F.get("buckets", F.lit(i))).alias(f"_b{i}") for i in range(len(BOUNDS))), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.select(*by, F.array(*(F.col(f"_b{i}") for i in range(len(BOUNDS)))).alias("buckets"), "n", "total")
+
+
+def quantile(q: float, buckets: str = "buckets", n: str = "n") -> Column:
+    """The value below which a share q lies, even inside its bucket; the last bound beyond it, null without values."""
+    bounds, counts, rank = F.array(*map(F.lit, BOUNDS)), F.col(buckets), F.col(n) * F.lit(q)
+    i = F.size(F.filter(counts, lambda c: c < rank))  # cumulative: all below the one that is looked for
+    low, below = F.coalesce(F.get(bounds, i - 1), F.lit(0.0)), F.coalesce(F.get(counts, i - 1), F.lit(0))
+    inside = low + (F.get(bounds, i) - low) * F.try_divide(rank - below, F.get(counts, i) - below)
+    return F.when(F.col(n) > 0, F.when(i == len(BOUNDS), F.lit(BOUNDS[-1])).otherwise(F.coalesce(inside, low)))
+
+
 def latency_lines(seconds: DataFrame, name: str, column: str = "seconds") -> DataFrame:
     """ord, line: the whole histogram family: buckets, sum and count."""
     x = F.col(column)

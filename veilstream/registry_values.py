@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ from veilstream.operators.policy import policy
 from veilstream.operators.redact import redact_any
 from veilstream.operators.risk import context_points, score
 from veilstream.operators.rules import matched
+from veilstream.plans import boxes as N
 from veilstream.plans import oracle as O
 from veilstream.plans import planted as P
 from veilstream.sources import bodies as B
@@ -257,6 +259,29 @@ def scanned_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.extract_text(rows, {k: S.pdf_extractor(lambda b: "sparse", o) for k, o in engines.items()}).select("event_id", "text")
 
 
+_LINES = "array_to_string(list_transform(string_split(text, chr(10)), lambda x: {}), chr(10))"
+_ROW = "split_part(x, ' ', 1) || chr(9) || chr(9) || substr(x, length(split_part(x, ' ', 1)) + 2)"
+_FORMS_OF = {"xlsx": _LINES.format(_ROW), "ods": _LINES.format("CASE WHEN x = '' THEN 'row' ELSE 'row' || chr(9) || x END")}
+_IN_OFFICE = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {_FORMS_OF.get(e, 'text')}" for i, (e, _) in enumerate(N.OFFICE)) + " END"
+
+
+def _read_back(spark: SparkSession, sf_dir: str, makers: list) -> DataFrame:
+    read = S.extract_text(N.packed(P.load(spark, sf_dir, "documents").select("doc_id", "text"), makers))
+    return read.select("doc_id", "ext", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "error")
+
+
+@query(f"SELECT doc_id, {_turn([e for e, _ in N.OFFICE], 'doc_id')} AS ext, length(text) AS n_chars, md5(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, {_IN_OFFICE} AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
+def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a sheet, as slides or in an open format, read back."""
+    return _read_back(spark, sf_dir, N.OFFICE)
+
+
+@query("SELECT doc_id, 'pdf' AS ext, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents")
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF (tables or streams of references, escaped or hexadecimal strings, damaged ones), read back."""
+    return _read_back(spark, sf_dir, N.PDF)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 400 ELSE 200 END AS status, CASE WHEN event_id % 3 <> 2 THEN CAST(event_id AS VARCHAR) END AS content, CASE WHEN event_id % 2 = 0 THEN 'chat.example.com (f.txt)' ELSE 'f.txt' END AS label FROM events")
 def file_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 payloads, malformed ones among them, and the label of their events."""
@@ -326,6 +351,24 @@ def multipart_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.parse_parts(_forms(spark, sf_dir)).select("request_id", "part_no", "name", "filename", F.col("content").cast("string").alias("content"))
 
 
+_OPEN = "doc_id % 4 IN (1, 2)"
+
+
+@query(f"SELECT doc_id, {_turn([None, 'gzip', 'zlib', 'gzip'], 'doc_id')} AS kind, CASE WHEN {_OPEN} THEN action ELSE 'Allow' END AS action, {_OPEN} AND action = 'Redact' AS masked, CASE WHEN {_OPEN} AND action IN ('Block', 'RequireApproval') THEN NULL WHEN {_OPEN} THEN sanitized ELSE text END AS sent, NOT ({_OPEN} AND action IN ('Block', 'Redact', 'RequireApproval')) AS same FROM ({R._inspect_oracle(R._ALL, CASES)}) JOIN {CASES} USING (doc_id)")
+def compressed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed JSON bodies, masked and written back in their own form; plain ones and telemetry as they were."""
+    out = U.masked_bodies(N.packed(P.cases(spark, sf_dir), N.BODIES), policy())
+
+    def opened(frames):
+        for pdf in frames:
+            bodies = [None if x is None else json.loads(B.inflate(bytes(x))[1] or bytes(x)) for x in pdf["sent"]]
+            pdf["same"] = [x is not None and bytes(x) == bytes(y) for x, y in zip(pdf["sent"], pdf["content"], strict=True)]
+            pdf["sent"] = [None if x is None else x.get("prompt", x.get("note")) for x in bodies]
+            yield pdf.drop(columns="content")
+
+    return out.select("doc_id", "kind", "action", "masked", "sent", "content").mapInPandas(opened, "doc_id long, kind string, action string, masked boolean, sent string, same boolean")
+
+
 # ---- audit, metrics, streams ----------------------------------------------------------------------
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS id, 't' AS tenant_id, 'prompt' AS event_type, action AS action_taken, 'unknown' AS app_name, 'unknown' AS domain, 'unknown' AS user_identity, n_findings AS finding_count, 0 AS synced FROM ({R._inspect_oracle(R._ALL, CASES)})")
@@ -426,6 +469,19 @@ def latency_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.round(F.substring_index("line", " ", -1).cast("double"), 3).alias("total"))
 
 
+_AT = "list_position(list_transform(b, lambda c: c >= q * n), true)"
+_WITHIN = f"CASE WHEN i IS NULL THEN {M.BOUNDS[-1]} ELSE low + (bounds[i] - low) * (q * n - below) / (b[i] - below) END"
+_COUNTED = f"SELECT event_type, [{', '.join(f'count(*) FILTER (value / 64 <= {b})' for b in M.BOUNDS)}] AS b, count(value) AS n, {M.BOUNDS} AS bounds FROM events GROUP BY event_type"
+
+
+@query(f"SELECT event_type, n, max(CASE WHEN q = 0.5 THEN v END) AS p50, max(CASE WHEN q = 0.95 THEN v END) AS p95 FROM (SELECT event_type, n, q, round({_WITHIN}, 6) AS v FROM (SELECT *, CASE WHEN i > 1 THEN bounds[i - 1] ELSE 0 END AS low, CASE WHEN i > 1 THEN b[i - 1] ELSE 0 END AS below FROM (SELECT *, {_AT} AS i FROM ({_COUNTED}), (VALUES (0.5), (0.95)) AS t(q)))) GROUP BY event_type, n")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by type of event, read off bucket counters that were made by user and then merged."""
+    rows = P.load(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("part"), (F.col("value") / 64).alias("seconds"))
+    merged = M.merged_counters(M.latency_counters(rows, ["event_type", "part"]), ["event_type"])
+    return merged.select("event_type", "n", F.round(M.quantile(0.5), 6).alias("p50"), F.round(M.quantile(0.95), 6).alias("p95"))
+
+
 @query("SELECT profile_id, max(last_seen) AS last_seen FROM (SELECT CAST(user_id AS VARCHAR) AS profile_id, event_id AS last_seen FROM events WHERE event_id % 3 = 0 UNION ALL SELECT CAST(user_id AS VARCHAR), event_id FROM events WHERE event_id % 3 = 1) GROUP BY profile_id")
 def heartbeat_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known profiles and more beats, a third of them of no profile."""

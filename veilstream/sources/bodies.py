@@ -58,15 +58,31 @@ def substitute(body: str, sanitized: str) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def inflate(body: bytes) -> tuple[str | None, str | None]:
-    """(kind, text) of a gzip or zlib body; (None, None) for others."""
-    kind = "gzip" if body[:2] == b"\x1f\x8b" else "zlib" if len(body) > 1 and body[0] == 0x78 and (body[0] << 8 | body[1]) % 31 == 0 else None
+#: bytes that a compressed body may hold
+MOST_INFLATED = 25 << 20
+
+
+def inflate(body: bytes, most: int = MOST_INFLATED) -> tuple[str | None, str | None]:
+    """(kind, text) of a gzip or zlib body; (None, None) for others: without a known head, cut off or with bytes behind
+    the end, of another encoding than UTF-8, or larger than allowed."""
+    kind = "gzip" if body[:2] == b"\x1f\x8b" else "zlib" if len(body) > 2 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0 else None
+    if kind is None:
+        return None, None
+    engine = zlib.decompressobj(wbits=31 if kind == "gzip" else 15)
     try:
-        return (kind, zlib.decompress(body, 47).decode("utf-8", "replace")) if kind else (None, None)
-    except zlib.error:
+        out = engine.decompress(body, most + 1)
+        if len(out) > most or not engine.eof or engine.unused_data:
+            return None, None
+        return kind, out.decode()
+    except (zlib.error, UnicodeDecodeError):
         return None, None
 
 
+def deflate(text: str, kind: str) -> bytes:
+    engine = zlib.compressobj(wbits=31 if kind == "gzip" else 15)
+    return engine.compress(text.encode()) + engine.flush()
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_locations", T.IntegerType()), T.StructField("is_json", T.BooleanType())]))
 def _extracted(body: pd.Series) -> pd.DataFrame:
     def one(b):

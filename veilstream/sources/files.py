@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 
 from veilstream.operators.redact import TEXT_EXTENSIONS
 from veilstream.operators.rules import enforced
+from veilstream.sources.packages import Package, open_document, sheets, slides
+from veilstream.sources.pdf_text import pdf_text
 
 IMAGES = ["png", "jpg", "jpeg", "bmp", "tiff", "tif", "webp", "gif"]
 # Declared types and the extensions they stand for.
@@ -118,12 +118,14 @@ def document_text(xml: str) -> str:
 
 
 def _docx(content: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return document_text(z.read("word/document.xml").decode())
+    return document_text(Package(content).read("word/document.xml").decode())
 
 
-#: extension -> text of the bytes; models (OCR, PDF readers, converters) register theirs here
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"docx": _docx, "docm": _docx}
+#: extension -> text of the bytes; models (OCR, converters) register theirs here, as in pdf_extractor(pdf_text, ocr)
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {
+    "docx": _docx, "docm": _docx, "xlsx": sheets, "xlsm": sheets, "pptx": slides, "pptm": slides,
+    "odt": open_document, "ods": open_document, "odp": open_document, "pdf": pdf_text,
+}
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, most_bytes: int = 20 << 20) -> DataFrame:

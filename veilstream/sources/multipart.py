@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import gzip
+import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilstream.operators.inspect import inspect
 from veilstream.operators.lookups import upload_action
-from veilstream.sources.bodies import content_places, inflate, substitute
+from veilstream.sources.bodies import content_places, deflate, inflate, substitute, value_at
 from veilstream.sources.files import extension, extract_text, lossy_text
 
 PARTS = "request_id string, part_no int, name string, filename string, mime string, content binary"
@@ -72,20 +73,51 @@ def scanned(requests: DataFrame, p: dict) -> DataFrame:
 
 def rewritten(body: bytes, mask) -> bytes | None:
     """A compressed JSON body with its content field masked, compressed as it was; None if there is nothing to scan."""
-    import json
-
     kind, text = inflate(body)
-    if kind is None:
-        return None
+    places = _places(text)
+    return deflate(substitute(text, mask(value_at(json.loads(text), places[0]))), kind) if places else None
+
+
+def _places(text: str | None) -> list[tuple]:
     try:
-        value = json.loads(text)
-    except ValueError:
-        return None
-    places = content_places(value)
-    if not places:
-        return None
-    found = value
-    for k in places[0]:
-        found = found[k]
-    out = substitute(text, mask(found)).encode()
-    return gzip.compress(out, mtime=0) if kind == "gzip" else zlib.compress(out)
+        return content_places(json.loads(text)) if text else []
+    except (ValueError, RecursionError):
+        return []
+
+
+@F.pandas_udf(T.StructType().add("kind", "string").add("text", "string").add("fields", "integer"))
+def _opened(body: pd.Series) -> pd.DataFrame:
+    def one(b):
+        kind, text = inflate(bytes(b)) if b is not None else (None, None)
+        places = _places(text)
+        value = json.loads(text) if places else None
+        return kind, "\n".join(value_at(value, p) for p in places) if places else None, len(places)
+
+    return pd.DataFrame([one(b) for b in body], columns=["kind", "text", "fields"])
+
+
+def masked_bodies(bodies: DataFrame, p: dict, body: str = "content") -> DataFrame:
+    """Rows with a binary body, with kind (gzip, zlib, or null for what is no compressed text), text (what a person wrote,
+    null if there is none), action, findings, sent (null if it is stopped) and masked (whether sent is another body).
+
+    JSON with content fields is inspected; where the action masks and there is one field, the body is written anew in its
+    own form.  JSON with several fields cannot be written back: it is sent as it is and masked is false, as for plain
+    bodies.  All others (no content field, no JSON, damaged, null) are sent byte for byte."""
+    mine = [c for c in bodies.columns if c in ("text", "kind", "fields", "findings", "risk", "action", "matched_rules", "sanitized", "sent", "masked")]
+    large = F.octet_length(body) > MOST_BYTES
+    opened = bodies.drop(*mine).withColumn("_open", _opened(F.when(~large, F.col(body)))).withColumn("_scanned", F.col("_open.text").isNotNull()).withColumn("text", F.coalesce("_open.text", F.lit("")))
+    found = inspect(opened, p).select("*", "_open.kind", "_open.fields").drop("risk", "matched_rules")
+    kept = [f for f in found.schema.fields if f.name not in ("_open", "fields", "sanitized")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sent, masked = [], []
+            for x, action, fields, text in zip(*(batch[c].to_pylist() for c in (body, "action", "fields", "sanitized")), strict=True):
+                new = rewritten(x, lambda _, text=text: text) if action == "Redact" and fields == 1 else None
+                masked.append(new is not None)
+                sent.append(None if action in ("Block", "RequireApproval") else x if new is None else new)
+            columns = [batch[f.name] for f in kept] + [pa.array(sent, pa.binary()), pa.array(masked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["sent", "masked"])
+
+    written = found.mapInArrow(run, T.StructType([*kept, T.StructField("sent", T.BinaryType()), T.StructField("masked", T.BooleanType())]))
+    return written.withColumn("text", F.when(F.col("_scanned"), F.col("text"))).drop("_scanned")
