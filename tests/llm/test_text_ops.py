@@ -109,6 +109,48 @@ def test_the_ratios_decide(monkeypatch):
     assert {extract(x) for x in pages} == {""}
 
 
+_LONG = "This is a rather long paragraph of an article that goes on and on with many words. " * 6
+_NAV, _FOOT = "<nav><a href=x>Home</a><a href=y>News</a></nav>", "<footer>Copyright</footer>"
+
+
+def _articles(*texts: str) -> str:
+    return "".join(f"<article>{''.join(f'<p>{p}</p>' for p in t.split('|'))}</article>" for t in texts)
+
+
+@pytest.mark.parametrize("around", ["{}", "<main>{}</main>", "<div>{}</div>"])
+def test_articles_side_by_side(around):
+    """An article stays beside one of much longer lines, in either order; four of very different lengths too."""
+    short = "A short story.|Another short line."
+    for texts in ((f"{_LONG}|{_LONG}|{_LONG}", short), (short, f"{_LONG}|{_LONG}"), tuple(f"{'word ' * n}|{'word ' * n}" for n in (4000, 400, 40, 5))):
+        assert extract(f"<html><body>{_NAV}{around.format(_articles(*texts))}{_FOOT}</body></html>") == "\n\n".join(p.strip() for t in texts for p in t.split("|"))
+
+
+def test_headings_beside_the_article():
+    article, text = _articles(f"{_LONG}|{_LONG}"), "\n\n".join([_LONG.strip()] * 2)
+    page = lambda head, tail="": f"<html><body>{_NAV}<main>{head}{article}{tail}</main>{_FOOT}</body></html>"
+    assert extract(page("<h2>Menu</h2><div><h1>The <i>title</i></h1></div><h2>Below it</h2>")) == f"The title\n\nBelow it\n\n{text}"
+    for head in ("<h2>Menu</h2>", "<nav><h1>Menu</h1></nav>", "<h1><a href=x>All news</a></h1>", '<div class="banner"><h1>Offer</h1></div>'):
+        assert extract(page(head)) == text
+    assert extract(page("<h1>T</h1>", "<h1>Further</h1>")) == f"T\n\n{text}"
+
+
+def test_teasers_and_comments_beside_an_article_go():
+    cards = '<article><h3><a href="x">Another headline to be clicked</a></h3><p>Teaser.</p></article>' * 3
+    remarks = '<div class="comments"><article><p>I do not agree with this at all.</p></article></div><aside><article><p>Read us.</p></article></aside>'
+    assert extract(f"<html><body>{_NAV}<main>{_articles(_LONG + '|' + _LONG)}<div>{cards}</div>{remarks}</main></body></html>") == "\n\n".join([_LONG.strip()] * 2)
+
+
+def test_many_articles_take_linear_time():
+    def seconds(n):
+        page, start = f"<main>{_articles('long text ' * 3000, *(('w ' * (1 + i % 7)) for i in range(n)))}</main>", time.perf_counter()
+        extract(page)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.3
+
+
+
 @pytest.mark.parametrize("piece", ["<div>x", "<div class='ad'>x", "<p>x", "<b><i>x", "</div>", "<li>x", "<ul><li>x", "<td>x<tr>", "<article>x", "<a>x", "<h1>x", "&amp;x ", "<header><h2>x", "<", "<!--", "<!", "</", "<?x", "<a href='", '<a b="c'])
 def test_long_pages_take_time_in_proportion(piece):
     def took(n):

@@ -8,7 +8,8 @@ the lines of each part, and a threshold splits all of them into two clusters.
 
 The clusters decide.  Lines of the upper one vote, with their characters, for the elements around them; the innermost
 element that holds nearly all of the votes (the article around it, if there is one) is the content region.  All its
-lines are kept, however short, but for those of parts whose own lines are mostly in the lower cluster.
+lines are kept, however short, but for those of parts whose own lines are mostly in the lower cluster.  Beside an article
+its main element's other articles are split by clusters of their own, and the headings before it count from the h1 on.
 
 All steps are linear in the page: elements and parts point to their parents, and sums go up these pointers once.
 
@@ -266,15 +267,69 @@ def _weights(p: _Lines, size: np.ndarray, part: np.ndarray) -> np.ndarray:
     return weight[part]
 
 
-def clusters(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Whether each line is in the upper cluster of the smoothed ratios; smoothing does not cross from part to part."""
+def smoothed(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Ratios smoothed along the lines of each part."""
     smooth = np.empty(len(ratio))
     order = np.argsort(part, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         smooth[own] = _smoothed(ratio[own], SIGMA)
+    return smooth
+
+
+def upper_cluster(smooth: np.ndarray) -> np.ndarray:
+    """Whether each line is in the upper one of the two clusters of the smoothed ratios."""
     return (smooth >= _threshold(smooth)) & (smooth > 0)
 
 
+def clusters(ratio: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Whether each line is in the upper cluster of the page's ratios, smoothed."""
+    return upper_cluster(smoothed(ratio, part))
+
+
+def _inherited(p: _Lines, own) -> list[int]:
+    """For each element the innermost element around it (or itself) that own is true for, 0 if there is none."""
+    out = [0]
+    for n in range(1, len(p.up)):
+        out.append(n if own(n) else out[p.up[n]])
+    return out
+
+
+def _beside(p: _Lines, best: int, element: np.ndarray, free: np.ndarray, every: np.ndarray, weight: np.ndarray, ratio: np.ndarray, part: np.ndarray) -> set[int]:
+    """Elements that belong to the page's text beside an article: other articles of its main element (or with its
+    parent), and headings of the main element before them, from its h1 on.
+
+    An article with much shorter lines is in the lower cluster with all that is no text, so lines outside of the articles
+    that are kept, smoothed article by article, are split again: an article is kept if most of its lines are in the upper cluster then, and four fifths
+    of its characters are outside links.  Each round keeps those with the longest lines left; there are few rounds.
+    """
+    main = _inherited(p, lambda n: p.names[n] == "main")
+    outer = [0]
+    for n in range(1, len(p.up)):
+        outer.append(outer[p.up[n]] or (n if p.names[n] == "article" else 0))
+    if outer[best] != best:
+        return {best}
+    of = np.array(outer)[element]
+    kept = {best}
+    lines, chars, plain = (np.bincount(of, w, minlength=len(p.up)) for w in (np.ones(len(of)), every, free))
+    near = {n for n in set(of.tolist()) - {0, best} if main[n] == main[best] and (main[n] or p.up[n] == p.up[best]) and 5 * plain[n] >= 4 * chars[n]}
+    smooth = smoothed(ratio, part * len(p.up) + of) if near else ratio
+    while near:
+        rest = np.flatnonzero(~np.isin(of, list(kept)))
+        above = np.bincount(of[rest], upper_cluster(smooth[rest]), minlength=len(p.up))
+        more = {n for n in near if 2 * above[n] > lines[n]}
+        if not more:
+            break
+        kept |= more
+        near -= more
+    if main[best]:
+        heading = _inherited(p, lambda n: p.names[n] in HEADINGS)
+        first = int(np.flatnonzero(np.isin(of, list(kept)))[0])
+        before = [heading[e] for i, e in enumerate(element[:first].tolist()) if heading[e] and main[e] == main[best] and not outer[e] and weight[i] and free[i]]
+        title = next((i for i, n in enumerate(before) if p.names[n] == "h1"), len(before))
+        kept |= set(before[title:])
+    return kept
+
+
 def extract(html: str | None) -> str:
     p = _Lines()
     p.feed(html or "")
@@ -285,7 +340,8 @@ def extract(html: str | None) -> str:
     tags, free, every, element, part = np.array(p.rows, np.int64).T
     weight = _weights(p, every, part)
     shown = free if (weight * free).any() else every  # a text of nothing but links
-    chosen = clusters(weight * shown / np.maximum(1, tags), part)
+    ratio = weight * shown / np.maximum(1, tags)
+    chosen = clusters(ratio, part)
     if not chosen.any():
         return ""
     # a part stays if the upper cluster has half of its own characters, one without any if the part around it does
@@ -302,9 +358,10 @@ def extract(html: str | None) -> str:
     while n and p.names[n] not in ("article", "main"):
         n = p.up[n]
     best = n or best
+    roots = _beside(p, best, element, free, every, weight, ratio, part) if p.names[best] == "article" else {best}
     below = [best == 0]
     for n in range(1, len(p.up)):
-        below.append(n == best or below[p.up[n]])
+        below.append(n in roots or below[p.up[n]])
     return "\n\n".join(" ".join(words) for words, e, x in zip(p.words, element.tolist(), part.tolist(), strict=True) if below[e] and stays[x])
 
 
