@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import docs_of
 from veilstream.llm.components import roots
-from veilstream.llm.simhash import DROP_BLOCKS, DROP_THRESHOLD, DROP_TOTAL, confirmed, drop_near_duplicates, fingerprint, near_duplicates, near_links, similar_groups, two_fingerprints
+from veilstream.llm.simhash import DROP_BLOCKS, DROP_THRESHOLD, DROP_TOTAL, confirmed, drop_near_duplicates, fingerprint, near_duplicates, near_links, similar_groups, two_fingerprints, wide_links
 from veilstream.llm.suffix_dedup import remove_repeats
 
 
@@ -65,6 +65,26 @@ def test_links_connect_exactly_what_is_near(spark, blocks, tile):
     assert [got.get(i, i) for i in range(len(fps))] == components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
 
 
+@pytest.mark.parametrize("chunk", [1 << 19, 40])
+def test_wide_links_against_all_pairs(spark, chunk):
+    rng = random.Random(5)
+    fps = set()
+    for i in range(120):
+        x, y = rng.getrandbits(64), rng.getrandbits(64)
+        for _ in range(rng.randint(1, 4)):  # chains whose steps lie on either side of both bounds
+            fps.add((x, y))
+            x, y = (v ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 6, 11, 12, 17]))) for v in (x, y))
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(signed(x), signed(y), i) for i, (x, y) in enumerate(fps)], "fp long, fp2 long, id long")
+
+    def linked(i, j):
+        differ = [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)]
+        return min(differ) <= DROP_THRESHOLD and sum(differ) <= DROP_TOTAL
+
+    got = {r["node"]: r["root"] for r in roots(wide_links(nodes, DROP_THRESHOLD, DROP_TOTAL, DROP_BLOCKS, chunk)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == components(len(fps), linked)
+
+
 def test_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(300, 300)]
     got = {r["node"]: r["root"] for r in roots(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -39,6 +39,8 @@ _STEP = 1 << 16
 _PAIRS = 1 << 20
 #: fingerprints that are sent to their anchors at a time
 _ROWS = 2048
+#: fingerprints of a chunk at most, and chunks of a table that is not small: their pairs are the tasks
+CHUNK, LEAST_CHUNKS = 1 << 19, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -159,8 +161,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 #: what is sent to a bucket; spot: 31 bits of the anchor's name, and whether this is the fingerprint's home.  Anchors of
 #: one bucket that share their bits are compared as one, which finds no more and no less.
-_SHORT = np.dtype([("spot", "<u4"), ("fp", "<u8"), ("id", "<i8")])
-_LONG = np.dtype([*_SHORT.descr, ("fp2", "<u8")])
+_RECORD = np.dtype([("spot", "<u4"), ("fp", "<u8"), ("id", "<i8")])
 
 
 class Forest:
@@ -183,8 +184,14 @@ class Forest:
                 return x
             x = y
 
+    def links(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(name, smallest name connected to it) of all that are connected to a smaller one."""
+        root = self.find(np.arange(len(names)))
+        moved = root != np.arange(len(names))
+        return names[moved], names[root[moved]]
 
-def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def _links_here(rec: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the records of some anchors: (node, smallest node connected to it here)."""
     rec = rec[np.argsort(rec["spot"] >> np.uint32(1), kind="stable")]
     anchor, at_home = rec["spot"] >> np.uint32(1), (rec["spot"] & np.uint32(1)).astype(bool)
@@ -194,16 +201,10 @@ def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tu
     size = np.diff(edge)
     homes = np.add.reduceat(at_home.astype(np.int64), edge[:-1])
     fp = rec["fp"].copy()
-    fp2 = rec["fp2"].copy() if total is not None else fp
 
     def tell(a, b):
-        differ = np.bitwise_count(fp[a] ^ fp[b])
-        near = differ <= threshold
-        a, b = a[near], b[near]
-        if total is not None:
-            near = differ[near] + np.bitwise_count(fp2[a] ^ fp2[b]) <= total
-            a, b = a[near], b[near]
-        forest.join(node[a], node[b])
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= threshold
+        forest.join(node[a[near]], node[b[near]])
 
     # small anchors together: every home row against every row of its anchor
     work = homes * size
@@ -224,19 +225,11 @@ def _links_here(rec: np.ndarray, threshold: int, total: int | None = None) -> tu
             part = own[at : at + step]
             i, j = np.nonzero(np.bitwise_count(fp[home][:, None] ^ fp[part][None, :]) <= threshold)
             tell(home[i], part[j])
-    root = forest.find(np.arange(len(ids)))
-    moved = root != np.arange(len(ids))
-    return ids[moved], ids[root[moved]]
-
+    return forest.links(ids)
 
-def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, tile: int = 8192, total: int | None = None) -> DataFrame:
-    """nodes: fp long, fp2 long, id long (one row per fingerprint).  Links a, b that connect all within the threshold.
 
-    With total, a link also needs that fp and fp2 together differ in at most so many bits.
-    """
-    record = _SHORT if total is None else _LONG
-    if "fp2" not in nodes.columns:
-        nodes = nodes.withColumn("fp2", F.lit(0).cast("long"))
+def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, tile: int = 8192) -> DataFrame:
+    """nodes: fp long, id long (one row per fingerprint).  Links a, b that connect all within the threshold."""
     spark = nodes.sparkSession
     n = nodes.count()
     code = Code(blocks or (3 if n <= FINE_FROM else 2), threshold)
@@ -244,7 +237,7 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     records_bound = n * reach * len(code.blocks)
     tile = max(tile, records_bound // 50_000)  # so at most 50,000 anchors are cut
     buckets = max(16, -(-records_bound // 300_000))
-    parts = max(shuffle_partitions(spark), records_bound * record.itemsize // _PARTITION)
+    parts = max(shuffle_partitions(spark), records_bound * _RECORD.itemsize // _PARTITION)
     spread = nodes.repartition(min(max(2 * shuffle_partitions(spark), n // 200_000), max(1, n)), "id")
 
     def counted(batches):
@@ -275,12 +268,12 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
 
     def sent(batches):
         for batch in batches:
-            fp, fp2, ids = (batch[c].to_numpy() for c in ("fp", "fp2", "id"))
+            fp, ids = batch["fp"].to_numpy().view(np.uint64), batch["id"].to_numpy()
             for s in range(0, len(fp), _ROWS):
-                yield from send(*(x[s : s + _ROWS] for x in (fp.view(np.uint64), fp2.view(np.uint64), ids)))
+                yield from send(fp[s : s + _ROWS], ids[s : s + _ROWS])
         give_back()
 
-    def send(fp, fp2, ids):
+    def send(fp, ids):
         row, name, home = code.anchors(fp)
         tile_no = np.zeros(len(row), np.uint64)
         if len(hot_names):
@@ -299,11 +292,9 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
                     parts.append((r[there], n[there], h[there], (1 + i[there] * tiles + x).astype(np.uint64)))
             row, name, home, tile_no = (np.concatenate(x) for x in zip(*parts, strict=True))
         mixed = _mixed(name + (tile_no << np.uint64(40)))
-        rec = np.empty(len(row), record)
+        rec = np.empty(len(row), _RECORD)
         rec["spot"] = (mixed >> np.uint64(33)).astype(np.uint32) << np.uint32(1) | home.astype(np.uint32)
         rec["fp"], rec["id"] = fp[row], ids[row]
-        if total is not None:
-            rec["fp2"] = fp2[row]
         to = ((mixed >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]) if len(order) else np.zeros(0, int)
@@ -312,8 +303,8 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
             yield pa.RecordBatch.from_arrays([pa.array([int(to[p[0]]) for p in parts], pa.int64()), pa.array([rec[p].tobytes() for p in parts], pa.binary())], ["b", "data"])
 
     def compared(t: pa.Table) -> pa.Table:
-        rec = np.concatenate([np.frombuffer(x, record) for x in t["data"].to_pylist()])
-        a, b = _links_here(rec, threshold, total)
+        rec = np.concatenate([np.frombuffer(x, _RECORD) for x in t["data"].to_pylist()])
+        a, b = _links_here(rec, threshold)
         del rec
         give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -321,15 +312,81 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None
     return spread.mapInArrow(sent, "b long, data binary").repartition(parts, "b").groupBy("b").applyInArrow(compared, "a long, b long")
 
 
+def _met(forest: Forest, ours: tuple, theirs: tuple, threshold: int, total: int, blocks: int, same: bool) -> None:
+    """Join what is near in the first fingerprint and near enough in both; ours, theirs: fp, fp2, place in the forest.
+
+    Two that differ in at most the threshold differ by at most slack in one block: there, every value that is so near
+    to our own is looked up among theirs, which are in the order of that block.
+    """
+    slack = threshold // blocks
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        width, block = high - low, np.uint64((1 << (high - low)) - 1)
+        value, there = (((x[0] >> np.uint64(low)) & block).astype(np.int64) for x in (ours, theirs))
+        by = np.argsort(value, kind="stable")
+        value, fp, fp2, place = value[by], *(x[by] for x in ours)
+        by = np.argsort(there, kind="stable")
+        their_fp, their_fp2, their_place = (x[by] for x in theirs)
+        first = np.zeros((1 << width) + 1, np.int64)
+        np.cumsum(np.bincount(there, minlength=1 << width), out=first[1:])
+        for flip in (sum(1 << b for b in bits) for weight in range(slack + 1) for bits in combinations(range(width), weight)):
+            asked = value ^ flip
+            start = first[asked]
+            n = first[asked + 1] - start
+            own = np.flatnonzero(n if not same else (n > 0) & (value <= asked))  # within a chunk each pair of values once
+            upto = np.cumsum(n[own])
+            for part in np.split(own, np.searchsorted(upto, np.arange(_PAIRS, upto[-1] if len(upto) else 0, _PAIRS))):
+                if not len(part):
+                    continue
+                k = n[part]
+                end = np.cumsum(k)
+                to = np.arange(end[-1]) + np.repeat(start[part] - (end - k), k)
+                differ = np.bitwise_count(np.repeat(fp[part], k) ^ their_fp[to])
+                hit = np.flatnonzero(differ <= threshold)
+                if len(hit):
+                    a, b = part[np.searchsorted(end, hit, "right")], to[hit]
+                    near = differ[hit] + np.bitwise_count(fp2[a] ^ their_fp2[b]) <= total
+                    forest.join(place[a[near]], their_place[b[near]])
+
+
+def wide_links(nodes: DataFrame, threshold: int, total: int, blocks: int, chunk: int = CHUNK) -> DataFrame:
+    """nodes: fp long, fp2 long, id long.  Links a, b that connect all of which one of the two fingerprints differs in at
+    most threshold bits, and both together in at most total.
+
+    A wide threshold leaves blocks of few bits, and so few anchors that each would be sent a share of all fingerprints.
+    Instead the fingerprints are cut into chunks by hash, and a task looks one chunk up in another: a fingerprint
+    is sent as often as there are chunks, which grow up to a bound before they become more.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    chunks = max(1, -(-n // chunk), min(LEAST_CHUNKS, n // _ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda x: F.least(x, own) * chunks + F.greatest(x, own))
+    placed = nodes.select("fp", "fp2", "id", own.alias("chunk"), F.explode(tiles).alias("tile"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        fp, fp2 = (t[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+        ids, place = np.unique(t["id"].to_numpy(), return_inverse=True)
+        here, there = divmod(t["tile"][0].as_py(), chunks)
+        at = t["chunk"].to_numpy()
+        forest = Forest(len(ids))
+        for x, y in ((fp, fp2), (fp2, fp)):  # either fingerprint may be the near one
+            ours, theirs = ((x[own], y[own], place[own]) for own in (at == here, at == there))
+            _met(forest, ours, theirs, threshold, total, blocks, here == there)
+        a, b = forest.links(ids)
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    parts = max(shuffle_partitions(spark), chunks * (chunks + 1) // 2)
+    return placed.repartition(parts, "tile").groupBy("tile").applyInArrow(compared, "a long, b long")
+
+
 def groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED, blocks: int | None = None, total: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, text_key, fp, component (smallest doc_id reachable, or a name from NAMELESS on)."""
     fps = materialise(fingerprints(docs, shingle, seed, total is not None), "fingerprints")
     bare = F.lit(NAMELESS) + F.xxhash64("fp", "fp2").bitwiseAND(F.lit(NAMELESS - 1))
     nodes = materialise(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")).select("fp", "fp2", F.coalesce("id", bare).alias("id")), "nodes")
-    links = near_links(nodes, threshold, blocks, total=total)
-    if total is not None:  # either fingerprint may be the near one
-        links = links.union(near_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"), threshold, blocks, total=total))
-    up = roots(links)
+    up = roots(near_links(nodes, threshold, blocks) if total is None else wide_links(nodes, threshold, total, blocks))
     named = nodes.join(up.withColumnRenamed("node", "id"), "id", "left").select("fp", "fp2", F.coalesce("root", "id").alias("component"))
     return fps.join(materialise(named, "named"), ["fp", "fp2"]).select("doc_id", "text_key", "fp", "component")
 
@@ -428,9 +485,7 @@ def confirmed(docs: DataFrame, threshold: int, total: int, shingle: int, seed: i
     fps = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), row.alias("row_key")).mapInArrow(sketch, kinds), "fingerprints")
     items = materialise(fps.where(F.col("n") >= least).groupBy("set_key", "fp", "fp2").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "items")
     nodes = materialise(items.groupBy("fp", "fp2").agg(F.min("set_key").alias("id"), F.count("*").alias("sets")), "nodes")
-    links = near_links(nodes.select("fp", "fp2", "id"), threshold, blocks, total=total)
-    links = links.union(near_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"), threshold, blocks, total=total))
-    up = roots(links)
+    up = roots(wide_links(nodes, threshold, total, blocks))
     linked = up.select("node", "root").union(up.select(F.col("root").alias("node"), "root").distinct())
     named = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").where("root is not null or sets > 1")
     wanted = materialise(items.join(named.select("fp", "fp2", F.coalesce("root", "id").alias("near")), ["fp", "fp2"]).select("set_key", "row_key", "near", "n"), "wanted")
