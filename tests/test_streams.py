@@ -185,3 +185,18 @@ def test_broken_utf8_and_empty_chunks():
     chunks = [(data[i : i + 7], False) for i in range(0, len(data), 7)] + [(b"", False), (b"", True)]
     assert "".join(holdback.pieces_of(iter(chunks), 0, PATTERNS)).replace("�", "") == data.decode("utf-8", "replace").replace("�", "")
     assert holdback.pieces_of(iter([(b"", True)]), 0, PATTERNS) == []
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_of_a_table_need_no_group_each(spark, parts):
+    """Interleaved streams, one without a name, one of a single empty chunk: as each for itself, many in one task."""
+    texts = {f"s{i}": "ab cd " * (i * 7 % 40) + f"end {i}" for i in range(60)} | {None: "of no stream " * 60, "empty": ""}
+    rows = [(k, no, t[at : at + 50].encode()) for k, t in texts.items() for no, at in enumerate(range(0, max(1, len(t)), 50))]
+    rows = sorted(rows, key=lambda r: (r[1], str(r[0])), reverse=True)
+    out = holdback.pieces(spark.createDataFrame(rows, "stream_id string, chunk_no long, bytes binary").repartition(parts), 64)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for k, t in texts.items():
+        cut = [t[at : at + 50].encode() for at in range(0, max(1, len(t)), 50)]
+        expected += [(k, n, p) for n, p in enumerate(holdback.pieces_of(((c, i == len(cut) - 1) for i, c in enumerate(cut)), 64))]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))

@@ -13,13 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.spans import AROUND
 from veilstream.operators.detectors import Detector
-from veilstream.streaming.state import IDLE_SECONDS, Fold, folded
+from veilstream.streaming.state import IDLE_SECONDS, Fold, folded, folded_table
 
 HOLD_BACK = 512
 PIECES = "stream_id string, piece_no long, text string"
@@ -83,15 +82,7 @@ def pieces(chunks: DataFrame, hold: int = HOLD_BACK, whole: list[Detector] | Non
 
     whole: detectors whose matches, up to LONGEST characters, stand in one piece with what their context needs.
     """
-    patterns = patterns_of(whole)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_no")
-        n = len(pdf)
-        texts = pieces_of(((bytes(b), i == n - 1) for i, b in enumerate(pdf["bytes"])), hold, patterns)
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "piece_no": range(len(texts)), "text": texts})
-
-    return chunks.groupBy("stream_id").applyInPandas(run, PIECES)
+    return folded_table(chunks, _Pieces(hold, patterns_of(whole)))
 
 
 class _Pieces(Fold):

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: seconds without a chunk after which a stream counts as broken off
 IDLE_SECONDS = 300
+#: rows that a task of the batch form hands on at a time
+_ROWS = 1024
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def keep_state(spark: SparkSession) -> None:
@@ -82,3 +87,38 @@ def folded(chunks: DataFrame, fold: Fold, idle_seconds: float = IDLE_SECONDS) ->
     """Streaming: chunks (stream_id, chunk_no, bytes, last), each stream's in order, through the fold."""
     keep_state(chunks.sparkSession)
     return chunks.select("stream_id", "chunk_no", "bytes", "last").groupBy("stream_id").transformWithStateInPandas(_Chunks(fold, idle_seconds), f"stream_id string, {fold.output}", "append", "ProcessingTime")
+
+
+def folded_table(chunks: DataFrame, fold: Fold) -> DataFrame:
+    """Batch: chunks (stream_id, chunk_no, bytes) through the fold; the last of a stream's chunks ends it.
+
+    Streams come one after the other in their task's rows, so that short ones cost no more than their chunks, and of
+    long ones only the state is held.
+    """
+    output = f"stream_id string, {fold.output}"
+    names, kinds = zip(*((n, _KINDS[k]) for n, k in (x.split() for x in output.split(", "))), strict=True)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, out = None, fold.begin(), []
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("stream_id", "chunk_no", "bytes")), strict=True):
+                if held is not None:
+                    last = row[0] != held[0]
+                    more, state = fold.step(state, held[1], held[2], last)
+                    out += [(held[0], *r) for r in more]
+                    if last:
+                        state = fold.begin()
+                    if len(out) >= _ROWS:
+                        yield batch_of(out)
+                        out = []
+                held = row
+        if held is not None:
+            out += [(held[0], *r) for r in fold.step(state, held[1], held[2], True)[0]]
+        if out:
+            yield batch_of(out)
+
+    rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "chunk_no").mapInArrow(run, output)
