@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from veilstream.streaming.state import IDLE_SECONDS, Fold, folded
+from veilstream.streaming.state import IDLE_SECONDS, Fold, folded, folded_table
 
 END, DONE = b"\n\n", b"data: [DONE]\n\n"
 #: an event's data to the common form's; None drops the event
@@ -33,17 +32,7 @@ def finish(buffer: bytes, translate: Translate) -> bytes:
 def translated(chunks: DataFrame, translate: Translate) -> DataFrame:
     """Batch: chunks (stream_id, chunk_no, bytes) to stream_id, chunk_no, bytes; the last chunk also has what finishes
     the stream, and a chunk that completes no event gives no row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_no")
-        buffer, out = b"", []
-        for chunk in pdf["bytes"]:
-            piece, buffer = push(buffer, bytes(chunk), translate)
-            out.append(piece)
-        out[-1] += finish(buffer, translate)
-        return pd.DataFrame({"stream_id": pdf["stream_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(), "bytes": out})[[bool(x) for x in out]]
-
-    return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, chunk_no long, bytes binary")
+    return folded_table(chunks, _Events(translate))
 
 
 class _Events(Fold):
