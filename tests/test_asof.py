@@ -48,6 +48,16 @@ def test_as_of_equals_brute_force(spark, monkeypatch, seed, bits, seconds):
     assert {r.event_id: None if r.in_force is None else (r.version, r.name) for r in rows} == brute(events, versions) and len(rows) == len(events)
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_as_of_splits_crowded_slots(spark, most):
+    """A day's slots hold all versions and events; many begin, or come, at the same time."""
+    events, versions = data(7, 400, 300, 20)
+    out = asof.as_of(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS), "ts", "since", "version", ["k"], 86400, most)
+    assert "filter(" not in plan(out)  # no list of versions is looked through for each event
+    rows = out.select("event_id", "in_force").collect()
+    assert {r.event_id: r.in_force and (r.in_force.version, r.in_force.name) for r in rows} == brute(events, versions) and len(rows) == len(events)
+
+
 def test_as_of_without_rows_or_keys(spark):
     events, versions = data(5)
     none, some = spark.createDataFrame([], VERSIONS), spark.createDataFrame(events, EVENTS)

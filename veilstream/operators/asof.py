@@ -2,8 +2,8 @@
 
 Time falls into slots.  An event needs the versions that begin in its own slot, and one more: the last of all earlier
 slots.  That one is carried over slots, not over events: within groups of slots, and from group to group, so that no
-window is wider than FAN rows.  Events then only meet their slot by an equi-join: a slot, or key, that holds most of
-them is split like any other skewed join.
+window is wider than FAN rows.  A slot's versions and events then stand in one order, so that neither is looked through
+for each of the other; a slot that holds too many events is split, with its versions in each part.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 FAN_BITS = 22
 ROW_BITS = 20
 HOUR = 3600
+#: events of a slot that one window holds
+MOST_EVENTS = 1 << 20
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[tuple[str, str]]) -> Column:
@@ -42,28 +44,36 @@ def carried(slots: DataFrame, keys: list[str]) -> DataFrame:
     return met.withColumn("before", F.coalesce("_in", "_before")).drop("_group", "_in", "_above", "_before", *named.values())
 
 
-def as_of(events: DataFrame, versions: DataFrame, at: str, since: str, order: str, keys: list[str], slot_seconds: int = HOUR) -> DataFrame:
+def as_of(events: DataFrame, versions: DataFrame, at: str, since: str, order: str, keys: list[str], slot_seconds: int = HOUR, most: int = MOST_EVENTS) -> DataFrame:
     """events with in_force: a struct of the columns of the version (of the same keys) that was the last to begin by the
     event's time; null before the first.
 
     Of versions that begin together the one of the largest ``order`` counts.  Keys may be null and are then
-    a key.  A version without a beginning never is in force, an event without a time has none.  The versions that begin
-    in one slot meet in a row: choose slots so that these are few.
+    a key.  A version without a beginning never is in force, an event without a time has none.  A slot's events and
+    versions are put in order together; one of more than ``most`` events is split, and its versions go to each part.
     """
     width = slot_seconds * 1_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    begun = versions.where(F.col(since).isNotNull()).select(*keys, _floor_div(micros(since), width).alias("slot"), F.struct(micros(since).alias("at"), F.col(order).alias("order"), F.struct(*versions.columns).alias("version")).alias("v"))
-    lists = begun.groupBy(*keys, "slot").agg(F.sort_array(F.collect_list("v")).alias("list"))
-    rows = events.withColumn("_slot", _floor_div(micros(at), width))
-    asked = rows.select(*keys, F.col("_slot").alias("slot")).distinct().withColumn("list", F.lit(None).cast(lists.schema["list"].dataType))
-    slots = asked.unionByName(lists).groupBy(*keys, "slot").agg(F.first("list", ignorenulls=True).alias("list"))
-    last = lambda xs: F.get(xs, F.size(xs) - 1)["version"]
-    known = carried(slots.withColumn("value", F.when(F.col("list").isNotNull(), last(F.col("list")))), keys)
     named = {k: f"_of_{k}" for k in keys}
-    known = known.select(*[F.col(k).alias(v) for k, v in named.items()], F.col("slot").alias("_known"), "list", "before")
-    met = rows.join(known, _same(rows, known, [*named.items(), ("_slot", "_known")]), "left")
-    here = F.filter("list", lambda v: v["at"] <= micros(at))
-    return met.withColumn("in_force", F.coalesce(F.when(F.size(F.coalesce(here, F.array())) > 0, last(here)), F.col("before"))).drop("_slot", "_known", "list", "before", *named.values())
+    of = list(named.values())
+    begun = versions.where(F.col(since).isNotNull()).select(*[F.col(k).alias(v) for k, v in named.items()], micros(since).alias("_at"), F.struct(F.col(order).alias("order"), F.struct(*versions.columns).alias("version")).alias("v"))
+    begun = begun.groupBy(*of, "_at").agg(F.max("v")["version"].alias("_version")).withColumn("slot", _floor_div(F.col("_at"), width))
+    rows = events.select(F.struct(*events.columns).alias("_event"), *[F.col(k).alias(v) for k, v in named.items()], micros(at).alias("_at")).withColumn("slot", _floor_div(F.col("_at"), width))
+    asked = rows.groupBy(*of, "slot").agg(F.count("*").alias("n"))
+    last = begun.groupBy(*of, "slot").agg(F.max_by("_version", "_at").alias("value"))
+    none = F.lit(None).cast(last.schema["value"].dataType)
+    slots = asked.select(*of, "slot", none.alias("value")).unionByName(last).groupBy(*of, "slot").agg(F.first("value", ignorenulls=True).alias("value"))
+    before = carried(slots, of).where(F.col("before").isNotNull()).select(*of, "slot", F.lit(None).cast("long").alias("_at"), F.col("before").alias("_version"))
+    hashed = [F.col("_event")[c] for c, kind in events.dtypes if "map<" not in kind]
+    # few: each stands for so many events
+    hot = asked.where(F.col("n") > most).select(*[F.col(k).alias(f"_hot{k}") for k in of], F.col("slot").alias("_hot"), F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    split = lambda df: df.join(F.broadcast(hot), _same(df, hot, [*((k, f"_hot{k}") for k in of), ("slot", "_hot")]), "left").drop(*[f"_hot{k}" for k in of], "_hot").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    known = split(before.unionByName(begun.select(*before.columns))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_event", F.lit(None).cast(rows.schema["_event"].dataType))
+    dealt = split(rows).withColumn("_part", F.pmod(F.xxhash64("_at", *hashed), F.col("_parts")).cast("int")).withColumn("_version", none)
+    # what was in force before comes first in its slot, then a version before the events of its time
+    by = Window.partitionBy(*of, "slot", "_part").orderBy(F.col("_at").asc_nulls_first(), F.col("_version").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = known.unionByName(dealt).withColumn("in_force", F.last("_version", ignorenulls=True).over(by))
+    return met.where(F.col("_event").isNotNull()).select("_event.*", "in_force")
 
 
 def with_previous(rows: DataFrame, order: str, value: Column, keys: list[str] | None = None) -> DataFrame:
