@@ -94,3 +94,26 @@ def test_exports(spark):
         A.export(rows, "xml", "t", now)
     with pytest.raises(Exception, match="more than 1 events"):
         A.json_array(rows, most=1).collect()
+
+
+def test_staged_folders_are_moved_also_after_a_job_lost_between(spark, stored, tmp_path, monkeypatch):
+    path, want = stored
+    apply, staged = S._apply, []
+
+    def lost(spark, path, stage):
+        staged.extend(sorted((tmp_path / "audit.staging").rglob("*.parquet")))
+        rows = [p.parent for p in staged if "rows" in p.parts]
+        place = tmp_path / "audit" / rows[0].relative_to(rows[0].parent.parent)
+        S._files(spark, path)[1].delete(S._files(spark, str(place))[0], True)
+        rows[0].rename(place)  # one folder was moved, then the job was lost
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(S, "_apply", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        S.mark_synced(spark, path, spark.createDataFrame([("5",), ("7",), ("8",)], "id string"))
+    monkeypatch.setattr(S, "_apply", apply)
+    assert S.recover(spark, path) == 1
+    for i in ("5", "7", "8"):
+        want[i] = (*want[i][:2], 1)
+    assert read(spark, path) == want
+    assert {p.name for p in staged if "rows" in p.parts} <= {p.name for p in files(tmp_path)}

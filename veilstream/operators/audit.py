@@ -80,8 +80,8 @@ def purge_before(events: DataFrame, cutoff) -> DataFrame:
     return events.where(F.col("timestamp") >= F.lit(cutoff))
 
 
-def keep_newest(events: DataFrame, most: int = KEEP_ROWS, tenant: str | None = None) -> DataFrame:
-    """At most so many events a tenant, the newest.
+def keep_newest(events: DataFrame, most: int = KEEP_ROWS, tenant: str | None = None, few_days: bool = False) -> DataFrame:
+    """At most so many events a tenant, the newest.  few_days: tenants by days are few enough to be broadcast.
 
     A tenant may hold most of the rows, so no tenant is sorted in one task: counts a day tell which days stay
     whole, and only the day in which the limit falls is ranked.
@@ -91,7 +91,7 @@ def keep_newest(events: DataFrame, most: int = KEEP_ROWS, tenant: str | None = N
     newer = Window.partitionBy("tenant_id").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     room = per_day.withColumn("_room", F.lit(most) - F.coalesce(F.sum("_n").over(newer), F.lit(0))).withColumnRenamed("tenant_id", "_tenant")
     same = F.col("tenant_id").eqNullSafe(F.col("_tenant")) & day.eqNullSafe(F.col("_day"))  # without a time: the oldest
-    placed = events.join(room, same)
+    placed = events.join(F.broadcast(room) if few_days else room, same)
     if tenant is not None:
         placed = placed.withColumn("_room", F.when(F.col("tenant_id") == tenant, F.col("_room")).otherwise(F.col("_n")))
     whole = placed.where(F.col("_room") >= F.col("_n"))
