@@ -83,6 +83,43 @@ def test_files_as_rows(spark):
     assert empty.count() == 0
 
 
+def _resident() -> str:
+    return f"{int(open('/proc/self/statm').read().split()[1]) >> 8:08d}"  # MB, at 4 kB a page
+
+
+def _growth(spark, rows) -> int:
+    held = [int(x["mb"]) for x in rows.collect()]
+    assert len(held) == 60
+    return max(held) - min(held)
+
+
+def test_a_worker_does_not_hold_its_texts(spark):
+    """60 small files of 4 MB of text each, in one batch."""
+    files_of = spark.range(60, numPartitions=1).selectExpr("id", "concat(id, '.pdf') AS filename", "'pdf' AS ext", "CAST('x' AS BINARY) AS content")
+    read = files.extract_text(files_of, {"pdf": lambda b: _resident().ljust(4 << 20)})
+    assert _growth(spark, read.select(F.left("text", F.lit(8)).alias("mb"))) < 120
+
+
+def test_a_worker_does_not_hold_the_files_it_builds(spark):
+    docs = spark.range(60, numPartitions=1).selectExpr("id AS doc_id", "'x' AS text")
+    made = boxes.packed(docs, [("pdf", lambda t: _resident().encode().ljust(4 << 20))])
+    assert _growth(spark, made.select(F.left(F.col("content").cast("string"), F.lit(8)).alias("mb"))) < 120
+
+
+def test_files_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "doc_id long, text string")
+    read = files.extract_text(boxes.packed(docs, [*boxes.PDF, ("txt", str.encode)]))
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: (r["ext"], r["text"], r["error"]) for r in read.collect()} == {1: ("pdf", "a", None), 2: ("pdf", "", None), 3: ("txt", "b", None)}
+
+
+def test_text_formats_and_large_files_do_not_reach_a_reader(spark):
+    rows = [("a.txt", "txt", b"caf\xe9"), ("b.txt", "txt", b"x" * 9), ("c.pdf", "pdf", b"x" * 9), ("d.pdf", "pdf", b"x" * 8), ("e.txt", "txt", None), ("f", None, b"x"), ("g.txt", "txt", b"")]
+    read = files.extract_text(spark.createDataFrame(rows, "filename string, ext string, content binary"), {"txt": lambda b: 1 / 0, "pdf": lambda b: str(len(b))}, most_bytes=8)
+    got = {r["filename"]: (r["text"], r["error"]) for r in read.collect()}
+    assert got == {"a.txt": ("caf\ufffd", None), "b.txt": (None, "b.txt: too large"), "c.pdf": (None, "c.pdf: too large"), "d.pdf": ("8", None), "e.txt": (None, None), "f": (None, "f: no extractor for 'None'"), "g.txt": ("", None)}
+
+
 def test_inflated_bodies():
     whole = boxes.compressed("a", 1)
     assert bodies.inflate(whole) == ("gzip", '{"v":1,"prompt":"a"}') and bodies.inflate(whole, 5) == (None, None)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,28 +128,45 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 }
 
 
+#: rows, and characters of their texts, that a worker holds before it hands them on
+HELD_ROWS, HELD_CHARS = 64, 1 << 20
+_FOUND = pa.struct([("text", pa.string()), ("error", pa.string())])
+
+
 def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, most_bytes: int = 20 << 20) -> DataFrame:
     """files (filename, content, ext) with text and error: a format without extractor, a damaged file or one that is
-    too large gives an error and no text.  Text formats stay in the JVM; only the others go through Python."""
+    too large gives an error and no text.  Text formats stay in the JVM and are sent to Python as nulls.  Files are read
+    one at a time and their texts handed on in small parts, so a worker holds one batch of Spark's (records and bytes are
+    bounded by the session) and never its texts."""
     use = {**EXTRACTORS, **(extractors or {})}
 
-    @F.pandas_udf("struct<text:string,error:string>")
-    def other(name: pd.Series, ext: pd.Series, content: pd.Series) -> pd.DataFrame:
-        def one(n, e, c):
-            if e not in use:
-                return None, f"{n}: no extractor for '{e}'"
-            try:
-                return use[e](bytes(c)), None
-            except Exception as x:  # a damaged file is a result, not a failure of the job
-                return None, f"{n}: {type(x).__name__}"
-
-        return pd.DataFrame([one(*r) for r in zip(name, ext, content, strict=True)], columns=["text", "error"], dtype=object)
+    def one(name: str, ext: str, content: bytes) -> dict:
+        if ext not in use:
+            return {"error": f"{name}: no extractor for '{ext}'"}
+        try:
+            return {"text": use[ext](bytes(content))}
+        except Exception as x:  # a damaged file is a result, not a failure of the job
+            return {"error": f"{name}: {type(x).__name__}"}
+
+    @F.arrow_udf("struct<text:string,error:string>")
+    def other(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found, size = [], 0
+            for file in batch:
+                found.append(one(*(v.as_py() for v in file.values())) if file.is_valid else None)
+                size += len((found[-1] or {}).get("text") or "")
+                if len(found) >= HELD_ROWS or size >= HELD_CHARS:
+                    yield pa.array(found, _FOUND)
+                    found, size = [], 0
+            if found:
+                yield pa.array(found, _FOUND)
 
     is_text = F.coalesce(F.col("ext").isin(TEXT_EXTENSIONS), F.lit(False))
-    large = F.octet_length("content") > most_bytes
-    plain = files.where(is_text | large).withColumn("text", F.when(~large, lossy_text(F.col("content")))).withColumn("error", F.when(large, F.concat(F.col("filename"), F.lit(": too large"))))
-    rest = files.where(~(is_text | F.coalesce(large, F.lit(False)))).withColumn("_x", other("filename", "ext", "content"))
-    return plain.unionByName(rest.withColumn("text", F.col("_x.text")).withColumn("error", F.col("_x.error")).drop("_x"))
+    large = F.coalesce(F.octet_length("content") > most_bytes, F.lit(False))
+    read = files.withColumn("_x", other(F.when(~(is_text | large), F.struct("filename", "ext", "content"))))
+    text = F.when(large, F.lit(None)).when(is_text, lossy_text(F.col("content"))).otherwise(F.col("_x.text"))
+    error = F.when(large, F.concat(F.col("filename"), F.lit(": too large"))).otherwise(F.col("_x.error"))
+    return read.withColumn("text", text).withColumn("error", error).drop("_x")
 
 
 def unmaskable(scanned: DataFrame, p: dict) -> DataFrame:
