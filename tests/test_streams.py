@@ -187,6 +187,53 @@ def test_broken_utf8_and_empty_chunks():
     assert holdback.pieces_of(iter([(b"", True)]), 0, PATTERNS) == []
 
 
+def plainly_outside(buffer, n, patterns=PATTERNS):
+    """Where a buffer may be cut, by every pattern over all of it."""
+    import regex
+
+    text = buffer.decode("utf-8", "surrogateescape")
+    cut, reach = min(len(buffer[:n].decode("utf-8", "surrogateescape")), len(text) - AROUND), []
+    for p in patterns:
+        for m in regex.finditer(p, text, partial=True):
+            growing = m.partial or m.end() + holdback.SETTLED > len(text) or not any(c.isspace() for c in text[m.end() :])
+            reach.append((m.start() - AROUND, len(text) + 1 if growing else m.end() + AROUND))
+    while True:
+        cut = max(cut, 0)
+        while cut > 0 and not text[cut - 1].isspace():
+            cut -= 1
+        over = min((s for s, e in reach if s < cut < e), default=None)
+        if over is None or cut == 0:
+            return len(text[: max(cut, len(text) - holdback.LONGEST, 0)].encode("utf-8", "surrogateescape"))
+        cut = over
+
+
+BEGUN = ["P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\r\n", "-----BEGIN ", "\u017fecret=abc1", "wiki.\u0130nternal.com", "12 Long Winding old", "12 JAN 19", "2341 2345 67", "A12 345", "eyJabcdefghijkl.eyJ", "bc", "\u0661\u0662\u0663-\u0664", "\U0001f600", "\udcff", "w" * 70, "w1" * 40]
+SPACES = [" "] * 6 + ["\n", "\t", "  ", "", "\r\n", "\x1c", "\x85", "\u00a0", "."]
+
+
+def test_words_that_can_begin_no_match_are_not_searched():
+    """The same cuts as by every pattern over all of the buffer, far sooner on plain text."""
+    r = random.Random(11)
+    for _ in range(400):
+        parts = []
+        for _ in range(r.randint(1, 8)):
+            f = r.choice([*PLANTED, *BEGUN, "lorem", "ipsum dolor", "AMET", "a1", "7", "IN", "é"])
+            f = f[: r.randint(0, len(f))] if r.random() < 0.4 else f.swapcase() if r.random() < 0.1 else f
+            parts += [f, r.choice(SPACES)]
+        data = "".join(parts).encode("utf-8", "surrogateescape")
+        assert holdback._outside_matches(data, len(data), PATTERNS) == plainly_outside(data, len(data)), data
+    assert {d.gaps for d in WHOLE} == {"none", "late", "any"}
+
+    plain, took = b"consetetur sadipscing elitr, sed diam nonumy eirmod " * 4, []
+    for cut in (holdback._outside_matches, plainly_outside):
+        cut(plain, len(plain), PATTERNS)
+        began = time.process_time()
+        for k in range(100):
+            cut(plain[k % 50 :], len(plain) - k % 50, PATTERNS)
+        took.append(time.process_time() - began)
+    assert took[0] * 4 < took[1], took
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_streams_of_a_table_need_no_group_each(spark, parts):
     """Interleaved streams, one without a name, one of a single empty chunk: as each for itself, many in one task."""

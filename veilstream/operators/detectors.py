@@ -45,6 +45,9 @@ class Detector:
     needs: tuple[tuple[str, ...], ...] = ()
     #: whether every match holds a digit
     digits: bool = False
+    #: where white space may stand in a match: "none", "late" (a beginning of a match that holds white space holds the
+    #: digit and the literals of needs too) or "any"
+    gaps: str = "any"
 
     @property
     def java(self) -> str:
@@ -60,8 +63,13 @@ DRIVER_WORDS = ["driver", "driving", "license", "licence", "permit", "lic#", "dl
 MEDICARE_WORDS = ["medicare", "mbi", "beneficiary", "cms", "medicaid", "hic", "hicn", "insurance id"]
 
 
+def _gaps(pattern: str) -> str:
+    """Of personal data and secrets: all but one name what every match holds before white space."""
+    return "late" if "\\s" in pattern.lower() or " " in pattern else "none"
+
+
 def _pii(name, pattern, severity, replacement, **more) -> Detector:
-    return Detector(name, pattern, more.pop("category", "Pii"), severity, f"[REDACTED_{replacement}]", digits=more.pop("digits", True), **more)
+    return Detector(name, pattern, more.pop("category", "Pii"), severity, f"[REDACTED_{replacement}]", digits=more.pop("digits", True), gaps=more.pop("gaps", _gaps(pattern)), **more)
 
 
 PII = [
@@ -96,6 +104,7 @@ PII = [
         "MRZ",
         check=checks.mrz,
         needs=(("\n",),),
+        gaps="any",
     ),
     _pii("GSTIN", r"\b\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]Z[0-9A-Z]\b", "HIGH", "GSTIN", category="Financial", check=checks.gst_number),
     _pii("DATE_OF_BIRTH", r"(?i)\b\d{1,2}\s+[A-Z]{3}\s+\d{4}\b", "HIGH", "DOB", near=BIRTH_WORDS),
@@ -123,7 +132,7 @@ PII = [
 
 
 def _secret(name, pattern, severity, replacement, **more) -> Detector:
-    return Detector(name, pattern, "Secret", severity, f"[REDACTED_{replacement}]", **more)
+    return Detector(name, pattern, "Secret", severity, f"[REDACTED_{replacement}]", gaps=_gaps(pattern), **more)
 
 
 # Patterns and names of the detectors.
@@ -203,7 +212,7 @@ def prepared(text: Column) -> Column:
 
 
 #: letters whose other case is an ASCII letter only for patterns
-_ODD = "\u017f\u0131\u0130\u212a"
+ODD = "\u017f\u0131\u0130\u212a"
 
 
 def _shortest(words: list[str]) -> tuple[str, ...]:
@@ -230,7 +239,7 @@ def seen(text: Column, detectors: list[Detector] | None = None) -> Column:
     """struct<low, digits, held>: the text in lower case, whether it has digits, and for each of GATES whether it may
     pass; gates of other than the given detectors are open.  Where lower case would miss what a pattern without regard
     to case may match, low is null and every gate is open."""
-    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in _ODD])
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ODD])
     both = F.struct(F.when(~odd, F.lower(text)).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digits"))
     used = set(GATES) if detectors is None else set(map(_gate, detectors))
 

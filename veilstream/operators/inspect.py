@@ -16,6 +16,8 @@ from veilstream.operators.policy import active, decide, keyword_rules
 from veilstream.operators.redact import redact, redact_any
 from veilstream.operators.risk import context_points, score
 
+_IN_RESPONSES = [*D.SECRETS, *D.PII, *D.GUARDRAILS]
+
 
 def findings_of(text: Column, p: dict, response: bool = False, scanners: list | None = None, known: Column | None = None, early: list | None = None) -> Column:
     """text, known: as ``detectors.prepared`` and ``detectors.seen`` give them.
@@ -44,7 +46,7 @@ def inspect(df: DataFrame, p: dict, text: str = "text", response: bool = False,
     context = context or {}
     if response and not p["response_scan"]:
         return _unscanned(df, text)
-    clean = df.withColumn("_text", D.prepared(F.col(text))).withColumn("_seen", D.seen(F.col("_text")))
+    clean = df.withColumn("_text", D.prepared(F.col(text))).withColumn("_seen", D.seen(F.col("_text"), _IN_RESPONSES if response else None))
     found = clean.withColumn("findings", findings_of(F.col("_text"), p, response, scanners, F.col("_seen"), early)).drop("_text", "_seen")
     around = context_points(context.get("public_app"), context.get("device_violations"), context.get("user_violations"), context.get("sensitivity"))
     scored = found.withColumn("risk", score(F.col("findings"), around))

@@ -550,7 +550,7 @@ _KEPT_WHOLE = [*D.SECRETS, *D.PII]
 def stream_masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted values at every offset to the borders of chunks and pieces: what the pieces give together, masked one by
     one, is the whole answer masked."""
-    docs = spark.sql(_LONG.replace("FROM customer", "FROM {customer}")[1:-1], customer=P.load(spark, sf_dir, "customer")).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
+    docs = spark.sql(_LONG.replace("FROM customer", "FROM {customer}")[1:-1], customer=P.spread(P.load(spark, sf_dir, "customer").select("c_custkey"))).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
     scanned = inspect(H.pieces(_chunks(docs, 90), 0, _KEPT_WHOLE), policy(), response=True)
     parts = F.array_sort(F.collect_list(F.struct("piece_no", "sanitized")))  # a stream of this query has some ten pieces
     return scanned.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["sanitized"]), "").alias("sanitized"))

@@ -121,4 +121,5 @@ def folded_table(chunks: DataFrame, fold: Fold) -> DataFrame:
             yield batch_of(out)
 
     rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "chunk_no").mapInArrow(run, output)
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as tasks dealt by bytes would be few: chunks are small for their work
+    return rows.repartition(parts, "stream_id").sortWithinPartitions("stream_id", "chunk_no").mapInArrow(run, output)
